@@ -8,10 +8,11 @@ which is at least the weighted Jaccard similarity.  Bands of slots propose
 candidates; links are verified exactly: weighted Jaccard of 0.8 or more.
 
 Exact copies are one node from the start.  Within a bucket of a band each node
-is first held against the bucket's least node only; so a group of like texts
-costs as many comparisons as it has members.  Nodes whose buckets still hold
-several classes then go through an exact join on rare shingles (prefix
-filtering), so that no link between different classes is lost.  Classes are
+is first held against the bucket's least node only, then, in buckets that still
+hold several classes, against a few others drawn by a hash; so a group of like
+texts costs a few comparisons for each member.  What is left in buckets of
+several classes goes through an exact join on rare shingles (prefix filtering),
+so that no link between different classes is lost.  Classes are
 connected components, found by rounds of joins; nothing is collected.
 
 Nulls are empty texts.  Texts without words are copies of equal texts only.
@@ -34,6 +35,10 @@ from siltstone.llm.storage import stored
 SIMILARITY = 0.8
 #: 32 bands of 6 slots: a pair at 0.8 is missed with probability 6e-5, one at 0.3 proposed with 2e-2.
 BANDS, ROWS = 32, 6
+#: Buckets that hold several classes are tried so often with another head before the exact join.
+TURNS = 3
+#: Texts in a block of the exact comparison with a large class.
+BLOCK = 256
 #: Tables of candidate ids are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -148,7 +153,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
 
 def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (a, b) between nodes of different classes: all pairs that can be similar, by prefix filtering.
+    """Links (a, b) between nodes of different classes: all pairs that can be similar, by prefix filtering.
 
     Shingles are ordered by how many of these texts hold them.  Similar texts
     share one among their rarest ones: those that come before `threshold` of the
@@ -163,11 +168,67 @@ def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: flo
     short = F.expr("slice(s, 1, least(size(s), cast(size - ceil({0} * size) + 1 as int)))".format(threshold))
     prefix = ordered.withColumn("s", short).withColumn("before", before)
     prefix = prefix.select("doc_id", "size", F.explode(F.expr(f"filter(transform(s, (x, i) -> struct(x.shingle as shingle, before[i] as before)), x -> x.before <= size - ceil({threshold} * size))")).alias("x"))
-    prefix = stored(prefix.join(classed, "doc_id").select("doc_id", "size", "least", F.col("x.shingle").alias("shingle")), "prefixes")
-    one, two = (prefix.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("least").alias(f"least_{k}"), "shingle") for k in "ab")
-    size_ok = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
-    pairs = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("least_a") != F.col("least_b")) & size_ok)
-    return pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    prefix = prefix.join(classed, "doc_id").select("doc_id", "size", "least", F.col("x.shingle").alias("shingle"))
+    # from each text to the larger classes that hold one of its shingles, then to their members: a class counts once for a shingle
+    sizes = prefix.select("doc_id", "least").distinct().groupBy("least").agg(F.count("*").alias("members"))
+    prefix = stored(prefix.join(sizes, "least"), "prefixes")
+    held = prefix.groupBy("shingle", F.col("least").alias("other")).agg(F.first("members").alias("others"), F.min("size").alias("from"), F.max("size").alias("to"))
+    near = prefix.join(held, "shingle").filter((F.struct("members", "least") < F.struct("others", "other")) & (F.col("to") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("from")))
+    near = stored(near.select("doc_id", "size", "other", "others").distinct(), "near")
+    other = prefix.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("least").alias("other")).distinct()
+    small = near.filter(F.col("others") < BLOCK // 8).join(other, "other").filter((F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size")))
+    small = small.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    links = _verified(_with_texts(stored(small, "candidates"), texts), threshold)
+    # texts near a large class are held against its members block by block
+    large = near.filter(F.col("others") >= BLOCK // 8)
+    if large.isEmpty():
+        return links
+    elements = stored(shingles.groupBy("doc_id").agg(F.collect_list(F.struct("shingle", "n")).alias("s")), "elements")
+    wide = large.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).alias("row_blocks"), F.ceil(F.first("others") / BLOCK).alias("blocks"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    ours = large.join(wide, "other").select("other", "doc_id", part("doc_id", "row_blocks").alias("x"), every("blocks").alias("y")).join(elements.select(F.col("doc_id").alias("doc_id"), F.col("s").alias("s")), "doc_id")
+    theirs = other.join(wide, "other").select("other", F.col("b").alias("doc_id"), every("row_blocks").alias("x"), part("b", "blocks").alias("y")).join(elements.select(F.col("doc_id").alias("doc_id"), F.col("s").alias("s")), "doc_id")
+    key = ["other", "x", "y"]
+    schema = links.schema
+    return links.unionByName(ours.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(lambda one, two: _like(one, two, threshold, schema), schema))
+
+
+def _like(one: pa.Table, two: pa.Table, threshold: float, schema: T.StructType) -> pa.Table:
+    """All pairs of two blocks of texts that are similar, by products of count matrices over slices of their shingles."""
+    sides = []
+    for t in (one, two):
+        lists = t.column("s").combine_chunks()
+        fields = lists.flatten()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = fields.field("n").to_numpy()
+        owner = np.repeat(np.repeat(np.arange(len(t)), lengths), n)
+        again = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        # the k-th occurrence of a shingle is an element of its own, so that shared elements add up to the lesser counts
+        sides.append((mix(np.repeat(fields.field("shingle").to_numpy().view(np.uint64), n) + mix(again.astype(np.uint64))), owner, np.bincount(owner, minlength=len(t))))
+    (e1, o1, s1), (e2, o2, s2) = sides
+    common = np.intersect1d(e1, e2)
+    shared = np.zeros((len(one), len(two)), np.float32)
+    for k in range(0, len(common), 4096):
+        matrices = []
+        for e, o, s in sides:
+            at = np.minimum(np.searchsorted(common[k : k + 4096], e), len(common[k : k + 4096]) - 1)
+            hit = common[k : k + 4096][at] == e
+            m = np.zeros((len(s), 4096), np.float32)
+            m[o[hit], at[hit]] = 1
+            matrices.append(m)
+        shared += matrices[0] @ matrices[1].T
+    i, j = np.nonzero(shared >= threshold * (s1[:, None] + s2[None] - shared))
+    a, b = one.column("doc_id").to_numpy()[i], two.column("doc_id").to_numpy()[j]
+    kind = one.schema.field("doc_id").type
+    return pa.table([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind)], [f.name for f in schema])
+
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, doc_id, least) of the buckets that hold several classes."""
+    members = _classes(buckets, found, "doc_id")
+    mixed = members.groupBy("band").agg((F.min("least") != F.max("least")).alias("mixed")).filter("mixed").select("band")
+    return stored(members.join(mixed, "band", "left_semi"), "mixed")
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -179,18 +240,27 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     heads = banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
     buckets = stored(banded.join(heads, "band"), "buckets")
     tried = stored(buckets.filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
-    involved = stored(buckets.select("doc_id").distinct(), "involved")
-    texts = ids.join(_few(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    buckets = buckets.drop("head")
+    texts = ids.join(_few(stored(buckets.select("doc_id").distinct(), "involved")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts, "texts")
     links = stored(_verified(_with_texts(tried, texts), threshold), "links")
     found = components(links)
-    # buckets that still hold several classes
-    members = _classes(buckets, found, "doc_id")
-    mixed = members.groupBy("band").agg((F.min("least") != F.max("least")).alias("mixed")).filter("mixed").select("band")
-    left = stored(members.join(mixed, "band", "left_semi").select("doc_id", "least").distinct(), "left")
+    mixed = _mixed(buckets, found)
+    for turn in range(1, TURNS + 1):
+        # another head for each bucket, drawn by a hash, against the members of other classes
+        drawn = mixed.groupBy("band").agg(F.min_by(F.struct(F.col("doc_id").alias("head"), F.col("least").alias("head_least")), F.xxhash64("doc_id", "band", F.lit(turn))).alias("h")).select("band", "h.*")
+        pairs = mixed.join(drawn, "band").filter("least != head_least").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = stored(_verified(_with_texts(pairs, texts), threshold), "links")
+        tried = tried.unionByName(pairs)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = components(links)
+        mixed = _mixed(mixed.drop("least"), found)
+    left = mixed.select("doc_id", "least").distinct()
     if not left.isEmpty():
-        rest = _rest(left, texts, tried, threshold)
-        more = stored(_verified(_with_texts(rest, texts), threshold), "more-links")
+        more = stored(_rest(stored(left, "left"), texts, tried, threshold), "links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
     # every row by its text's node, then by the node's class
