@@ -23,17 +23,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def logistic(margins: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities (Newton steps, with smoothed targets)."""
+def logistic_weights(x: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Weights that turn rows of evidence into log-odds (Newton steps, with smoothed targets)."""
     pos, neg = truth.sum(), len(truth) - truth.sum()
     target = np.where(truth > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([margins, np.ones(len(margins))], 1)
-    w = np.array([1.0, 0.0])
+    w = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - target) + 1e-3 * w
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope)
-    return float(max(w[0], 1e-3)), float(w[1])
+        p = sigmoid(x @ w)
+        slope = x.T @ (p - target) + 1e-2 * w
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), slope)
+    return w
+
+
+def logistic(margins: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that turn margins into log-odds."""
+    slope, offset = logistic_weights(np.stack([margins, np.ones(len(margins))], 1), truth)
+    return float(max(slope, 1e-3)), float(offset)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
