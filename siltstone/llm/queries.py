@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, decontaminate, langid, licenses, neardup, pii, quality, toxicity
+from siltstone.llm import bpe, chat, decontaminate, langid, licenses, neardup, pii, quality, rules, toxicity
 from siltstone.llm.labels import fold
 
 
@@ -68,6 +68,36 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rules.judge(docs, rules.fit(docs, labels.filter(fold("doc_id", 5) != 0)))
+
+
+#: The conversation that op10_chat adds to the table: control strings of templates inside texts.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turn = lambda k, role: spark.range(1).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.lit(k).cast(rows.schema["turn"].dataType).alias("turn"), F.lit(role).alias("role"), F.lit(PROBE).alias("text"))
+    return chat.digests(chat.examples(rows.unionByName(turn(0, "user")).unionByName(turn(1, "assistant"))))
+
+
+_CHAT_SQL = """
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+sized as (
+  select *, row_number() over w k, count(*) over (partition by conv_id) n,
+    sum(length(replace(replace(replace(text, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')) + length(replace(replace(replace(replace(replace(role, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t'), ':', '\\c'), chr(10), '\\n')) + 14) over (w rows unbounded preceding) until_
+  from rows_ window w as (partition by conv_id order by turn, role, text))
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) loss_sha256,
+  (coalesce(sum(until_) filter (role = 'assistant'), 0) + coalesce(sum(until_) filter (k = n and role <> 'assistant'), 0))::bigint formatted_chars
+from sized group by conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -76,9 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
+    "op8_rules": op8_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
     "op5_licenses": licenses.oracle(),
+    "op10_chat": _CHAT_SQL,
 }
