@@ -1,0 +1,144 @@
+"""Relational operators: scans, diffs, graphs, histories and metrics as DataFrame functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from siltstone.functions.text import estimate_tokens, ordered_tokens, rarity
+
+
+def shares(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each key and their share, rounded to four places."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select(key, "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+def document_frequency(docs: DataFrame, least: int = 3) -> DataFrame:
+    """(term, df, rarity): in how many documents a term of `least` letters or more occurs."""
+    terms = docs.select("doc_id", F.explode(F.array_distinct(F.filter(ordered_tokens(F.col("text")), lambda t: F.length(t) >= least))).alias("term"))
+    n = docs.agg(F.count("*").alias("n"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n)).select("term", "df", F.round(rarity(F.col("df"), F.col("n")), 6).alias("rarity"))
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, status) of two snapshots (path, hash): added, modified, deleted or unchanged; rows without hash are left out."""
+    a, b = old.filter("hash is not null").select("path", F.col("hash").alias("before")), new.filter("hash is not null").select("path", F.col("hash").alias("after"))
+    status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "deleted").when(F.col("before") == F.col("after"), "unchanged").otherwise("modified")
+    return a.join(b, "path", "full").select("path", status.alias("status"))
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(src, dst): pages that link to another page of the table."""
+    found = pages.select(F.col("page_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("url"))
+    return found.join(pages.select("url", F.col("page_id").alias("dst")), "url").filter("src != dst").select("src", "dst").distinct()
+
+
+def hops(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops): neighbours at one or two steps, each at its fewest."""
+    second = edges.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
+    both = edges.withColumn("hops", F.lit(1)).unionByName(second.filter("src != dst").withColumn("hops", F.lit(2)))
+    return both.groupBy("src", "dst").agg(F.min("hops").cast("int").alias("hops"))
+
+
+def churn(changes: DataFrame) -> DataFrame:
+    """(file, commits) of (commit, file) rows, repeats counted once."""
+    return changes.select("commit", "file").distinct().groupBy("file").agg(F.count("*").alias("commits"))
+
+
+def co_change(changes: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, commits): pairs of files changed together in `least` commits or more; a commit's files are few."""
+    once = changes.select("commit", "file").distinct()
+    pairs = once.select("commit", F.col("file").alias("a")).join(once.select("commit", F.col("file").alias("b")), "commit").filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("commits")).filter(F.col("commits") >= least)
+
+
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, whole, by an aggregate that combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    last = F.max_by(F.struct(*rest), F.struct(*order))
+    return rows.groupBy(*key).agg(last.alias("r")).select(*key, "r.*")
+
+
+def last_n(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n)
+
+
+def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """(user_id, session, n, secs): runs of a user's events with no gap over the limit."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w) > gap_minutes * 60_000_000
+    marked = events.select("user_id", "event_id", "ts", F.coalesce(gap, F.lit(True)).cast("long").alias("fresh"))
+    numbered = marked.withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    span = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1_000_000
+    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(span, 3).alias("secs"))
+
+
+def ranking_metrics(ranked: DataFrame, group: str, k: int) -> DataFrame:
+    """Per group of (group, rank, expected): precision and recall at k, and the reciprocal rank of the first expected row."""
+    hit = F.sum(F.when((F.col("rank") <= k) & F.col("expected"), 1).otherwise(0))
+    all_expected = F.sum(F.when(F.col("expected"), 1).otherwise(0))
+    first = F.min(F.when(F.col("expected"), F.col("rank")))
+    return ranked.groupBy(group).agg(
+        F.round(hit / F.least(F.lit(k), F.count("*")), 4).alias("precision"), F.round(F.coalesce(hit / F.nullif(all_expected, F.lit(0)), F.lit(0.0)), 4).alias("recall"), F.round(F.coalesce(1 / first, F.lit(0.0)), 4).alias("rr")
+    )
+
+
+def index_percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key the elements n // 2 and int((n - 1) * 0.95) of the sorted whole numbers; only distinct values are ordered."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(key).orderBy(value)
+    placed = counts.withColumn("until", F.sum("c").over(w)).withColumn("total", F.sum("c").over(Window.partitionBy(key)))
+    at = lambda place: F.min(F.when(F.col("until") > place, F.col(value)))
+    return placed.groupBy(key).agg(at(F.floor(F.col("total") / 2)).alias("p50"), at(F.floor((F.col("total") - 1) * 95 / 100)).alias("p95"))
+
+
+def holds(docs: DataFrame, literals: DataFrame) -> DataFrame:
+    """(doc_id, item_id): texts that hold a literal.  The literal's longest inner word is joined on; the text is searched only then."""
+    inner = F.filter(F.split("text", "[ \\n]"), lambda w: w != "")
+    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    keyed = literals.select("item_id", F.col("text").alias("literal"), longest.alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]"))).alias("word"))
+    near = words.join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    return near.join(docs.select("doc_id", "text"), "doc_id").join(literals.select("item_id", F.col("text").alias("literal")), "item_id").filter(F.col("text").contains(F.col("literal"))).select("doc_id", "item_id")
+
+
+def rank_for_task(docs: DataFrame, task: DataFrame, top: int = 200, budget: int = 50_000) -> DataFrame:
+    """The best documents for a task (one row with `text`), with a running token budget.
+
+    Score: rarity of the task's terms that a document holds, up to 60 points, and 360 for holding
+    the task's text whole.  Only the `top` ones reach the running sum.
+    """
+    wanted = task.select(F.explode(F.array_distinct(F.filter(ordered_tokens(F.col("text")), lambda t: F.length(t) >= 3))).alias("term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(ordered_tokens(F.col("text")))).alias("term")).join(F.broadcast(wanted), "term")
+    n = docs.agg(F.count("*").alias("n"))
+    weights = held.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.round(rarity(F.col("df"), F.col("n")) * 1000, 0).cast("long").alias("points"))
+    content = held.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.least(F.lit(60_000), F.sum("points") * 10).alias("content"))
+    literal = docs.join(F.broadcast(task.select(F.col("text").alias("literal")))).filter(F.col("text").contains(F.col("literal"))).select("doc_id", F.lit(360_000).alias("literal"))
+    tokens = docs.select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
+    scored = content.join(literal, "doc_id", "left").select("doc_id", (F.col("content") + F.coalesce("literal", F.lit(0))).alias("score")).filter("score > 0")
+    best = scored.orderBy(F.desc("score"), "doc_id").limit(top).join(tokens, "doc_id")
+    w = Window.orderBy(F.desc("score"), "doc_id")
+    out = best.select("doc_id", (F.col("score") / 1000.0).alias("score"), F.row_number().over(w).cast("long").alias("rank"), "tokens", F.sum("tokens").over(w).alias("running"))
+    return out.withColumn("selected", F.col("running") <= budget)
+
+
+def boosts(tasks: DataFrame, feedback: DataFrame, cap: int = 60) -> DataFrame:
+    """(task_id, feedback_id, overlap, boost) where terms overlap: 18 and 3 for each shared term up to 12, capped."""
+    shared = tasks.join(feedback, "term").groupBy("task_id", "feedback_id").agg(F.count("*").alias("overlap"))
+    return shared.withColumn("boost", F.least(F.lit(cap), 18 + F.least(F.lit(12), 3 * F.col("overlap"))).cast("long"))
+
+
+def repeated_lines(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(doc_id, line, n): lines that a text holds several times; counted inside the shuffle, so a hot line stays spread over documents."""
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
+    return lines.groupBy("doc_id", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def secret_flag(text: Column) -> Column:
+    """Whether a text assigns a long value to a name for keys, tokens or secrets."""
+    return text.rlike("(?i)(api_?key|token|secret|password)[ ]*[=:][ ]*[\"'][A-Za-z0-9_-]{16,}[\"']")
