@@ -31,7 +31,7 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Encodings of so many pre-tokens are kept by each Python worker.
-CACHE = 300_000
+CACHE = 200_000
 _NONE = np.int64(1 << 40)
 
 
@@ -101,19 +101,34 @@ class Vocabulary:
                     owner.append(-1)
                 state = to
             owner[state], ends[token] = token, state
-        n, depth = len(children), np.array(depths)
-        self.next_state = np.zeros((n, 256), np.int32)
-        fail, self.longest = np.zeros(n, np.int64), np.array(owner, np.int64)
-        for d in range(int(depth.max()) + 1):
-            level = np.flatnonzero(depth == d)
-            edges = np.array([(p, b, c) for p in level.tolist() for b, c in children[p].items()], np.int64).reshape(-1, 3)
-            if d:
-                self.next_state[level] = self.next_state[fail[level]]
-                bare = level[self.longest[level] < 0]
-                self.longest[bare] = self.longest[fail[bare]]
-            fail[edges[:, 2]] = self.next_state[edges[:, 0], edges[:, 1]]
-            self.next_state[edges[:, 0], edges[:, 1]] = edges[:, 2]
-        self.shorter = np.where(fail[ends] > 0, self.longest[fail[ends]], -1)
+        self.longest = np.array(owner, np.int64)
+        fail = [0] * len(children)
+        edges = [(p, b, c) for p, own in enumerate(children) for b, c in own.items()]
+        for p, b, c in sorted(edges, key=lambda e: depths[e[2]]):
+            state = p
+            while state and fail[c] == 0:
+                state = fail[state]
+                fail[c] = children[state].get(b, 0)
+            if self.longest[c] < 0:
+                self.longest[c] = self.longest[fail[c]]
+        self.fail = np.array(fail, np.int64)
+        keys = np.array([(p << 8) | b for p, b, _ in edges], np.int64)
+        order = np.argsort(keys)
+        self.edge_keys, self.edge_ends = keys[order], np.array([c for _, _, c in edges], np.int64)[order]
+        self.shorter = np.where(self.fail[ends] > 0, self.longest[self.fail[ends]], -1)
+
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte: along an edge, else along that of the longest suffix that has one."""
+        out = np.zeros(len(state), np.int64)
+        live = np.arange(len(state))
+        while len(live):
+            keys = (state << 8) | byte[live]
+            at = np.minimum(np.searchsorted(self.edge_keys, keys), len(self.edge_keys) - 1)
+            found = self.edge_keys[at] == keys
+            out[live[found]] = self.edge_ends[at[found]]
+            on = ~found & (state > 0)
+            live, state = live[on], self.fail[state[on]]
+        return out
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = (a << 20) | b
@@ -175,10 +190,10 @@ class Vocabulary:
         matrix = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
         last = np.zeros((width + 1, n), np.int32)
         number = np.zeros((width + 1, n), np.int32)
-        state = np.zeros(n, np.int32)
+        state = np.zeros(n, np.int64)
         for i in range(1, width + 1):
             k = int(np.searchsorted(-lengths, -i, "right"))
-            state[:k] = self.next_state[state[:k], matrix[:k, i - 1]]
+            state[:k] = self._step(state[:k], matrix[:k, i - 1])
             todo, token = np.arange(k), self.longest[state[:k]]
             while len(todo):
                 begin = i - self.lengths[token]
@@ -264,5 +279,6 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[s
                 columns = [block.column(c) for c in keep] + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 columns += [pa.array(map(coder.decode, ids), pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        encoder(source.value).cache.clear()  # an idle worker holds the vocabulary alone
 
     return docs.select(*keep, "text").mapInArrow(run, T.StructType(fields))
