@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SHINGLE = 5
 #: Texts are worked on in blocks of about this many bytes (at least one text).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 _PRIME = np.uint64(0x100000001B3)
 _WORD = np.zeros(256, bool)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import blocks
+from siltstone.llm.storage import mapped
 
 #: How byte-level vocabularies split a text before the merges (a fixed, public pattern).
 PRE_TOKEN = (
@@ -31,7 +32,7 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Encodings of so many pre-tokens are kept by each Python worker.
-CACHE = 200_000
+CACHE = 150_000
 _NONE = np.int64(1 << 40)
 
 
@@ -281,4 +282,4 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[s
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
         encoder(source.value).cache.clear()  # an idle worker holds the vocabulary alone
 
-    return docs.select(*keep, "text").mapInArrow(run, T.StructType(fields))
+    return mapped(docs.select(*keep, "text"), run, T.StructType(fields))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import SHINGLE, Words, blocks, similarity, weighted
+from siltstone.llm.storage import mapped
 
 SIMILARITY, RADIUS = 0.8, 3
 #: Window sizes grow by a third; the largest keeps the byte counters below 128.
@@ -175,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
                     columns = [block.column("doc_id").take(pa.array(texts, pa.int64())), pa.array([ids[i] for i in which], pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(like, pa.float64())]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = mapped(docs.select("doc_id", "text"), run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -193,5 +194,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMI
                     clean[[m[0] for m in index.matches(block.column("text"), threshold)]] = False
                     yield block.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

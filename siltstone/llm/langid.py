@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.arrays import blocks, buffers
 from siltstone.llm.labels import fold, sample
+from siltstone.llm.storage import mapped
 
 BUCKETS, WIDTH, EPOCHS = 4096, 16, 15
 #: Labelled rows for training, at most.
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, limit: int = SAMPLE) -> Model | None:
                 where = [np.flatnonzero(f) for f in found]
                 yield pa.RecordBatch.from_arrays([block.column("label").cast(pa.string()), pa.array([w.astype("<i4").tobytes() for w in where]), pa.array([f[w].tobytes() for f, w in zip(found, where, strict=True)])], schema.names)
 
-    got = sample(rows, rows, "lang", limit).mapInArrow(run, schema).collect()
+    got = mapped(sample(rows, rows, "lang", limit), run, schema).collect()
     got = [r for r in got if len(r.at)]
     if not got:
         return None
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                 lang, score, accepted = _predicted(block, shared.value)
                 yield pa.RecordBatch.from_arrays([block.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*keep, "text"), run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -179,4 +180,4 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
             for block in blocks(batch):
                 yield block.filter(pa.array(_predicted(block, shared.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Words, blocks, mix, similarity, weighted
-from siltstone.llm.storage import stored
+from siltstone.llm.storage import mapped, stored
 
 SIMILARITY = 0.8
 #: 32 bands of 6 slots: a pair at 0.8 is missed with probability 6e-5, one at 0.3 proposed with 2e-2.
@@ -83,7 +83,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text_key"), pa.ListArray.from_arrays(offsets, flat)], schema.names)
 
     text = F.coalesce("text", F.lit(""))
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.sha2(text, 256).alias("text_key"), text.alias("text")).mapInArrow(run, schema)
+    return mapped(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.sha2(text, 256).alias("text_key"), text.alias("text")), run, schema)
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -100,7 +100,7 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
                 like = pa.array([similarity(x, y) >= threshold for x, y in zip(*sets, strict=True)], pa.bool_())
                 yield block.select(["a", "b"]).filter(like)
 
-    return pairs.mapInArrow(run, schema)
+    return mapped(pairs, run, schema)
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
                     found, n = weighted(part)
                     yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), block.schema.field("doc_id").type), pa.array(np.full(len(found), len(part))), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return mapped(texts, run, schema)
 
 
 def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import blocks
+from siltstone.llm.storage import mapped
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -328,7 +329,7 @@ def find(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("
                 rows = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in found]
                 yield pa.RecordBatch.from_arrays([block.column(c) for c in keep] + [pa.array(rows, _ARROW_SPANS)], [f.name for f in schema])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*keep, "text"), run, schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -359,4 +360,4 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

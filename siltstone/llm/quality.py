@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.arrays import _power_tables, blocks, buffers, mix
 from siltstone.llm.labels import hinge, logistic, sample, sigmoid
+from siltstone.llm.storage import mapped
 
 BITS = 18
 #: Labelled rows for training, at most.
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
                 found, at = features(block.column("text"))
                 yield pa.RecordBatch.from_arrays([block.column("label").cast(pa.int32()), pa.array([found[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema.names)
 
-    got = sorted(tuple(r) for r in sample(docs, labels, label, limit).mapInArrow(run, schema).collect())
+    got = sorted(tuple(r) for r in mapped(sample(docs, labels, label, limit), run, schema).collect())
     return train([np.frombuffer(f, "<i4").astype(np.int64) for _, f in got], np.array([float(y > 0) for y, _ in got]))
 
 
@@ -146,4 +147,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             for block in blocks(batch):
                 yield pa.RecordBatch.from_arrays([block.column(c) for c in keep] + [pa.array(shared.value.scores(pc.fill_null(block.column("text"), "")))], schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*keep, "text"), run, schema)

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.arrays import blocks, buffers
 from siltstone.llm.labels import hinge, logistic_weights, sample, sigmoid
+from siltstone.llm.storage import mapped
 
 DECAY, LETTERS = 0.6, 40
 #: Distances of a triple's second and third letter: it spans five letters at most.
@@ -260,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
                     rows.append(" ".join(sorted(set("".join(letters[codes]).split()))[:UNITS]))
                 yield pa.RecordBatch.from_arrays([block.column("label").cast(pa.int32()), pa.array(rows, pa.string())], schema.names)
 
-    got = sorted(tuple(r) for r in sample(docs, labels, label, limit).mapInArrow(run, schema).collect())
+    got = sorted(tuple(r) for r in mapped(sample(docs, labels, label, limit), run, schema).collect())
     return train([u.split() for _, u in got], np.array([float(y > 0) for y, _ in got]))
 
 
@@ -274,4 +275,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             for block in blocks(batch):
                 yield pa.RecordBatch.from_arrays([block.column(c) for c in keep] + [pa.array(shared.value.scores(pc.fill_null(block.column("text"), "")))], schema.names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select(*keep, "text"), run, schema)
