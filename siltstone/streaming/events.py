@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Event files as they arrive in a folder."""
-    return spark.readStream.schema(schema).parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:

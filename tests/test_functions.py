@@ -1,0 +1,64 @@
+"""Hand-written cases of column functions, operators and streams."""
+
+import json
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.functions import text as X
+from siltstone.operators import relations as R
+from siltstone.sources.tables import json_lines
+from siltstone.streaming import events as S
+
+
+def one(spark, column, **values):
+    df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    return df.select(column.alias("x")).first().x
+
+
+def test_tokens(spark):
+    assert one(spark, X.ordered_tokens(F.col("t")), t="getHTTPResponse fooBar_2 é-x") == ["get", "httpresponse", "foo", "bar", "2", "x"]
+    assert one(spark, X.ordered_tokens(F.col("t")), t="") == []
+    assert one(spark, X.estimate_tokens(F.col("t")), t="abc") == 1
+
+
+def test_rarity_ends(spark):
+    assert one(spark, X.rarity(F.col("d"), F.col("n")), d=0, n=1) == 1.0
+    assert one(spark, X.rarity(F.col("d"), F.col("n")), d=10, n=10) == 0.0
+    assert one(spark, X.rarity(F.col("d"), F.col("n")), d=0, n=10) == 1.0
+
+
+def test_first_line(spark):
+    assert one(spark, X.first_line(F.col("t")), t="# head\n\n  do   it \nmore") == "do it"
+
+
+def test_snapshot_diff(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("n", None)], "path string, hash string")
+    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, hash string")
+    assert dict(R.snapshot_diff(old, new).collect()) == {"a": "unchanged", "b": "modified", "c": "deleted", "d": "added"}
+    assert dict(R.snapshot_diff(old.limit(0), new).collect()) == {"a": "added", "b": "added", "d": "added"}
+
+
+def test_co_change_counts_a_commit_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "c")], "commit int, file string")
+    assert [tuple(r) for r in R.co_change(rows).collect()] == [("a", "b", 2)]
+
+
+def test_percentiles_are_picks(spark):
+    rows = spark.createDataFrame([("x", i) for i in range(20)] + [("y", 5)], "k string, v long")
+    assert {r.k: (r.p50, r.p95) for r in R.index_percentiles(rows, "k", "v").collect()} == {"x": (10, 18), "y": (5, 5)}
+
+
+def test_json_lines_skip_bad_ones(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text(json.dumps({"a": 1}) + "\nnot json\n" + json.dumps({"a": 2}) + "\n")
+    rows = json_lines(spark, str(tmp_path / "log.jsonl"), T.StructType([T.StructField("a", T.LongType())]))
+    assert sorted(r.a for r in rows.collect()) == [1, 2]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = S.windowed_counts(S.event_stream(spark, str(tmp_path / "in"), events.schema))
+    q = stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, S.windowed_counts(events).collect()))
