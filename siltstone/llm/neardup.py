@@ -37,8 +37,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Buckets that hold several classes are tried so often with another head before the exact join.
 TURNS = 3
-#: Texts in a block of the exact comparison with a large class.
-BLOCK = 256
+#: A shingle that more texts hold than this ties them into a family, compared in blocks of so many texts.
+FEW, BLOCK = 16, 256
 #: Tables of candidate ids are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -169,29 +169,28 @@ def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: flo
     prefix = ordered.withColumn("s", short).withColumn("before", before)
     prefix = prefix.select("doc_id", "size", F.explode(F.expr(f"filter(transform(s, (x, i) -> struct(x.shingle as shingle, before[i] as before)), x -> x.before <= size - ceil({threshold} * size))")).alias("x"))
     prefix = prefix.join(classed, "doc_id").select("doc_id", "size", "least", F.col("x.shingle").alias("shingle"))
-    # from each text to the larger classes that hold one of its shingles, then to their members: a class counts once for a shingle
-    sizes = prefix.select("doc_id", "least").distinct().groupBy("least").agg(F.count("*").alias("members"))
-    prefix = stored(prefix.join(sizes, "least"), "prefixes")
-    held = prefix.groupBy("shingle", F.col("least").alias("other")).agg(F.first("members").alias("others"), F.min("size").alias("from"), F.max("size").alias("to"))
-    near = prefix.join(held, "shingle").filter((F.struct("members", "least") < F.struct("others", "other")) & (F.col("to") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("from")))
-    near = stored(near.select("doc_id", "size", "other", "others").distinct(), "near")
-    other = prefix.select(F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("least").alias("other")).distinct()
-    small = near.filter(F.col("others") < BLOCK // 8).join(other, "other").filter((F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size")))
-    small = small.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = _verified(_with_texts(stored(small, "candidates"), texts), threshold)
-    # texts near a large class are held against its members block by block
-    large = near.filter(F.col("others") >= BLOCK // 8)
-    if large.isEmpty():
+    prefix = stored(prefix, "prefixes")
+    held = prefix.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("doc_id").alias("head"), (F.min("least") != F.max("least")).alias("mixed")).filter("mixed")
+    # a shingle of few texts: their pairs
+    few = prefix.join(held.filter(F.col("texts") <= FEW).select("shingle"), "shingle")
+    one, two = (few.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("least").alias(f"least_{k}"), "shingle") for k in "ab")
+    size_ok = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
+    pairs = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("least_a") != F.col("least_b")) & size_ok)
+    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = _verified(_with_texts(stored(pairs, "candidates"), texts), threshold)
+    # shingles of many texts tie them into families, whose texts are held against each other block by block
+    ties = stored(prefix.join(held.filter(F.col("texts") > FEW).select("shingle", "head"), "shingle").filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "ties")
+    if ties.isEmpty():
         return links
-    elements = stored(shingles.groupBy("doc_id").agg(F.collect_list(F.struct("shingle", "n")).alias("s")), "elements")
-    wide = large.groupBy("other").agg(F.ceil(F.count("*") / BLOCK).alias("row_blocks"), F.ceil(F.first("others") / BLOCK).alias("blocks"))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    ours = large.join(wide, "other").select("other", "doc_id", part("doc_id", "row_blocks").alias("x"), every("blocks").alias("y")).join(elements.select(F.col("doc_id").alias("doc_id"), F.col("s").alias("s")), "doc_id")
-    theirs = other.join(wide, "other").select("other", F.col("b").alias("doc_id"), every("row_blocks").alias("x"), part("b", "blocks").alias("y")).join(elements.select(F.col("doc_id").alias("doc_id"), F.col("s").alias("s")), "doc_id")
-    key = ["other", "x", "y"]
-    schema = links.schema
-    return links.unionByName(ours.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(lambda one, two: _like(one, two, threshold, schema), schema))
+    family = components(ties)
+    family = stored(family.unionByName(family.select(F.col("least").alias("node"), "least").distinct()).select(F.col("node").alias("doc_id"), F.col("least").alias("family")), "families")
+    blocks_of = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    elements = shingles.groupBy("doc_id").agg(F.collect_list(F.struct("shingle", "n")).alias("s"))
+    placed = stored(family.join(blocks_of, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(elements, "doc_id"), "members")
+    ours = placed.select("family", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("doc_id"), F.col("s").alias("s"))
+    theirs = placed.select("family", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("doc_id"), F.col("s").alias("s"))
+    key, schema = ["family", "x", "y"], links.schema
+    return links.unionByName(ours.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(lambda left, right: _like(left, right, threshold, schema), schema))
 
 
 def _like(one: pa.Table, two: pa.Table, threshold: float, schema: T.StructType) -> pa.Table:
@@ -220,6 +219,7 @@ def _like(one: pa.Table, two: pa.Table, threshold: float, schema: T.StructType)
         shared += matrices[0] @ matrices[1].T
     i, j = np.nonzero(shared >= threshold * (s1[:, None] + s2[None] - shared))
     a, b = one.column("doc_id").to_numpy()[i], two.column("doc_id").to_numpy()[j]
+    a, b = a[a != b], b[a != b]
     kind = one.schema.field("doc_id").type
     return pa.table([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind)], [f.name for f in schema])
 
