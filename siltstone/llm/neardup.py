@@ -9,7 +9,7 @@ candidates; links are verified exactly: weighted Jaccard of 0.8 or more.
 
 Exact copies are one node from the start.  Within a bucket of a band each node
 is first held against the bucket's least node only, then, in buckets that still
-hold several classes, against a few others drawn by a hash; so a group of like
+hold several classes, against another drawn by a hash; so a group of like
 texts costs a few comparisons for each member.  What is left in buckets of
 several classes goes through an exact join on rare shingles (prefix filtering),
 so that no link between different classes is lost.  Classes are
@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 #: 32 bands of 6 slots: a pair at 0.8 is missed with probability 6e-5, one at 0.3 proposed with 2e-2.
 BANDS, ROWS = 32, 6
 #: Buckets that hold several classes are tried so often with another head before the exact join.
-TURNS = 3
+TURNS = 1
 #: A shingle that more texts hold than this ties them into a family, compared in blocks of so many texts.
 FEW, BLOCK = 16, 256
 #: Tables of candidate ids are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
