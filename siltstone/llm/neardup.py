@@ -186,15 +186,15 @@ def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: flo
     family = stored(family.unionByName(family.select(F.col("least").alias("node"), "least").distinct()).select(F.col("node").alias("doc_id"), F.col("least").alias("family")), "families")
     blocks_of = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     elements = shingles.groupBy("doc_id").agg(F.collect_list(F.struct("shingle", "n")).alias("s"))
-    placed = stored(family.join(blocks_of, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(elements, "doc_id"), "members")
-    ours = placed.select("family", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("doc_id"), F.col("s").alias("s"))
-    theirs = placed.select("family", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("doc_id"), F.col("s").alias("s"))
+    placed = stored(family.join(blocks_of, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(elements, "doc_id").join(classed, "doc_id"), "members")
+    ours = placed.select("family", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("doc_id"), F.col("least").alias("least"), F.col("s").alias("s"))
+    theirs = placed.select("family", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("doc_id"), F.col("least").alias("least"), F.col("s").alias("s"))
     key, schema = ["family", "x", "y"], links.schema
     return links.unionByName(ours.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(lambda left, right: _like(left, right, threshold, schema), schema))
 
 
 def _like(one: pa.Table, two: pa.Table, threshold: float, schema: T.StructType) -> pa.Table:
-    """All pairs of two blocks of texts that are similar, by products of count matrices over slices of their shingles."""
+    """Links that join the classes of two blocks of texts: all pairs are compared, by products of count matrices over slices of their shingles."""
     sides = []
     for t in (one, two):
         lists = t.column("s").combine_chunks()
@@ -219,7 +219,23 @@ def _like(one: pa.Table, two: pa.Table, threshold: float, schema: T.StructType)
         shared += matrices[0] @ matrices[1].T
     i, j = np.nonzero(shared >= threshold * (s1[:, None] + s2[None] - shared))
     a, b = one.column("doc_id").to_numpy()[i], two.column("doc_id").to_numpy()[j]
-    a, b = a[a != b], b[a != b]
+    # of all links, those that join two classes which nothing before has joined: as many as there are texts at most
+    joins = [t.column("least").to_numpy()[k] for t, k in ((one, i), (two, j))]
+    _, first = np.unique(np.stack([np.minimum(*joins), np.maximum(*joins)]), axis=1, return_index=True)
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    keep = []
+    for k in first.tolist():
+        x, y = root(joins[0][k]), root(joins[1][k])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    a, b = a[keep], b[keep]
     kind = one.schema.field("doc_id").type
     return pa.table([pa.array(np.minimum(a, b), kind), pa.array(np.maximum(a, b), kind)], [f.name for f in schema])
 
