@@ -39,6 +39,8 @@ BANDS, ROWS = 32, 6
 TURNS = 1
 #: A shingle that more texts hold than this ties them into a family, compared in blocks of so many texts.
 FEW, BLOCK = 16, 256
+#: The rounds of components() use a partition for so many edges, and one for each core at least.
+EDGES = 50_000
 #: Tables of candidate ids are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -116,15 +118,17 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, least): the least node of each connected component of the links (a, b), by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    # a star never makes more edges than it was given
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // EDGES)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-star")
+        large = stored(large.coalesce(parts), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        small = stored(small, "small-star")
+        small = stored(small.coalesce(parts), "small-star")
         # done once every node has one parent and no parent has one
         parents = small.select(F.col("v").alias("u")).distinct()
         again = small.groupBy("u").count().filter("count > 1").select("u").unionByName(small.join(parents, "u", "left_semi").select("u"))
