@@ -5,7 +5,10 @@ digits become one space) and its distinct word bigrams are held against those
 of each template.  Lines whose number of bigrams can't reach the least
 coefficient are pruned by size before any bigram is built: with b bigrams in
 the template, t the least coefficient, a line needs between b*t/(2-t) and
-b*(2-t)/t.  Ties go to the licence that comes first by name.
+b*(2-t)/t.  Before that a prefix filter, as of set similarity joins, drops texts
+and lines that can't share enough: where s of b bigrams must be shared, any
+b - s + 1 of them leave none that holds none of these.  It loses no match.
+Ties go to the licence that comes first by name.
 
 Nulls and empty texts have no licence.  Everything is built from Spark's own functions.
 """
@@ -40,6 +43,18 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def bounds(sizes: list[int], least: float) -> tuple[int, int]:
+    """Fewest and most bigrams of lines that can reach the coefficient; the small number keeps exact ties inside."""
+    return math.ceil(min(sizes) * least / (2 - least) - 1e-9), math.floor(max(sizes) * (2 - least) / least + 1e-9)
+
+
+def least_keys(own: list[str], least: float) -> list[str]:
+    """The longest bigrams of a template, so many that each line of at least this coefficient holds one of them."""
+    fewest, _ = bounds([len(own)], least)
+    shared = math.ceil(least * (fewest + len(own)) / 2 - 1e-9)
+    return sorted(own, key=lambda b: (-len(b), b))[: len(own) - shared + 1]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` with line (from 0), licence and dice: the best template of each line that has one of at least `least`.
 
@@ -48,15 +63,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     templates = TEMPLATES if templates is None else templates
     if len(templates) > 1000:
         raise ValueError("more than 1000 templates: scan in several passes")
+    if not 0 < least <= 1:
+        raise ValueError("the least coefficient lies in (0, 1]")
     known = {name: b for name, text in sorted(templates.items()) if (b := bigrams(text))}
     if not known:
         known = {"": ["\0"]}
     sizes = [len(b) for b in known.values()]
-    fewest, most = math.ceil(min(sizes) * least / (2 - least)), math.floor(max(sizes) * (2 - least) / least)
+    fewest, most = bounds(sizes, least)
+    keys = sorted({k for own in known.values() for k in least_keys(own, least)})
+    pattern = "(?i)" + "|".join(k.replace(" ", "[^A-Za-z0-9]+") for k in keys)
     # by code points only ASCII letters are lowered, as all others separate
-    lines = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    lines = docs.filter(F.col("text").rlike(pattern)).select(*keep, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     # distinct bigrams are at most the words less one; repeated words make them fewer, so only the lower bound holds for words
-    lines = lines.filter(F.length("raw") >= 2 * fewest + 1)
+    lines = lines.filter((F.length("raw") >= 2 * fewest + 1) & F.col("raw").rlike(pattern))
     words = F.split(F.trim(F.lower(F.regexp_replace("raw", "[^A-Za-z0-9]+", " "))), " ")
     lines = lines.select(*keep, "line", words.alias("words")).filter(F.size("words") > fewest)
     # neighbours are paired without naming the words inside a lambda, where they would be built anew for each element
@@ -64,7 +83,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     lines = lines.select(*keep, "line", pairs.alias("pairs")).filter(F.size("pairs").between(fewest, most))
     scored = []
     for name, own in known.items():
-        low, high = math.ceil(len(own) * least / (2 - least)), math.floor(len(own) * (2 - least) / least)
+        low, high = bounds([len(own)], least)
         shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, own))))
         dice = F.when(F.size("pairs").between(low, high), F.lit(2.0) * shared / (F.size("pairs") + F.lit(len(own))))
         scored.append(F.struct(F.coalesce(dice, F.lit(0.0)).alias("dice"), F.lit(name).alias("licence")))

@@ -182,6 +182,27 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_license_sizes_hold_exact_ties(spark):
+    """Four of six bigrams and no others are exactly 0.8."""
+    got = licenses.scan(spark.createDataFrame([(1, "licensed under cc by nc")], "doc_id long, text string")).collect()
+    assert [(r.licence, r.dice) for r in got] == [("CC-BY-NC-4.0", 0.8)]
+
+
+def test_license_keys_lose_no_line():
+    r = random.Random(5)
+    for text in licenses.TEMPLATES.values():
+        own, words = licenses.bigrams(text), licenses.normal_words(text)
+        keys = set(licenses.least_keys(own, licenses.LEAST))
+        for _ in range(3000):
+            line = list(words)
+            for _ in range(r.randrange(6)):
+                k = r.randrange(len(line) + 1)
+                line[k : k + r.randrange(2)] = [r.choice([*words, "x"])] * r.randrange(2)
+            b = licenses.bigrams(" ".join(line))
+            if b and 2 * len(set(own) & set(b)) / (len(own) + len(b)) >= licenses.LEAST:
+                assert keys & set(b)
+
+
 def test_rule_statistics_equal_brute_force(spark, texts, odd):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
     for r in rules.judge(df, [], ("doc_id", "text")).collect():
