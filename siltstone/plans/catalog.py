@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import relations as R
+from siltstone.plans import selection  # noqa: F401  (registers its queries)
+from siltstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from siltstone.sources.tables import files, table
 from siltstone.streaming.events import windowed_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 _TOKENS = "list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-zA-Z0-9]+'), lambda t: t <> '')"
 _EDGES = """links as (select distinct p.page_id src, q.page_id dst from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) url from pages) p join pages q on p.url = q.url where p.page_id <> q.page_id)"""
 
