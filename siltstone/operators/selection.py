@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def select_under_budget(candidates: DataFrame, budget: int, cap: int) -> DataFrame:
+def select_under_budget(candidates: DataFrame, budget: int, cap: int | None = None) -> DataFrame:
     """Skip and continue: (task, path, rank, tokens, selected) for candidates (task, path, score, tokens).
 
     By falling score, then path, each candidate is taken if it still fits, else the next is tried; a
-    candidate without a positive score is never taken.  Only the best `cap` of a task are tried: that
-    many rows meet in one aggregate, however many candidates a task has.
+    candidate without a positive score is never taken.  Every candidate has a row, unless `cap` asks
+    for the best ones of a task alone.  The rows of a task are read as one sorted stream with a rank
+    and a running total, so memory doesn't grow with their number.
     Rows with a null task, path, score or tokens are left out.
     """
-    w = Window.partitionBy("task").orderBy(F.desc("score"), "path")
-    known = candidates.select("task", "path", "score", "tokens").dropna().filter("score > 0")
-    best = known.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= cap)
-    row = F.struct("rank", "path", F.col("tokens").cast("long").alias("tokens"))
-    tasks = best.groupBy("task").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
-
-    def step(state: Column, x: Column) -> Column:
-        fits = state["used"] + x["tokens"] <= budget
-        return F.struct((state["used"] + F.when(fits, x["tokens"]).otherwise(0)).alias("used"), F.concat(state["taken"], F.array(fits)).alias("taken"))
-
-    taken = F.aggregate("rows", start, step, lambda s: s["taken"])
-    return tasks.select("task", F.explode(F.arrays_zip("rows", taken.alias("selected"))).alias("x")).select("task", "x.rows.path", "x.rows.rank", "x.rows.tokens", "x.selected")
+    known = candidates.select("task", "path", "score", F.col("tokens").cast("long").alias("tokens")).dropna().filter("score > 0")
+    ordered = known.repartition("task").sortWithinPartitions("task", F.desc("score"), "path", "tokens").select("task", "path", "tokens")
+    schema = T.StructType([known.schema["task"], known.schema["path"], T.StructField("rank", T.LongType()), known.schema["tokens"], T.StructField("selected", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, now, rank, used = False, None, 0, 0
+        for batch in batches:
+            ranks, taken = [], []
+            for task, tokens in zip(batch.column("task").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if not started or task != now:
+                    started, now, rank, used = True, task, 0, 0
+                rank += 1
+                fits = used + tokens <= budget
+                used += tokens if fits else 0
+                ranks.append(rank)
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("path"), pa.array(ranks, pa.int64()), batch.column("tokens"), pa.array(taken, pa.bool_())], schema.names)
+
+    chosen = ordered.mapInArrow(run, schema)
+    return chosen if cap is None else chosen.filter(F.col("rank") <= cap)
 
 
 def expected_ranks(ranked: DataFrame, group: str) -> DataFrame:

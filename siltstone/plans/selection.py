@@ -25,7 +25,7 @@ select task, path, rank, tokens::bigint tokens, selected from g""")
 def select_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation, longest first, into a budget of tokens."""
     turns = table(spark, sf_dir, "conversations")
-    return S.select_under_budget(turns.select(F.col("conv_id").alias("task"), F.col("turn").alias("path"), F.length("text").alias("score"), X.estimate_tokens(F.col("text")).alias("tokens")), BUDGET, TRIED)
+    return S.select_under_budget(turns.select(F.col("conv_id").alias("task"), F.col("turn").alias("path"), F.length("text").alias("score"), X.estimate_tokens(F.col("text")).alias("tokens")), BUDGET)
 
 
 _JUDGED = f"j as (select doc_id, source, n_chars, {_COST} tokens, quality = 1 expected, row_number() over (partition by source order by n_chars desc, doc_id) rank from documents join (select doc_id, max(quality) quality from labels group by 1) using (doc_id))"

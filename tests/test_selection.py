@@ -14,6 +14,23 @@ def test_smaller_candidates_still_fit(spark):
     assert S.select_under_budget(df.limit(0), 100, 10).count() == 0
 
 
+def test_candidates_after_many_large_ones_are_tried(spark):
+    rows = [("t", i, 1000 - i, 601) for i in range(100)] + [("t", 100 + i, 500 - i, 7) for i in range(100)]
+    df = spark.createDataFrame(rows, "task string, path int, score int, tokens int")
+    got = {r.path: (r.rank, r.selected) for r in S.select_under_budget(df, 600).collect()}
+    # 85 times 7 is 595
+    assert got == {i: (i + 1, 100 <= i < 185) for i in range(200)}
+
+
+def test_select_greedy_tries_every_turn(spark, tmp_path):
+    from siltstone.plans.selection import select_greedy
+
+    rows = [(1, i, "user", "x" * 2404) for i in range(70)] + [(1, 70, "user", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.path: (r["rank"], r.selected) for r in select_greedy(spark, str(tmp_path)).collect()}
+    assert len(got) == 71 and got[70] == (71, True) and not any(s for p, (_, s) in got.items() if p < 70)
+
+
 def test_expected_ranks_pick_halves_to_even(spark):
     df = spark.createDataFrame([("x", i, i in (1, 3, 4, 30)) for i in range(1, 31)] + [("none", 1, False)], "g string, rank int, expected boolean")
     (r,) = S.expected_ranks(df, "g").collect()
