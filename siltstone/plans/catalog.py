@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import relations as R
+from siltstone.operators.ranking import rank_for_tasks
 from siltstone.plans import selection  # noqa: F401  (registers its queries)
 from siltstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from siltstone.sources.tables import files, table
@@ -29,6 +30,19 @@ def doc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rank_for_task(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id = 0"))
 
 
+@query(f"""
+with wanted as (select distinct item_id, unnest({_TOKENS}) term from benchmark),
+held as (select doc_id, term from (select doc_id, unnest(list_distinct({_TOKENS})) term from documents) where term in (select term from wanted where length(term) >= 3)),
+w as (select term, round(least(1, greatest(0, ln(((select count(*) from documents) + 1) / (count(*) + 1)) / ln((select count(*) from documents) + 1.0))) * 1000)::bigint points from held group by term),
+c as (select item_id, doc_id, least(60000, sum(points) * 10) content from held join w using (term) join wanted using (term) group by 1, 2),
+s as (select item_id, doc_id, content + case when contains(d.text, b.text) then 360000 else 0 end score, greatest(1, length(d.text) // 4)::bigint tokens from c join documents d using (doc_id) join benchmark b using (item_id)),
+r as (select item_id, doc_id, score / 1000.0::double score, row_number() over w rank, tokens, (sum(tokens) over w)::bigint running from s where score > 0 window w as (partition by item_id order by score desc, doc_id))
+select *, running <= 50000 selected from r where running - tokens <= 50000""")
+def doc_rank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item the documents that its budget reaches; doc_rank is one item's best 200, as its SQL says."""
+    return rank_for_tasks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""select case when source in ('src1') then 'ignored' when greatest(1, length(text) // 4) > 4000 then 'too_large' else 'packable' end bucket, count(*) n, sum(greatest(1, length(text) // 4))::bigint tokens from documents group by 1""")
 def scan_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(table(spark, sf_dir, "documents"), ("src1",)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))

@@ -1,12 +1,14 @@
 """Hand-written cases of column functions, operators and streams."""
 
 import json
+import math
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text as X
 from siltstone.operators import relations as R
+from siltstone.operators.ranking import rank_for_tasks
 from siltstone.sources.tables import json_lines
 from siltstone.streaming import events as S
 
@@ -62,3 +64,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, S.windowed_counts(events).collect()))
+
+
+def test_every_task_ranks_until_its_budget(spark):
+    docs = spark.createDataFrame([(i, "rare") for i in range(300)] + [(i, "other word") for i in range(300, 900)] + [(900, None)], "doc_id long, text string").repartition(5)
+    tasks = spark.createDataFrame([(0, "rare"), (1, "a word in other"), (2, "none of it"), (3, None)], "item_id long, text string")
+    got = rank_for_tasks(docs, tasks, budget=250).collect()
+    one = {k: sorted((r["rank"], r.doc_id, r.running, r.selected) for r in got if r.item_id == k) for k in {r.item_id for r in got}}
+    assert set(one) == {0, 1}
+    # texts of one token (rare) and of two (other word): 250 and 125 fit, one more shows where the budget ends
+    assert one[0] == [(i + 1, i, i + 1, i < 250) for i in range(251)]
+    assert one[1] == [(i + 1, 300 + i, 2 * i + 2, i < 125) for i in range(126)]
+    assert {r.score for r in got if r.item_id == 0} == {360 + min(60, round(1000 * math.log(901 / 301) / math.log(901)) / 100)}
+    assert rank_for_tasks(docs, tasks, budget=250, top=3).count() == 6
+    assert rank_for_tasks(docs.limit(0), tasks).count() == 0
