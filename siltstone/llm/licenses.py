@@ -1,24 +1,29 @@
-"""Licence lines: Dice coefficient over word bigrams against templates.
-
-Each line of a text is normalised (lower case, runs of anything but letters and
-digits become one space) and its distinct word bigrams are held against those
-of each template.  Lines whose number of bigrams can't reach the least
-coefficient are pruned by size before any bigram is built: with b bigrams in
-the template, t the least coefficient, a line needs between b*t/(2-t) and
-b*(2-t)/t.  Before that a prefix filter, as of set similarity joins, drops texts
-and lines that can't share enough: where s of b bigrams must be shared, any
-b - s + 1 of them leave none that holds none of these.  It loses no match.
+"""Licences: Dice coefficient over word bigrams against templates.
+
+A text is normalised (ASCII lower case, runs of anything but letters and digits
+separate words).  The distinct bigrams of each line are held against those of
+each template; then windows of the whole text, over line ends, within the size
+bounds: with b bigrams in the template and t the least coefficient, a match has
+between b*t/(2-t) and b*(2-t)/t bigrams.  Texts with fewer bigrams of a template
+than any match must share are left out for it, which loses no match.
 Ties go to the licence that comes first by name.
 
-Nulls and empty texts have no licence.  Everything is built from Spark's own functions.
+Nulls and empty texts have no licence.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.llm.notices import TEXTS
+from siltstone.llm.storage import mapped
 
 LEAST = 0.8
 #: Licence templates: the notices that stand for a licence (fixed values).
@@ -55,41 +60,114 @@ def least_keys(own: list[str], least: float) -> list[str]:
     return sorted(own, key=lambda b: (-len(b), b))[: len(own) - shared + 1]
 
 
+#: Bytes as words are made of: ASCII letters in lower case, digits and line ends; all else separates.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+Pair = tuple[bytes, bytes]
+
+
+class Matcher:
+    """Finds lines and windows of texts that reach the least coefficient with a template."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float) -> None:
+        owns = [(name, {tuple(p.encode().split()) for p in bigrams(text)}) for name, text in sorted(templates)]
+        self.least, self.owns = least, [(name, own) for name, own in owns if own]
+        self.bounds = [bounds([len(own)], least) for _, own in self.owns]
+        self.shared = [math.ceil(least * (low + len(own)) / 2 - 1e-9) for (low, _), (_, own) in zip(self.bounds, self.owns, strict=True)]
+        self.holders: dict[Pair, list[int]] = {}
+        for k, (_, own) in enumerate(self.owns):
+            for pair in own:
+                self.holders.setdefault(pair, []).append(k)
+
+    def line(self, pairs: set[Pair]) -> tuple[float, str]:
+        """The best coefficient of a line; ties go to the name that comes first."""
+        best = (0.0, "")
+        near = sorted({k for p in pairs for k in self.holders.get(p, ())})
+        for name, own in (self.owns[k] for k in near):
+            dice = 2.0 * len(pairs & own) / (len(pairs) + len(own))
+            if dice > best[0]:
+                best = (dice, name)
+        return best
+
+    def windows(self, pairs: list[Pair], hits: list[int], k: int, free: list[bool]) -> list[tuple[float, str, int, int]]:
+        """(-dice, licence, first, last) of template k: the best window from each of its bigrams that begins one.
+
+        The best windows start and end with a bigram of the template; those with too few of them within reach are left out.
+        """
+        (name, own), (_, most), shared, out = self.owns[k], self.bounds[k], self.shared[k], []
+        for n, first in enumerate(hits):
+            within = hits[n : bisect.bisect_left(hits, first + most, n)]
+            if len(within) < shared or not free[first]:
+                continue
+            seen: set[Pair] = set()
+            at, common, best = first, 0, (0.0, 0)
+            for last in within:
+                if not all(free[at : last + 1]):
+                    break
+                common += pairs[last] not in seen
+                seen.update(pairs[at : last + 1])
+                at = last + 1
+                best = max(best, (2.0 * common / (len(seen) + len(own)), -last))
+            if best[0] >= self.least:
+                out.append((-best[0], name, first, -best[1]))
+        return out
+
+    def find(self, text: str) -> list[tuple[int, str, float]]:
+        """(line, licence, dice): lines that reach the coefficient, and windows of the rest of the text by the line they start in."""
+        raw = text.encode().translate(_WORDS)
+        words = raw.split()
+        pairs = list(zip(words, words[1:], strict=False))
+        hits: dict[int, list[int]] = {}
+        holders = self.holders
+        for i, pair in enumerate(pairs):
+            if pair in holders:
+                for k in holders[pair]:
+                    hits.setdefault(k, []).append(i)
+        near = [k for k, at in hits.items() if len(at) >= self.shared[k]]
+        if not near:
+            return []
+        of = [n for n, line in enumerate(raw.split(b"\n")) for _ in line.split()]
+        free, found = [True] * len(pairs), {}
+        hit = {i for k in near for i in hits[k]}
+        start = 0
+        for n, group in itertools.groupby(of):
+            end = start + len(list(group))
+            if any(i in hit for i in range(start, end - 1)):
+                dice, name = self.line(set(pairs[start : end - 1]))
+                if dice >= self.least:
+                    found[n, name] = dice
+                    # the pairs of a found line and those that lead into it and out of it
+                    for i in range(max(0, start - 1), min(end, len(pairs))):
+                        free[i] = False
+            start = end
+        for minus, name, first, last in sorted(w for k in near for w in self.windows(pairs, hits[k], k, free)):
+            if all(free[first : last + 1]):
+                free[first : last + 1] = [False] * (last + 1 - first)
+                found.setdefault((of[first], name), -minus)
+        return sorted((n, name, dice) for (n, name), dice in found.items())
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` with line (from 0), licence and dice: the best template of each line that has one of at least `least`.
 
-    The templates become literals of the plan: their number is that of a small dictionary, checked here.
+    Notices inside longer lines or over several lines, and whole texts, are found by windows of the
+    words that the found lines leave, and stand with the line in which they start.
     """
-    templates = TEMPLATES if templates is None else templates
-    if len(templates) > 1000:
+    chosen = [*TEMPLATES.items(), *TEXTS] if templates is None else list(templates.items())
+    if len(chosen) > 1000:
         raise ValueError("more than 1000 templates: scan in several passes")
     if not 0 < least <= 1:
         raise ValueError("the least coefficient lies in (0, 1]")
-    known = {name: b for name, text in sorted(templates.items()) if (b := bigrams(text))}
-    if not known:
-        known = {"": ["\0"]}
-    sizes = [len(b) for b in known.values()]
-    fewest, most = bounds(sizes, least)
-    keys = sorted({k for own in known.values() for k in least_keys(own, least)})
-    pattern = "(?i)" + "|".join(k.replace(" ", "[^A-Za-z0-9]+") for k in keys)
-    # by code points only ASCII letters are lowered, as all others separate
-    lines = docs.filter(F.col("text").rlike(pattern)).select(*keep, F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    # distinct bigrams are at most the words less one; repeated words make them fewer, so only the lower bound holds for words
-    lines = lines.filter((F.length("raw") >= 2 * fewest + 1) & F.col("raw").rlike(pattern))
-    words = F.split(F.trim(F.lower(F.regexp_replace("raw", "[^A-Za-z0-9]+", " "))), " ")
-    lines = lines.select(*keep, "line", words.alias("words")).filter(F.size("words") > fewest)
-    # neighbours are paired without naming the words inside a lambda, where they would be built anew for each element
-    pairs = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    lines = lines.select(*keep, "line", pairs.alias("pairs")).filter(F.size("pairs").between(fewest, most))
-    scored = []
-    for name, own in known.items():
-        low, high = bounds([len(own)], least)
-        shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, own))))
-        dice = F.when(F.size("pairs").between(low, high), F.lit(2.0) * shared / (F.size("pairs") + F.lit(len(own))))
-        scored.append(F.struct(F.coalesce(dice, F.lit(0.0)).alias("dice"), F.lit(name).alias("licence")))
-    best = F.reduce(F.array(*scored), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("licence")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    found = lines.select(*keep, F.col("line").cast("long").alias("line"), best.alias("best"))
-    return found.filter(F.col("best.dice") >= least).select(*keep, "line", "best.licence", "best.dice")
+    matcher = Matcher(chosen, least)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("line", T.LongType()), T.StructField("licence", T.StringType()), T.StructField("dice", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *f) for i, text in enumerate(batch.column("text")) for f in matcher.find(text.as_py())]
+            at, lines, names, dice = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in keep] + [pa.array(lines, pa.int64()), pa.array(names, pa.string()), pa.array(dice, pa.float64())], schema.names)
+
+    return mapped(docs.filter("text is not null").select(*keep, "text"), run, schema)
 
 
 def oracle() -> str:

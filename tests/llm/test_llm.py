@@ -182,6 +182,17 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_licenses_inside_and_over_lines(spark):
+    mit = next(t for n, t in licenses.TEXTS if n == "MIT").split()
+    wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    rows = [
+        "This file is released under the MIT License.", "Copyright Example Org. Licensed under the Apache License, Version 2.0 (the License);", "x\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License. And more",
+        f"Title\n\n{wrapped}\nthe end", "Released under the MIT License.\nnothing", "the license of this software is the license of the work " * 50,
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.line, r.licence, r.dice) for r in got) == [(0, 0, "MIT", 1.0), (1, 0, "Apache-2.0", 1.0), (2, 1, "CC-BY-4.0", 1.0), (3, 2, "MIT", 1.0), (4, 0, "MIT", 1.0)]
+
+
 def test_license_sizes_hold_exact_ties(spark):
     """Four of six bigrams and no others are exactly 0.8."""
     got = licenses.scan(spark.createDataFrame([(1, "licensed under cc by nc")], "doc_id long, text string")).collect()
