@@ -13,14 +13,21 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(text, label) of at most `limit` labelled rows, the first by a hash of their id.
+    """(text, label) of at most `limit` labelled ids, the first by a hash of their id; an id is one row.
 
     Ids are chosen without reading texts; the chosen ones, whose number is
-    bounded by `limit`, are broadcast to the scan of the documents.
+    bounded by `limit`, are broadcast to the scan of the documents.  Of several rows
+    of an id the least label counts, and of its texts (with that label, where the
+    documents hold the labels themselves) the one with the least hash.
     """
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    if labels is docs:
+        found = docs.select("doc_id", "text", F.col(label).alias("label")).join(F.broadcast(chosen), ["doc_id", "label"])
+    else:
+        found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x"))
+    return one.select("x.text", "label")
 
 
 def logistic_weights(x: np.ndarray, truth: np.ndarray) -> np.ndarray:

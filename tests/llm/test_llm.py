@@ -250,3 +250,13 @@ def test_chat_round_trip(spark):
     assert got[2].loss_chars == 0 and got[None].loss_chars == 5
     assert got[1].turns_sha256 == hashlib.sha256("".join(f"{role or ''}\n{t or ''}\n" for _, _, role, t in rows[:15]).encode()).hexdigest()
     assert chat.digests(chat.examples(df.limit(0))).count() == 0
+
+
+def test_sample_takes_an_id_once(spark):
+    from siltstone.llm.labels import sample
+
+    docs = spark.createDataFrame([(1, "a", "en"), (1, "b", "de"), (1, "c", "en")] * 20 + [(2, "d", "fr"), (3, None, "es")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)] * 20 + [(2, 1), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = sorted((r.label, r.text or "") for r in sample(docs, labels, "toxic", 3).collect())
+    assert [x for x, _ in got] == [0, 1, 1] and [t for _, t in got][1:] == ["", "d"] and got[0][1] in "abc"
+    assert sorted((r.label, r.text) for r in sample(docs, docs, "lang", 5).collect()) == [("de", "b"), ("es", None), ("fr", "d")]
