@@ -39,8 +39,8 @@ DECAY, LETTERS = 0.6, 40
 #: Distances of a triple's second and third letter: it spans five letters at most.
 GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 LANDMARKS, TURNS = 64, 3
-#: Labelled rows for training, at most, and the units kept of one of them.
-SAMPLE, UNITS = 5_000, 4_000
+#: Labelled rows for training, at most.
+SAMPLE = 5_000
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
@@ -248,7 +248,7 @@ def train(bags: list[list[str]], truth: np.ndarray, seed: int = 11) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE) -> Model:
-    """Train on at most `limit` labelled rows; what comes to the driver are their distinct units, UNITS of each at most."""
+    """Train on at most `limit` labelled rows; what comes to the driver are all their distinct units."""
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("units", T.StringType())])
     letters = np.array([" ", *map(chr, range(97, 123)), *(bytes([0xC3, next(b for b in range(0xA0, 0xB7) if _CODE[b] == k)]).decode() for k in range(27, LETTERS))])
 
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
                 rows = []
                 for text in block.column("text"):
                     codes, _, _ = unit_codes(pa.array([text.as_py() or ""], pa.large_string()))
-                    rows.append(" ".join(sorted(set("".join(letters[codes]).split()))[:UNITS]))
+                    rows.append(" ".join(sorted(set("".join(letters[codes]).split()))))
                 yield pa.RecordBatch.from_arrays([block.column("label").cast(pa.int32()), pa.array(rows, pa.string())], schema.names)
 
     got = sorted(tuple(r) for r in mapped(sample(docs, labels, label, limit), run, schema).collect())

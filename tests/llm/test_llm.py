@@ -260,3 +260,12 @@ def test_sample_takes_an_id_once(spark):
     got = sorted((r.label, r.text or "") for r in sample(docs, labels, "toxic", 3).collect())
     assert [x for x, _ in got] == [0, 1, 1] and [t for _, t in got][1:] == ["", "d"] and got[0][1] in "abc"
     assert sorted((r.label, r.text) for r in sample(docs, docs, "lang", 5).collect()) == [("de", "b"), ("es", None), ("fr", "d")]
+
+
+def test_toxicity_trains_on_all_units_of_a_text(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    words = {f"{a}{b}{c}x" for a in letters for b in letters for c in letters[:11]} | {"zebra"}
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, truth: seen.extend(bags))
+    toxicity.fit(spark.createDataFrame([(1, " ".join(sorted(words)))], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert len(words) > 4000 and set(seen[0]) == words
