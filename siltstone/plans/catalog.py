@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import relations as R
 from siltstone.operators.ranking import rank_for_tasks
-from siltstone.plans import selection  # noqa: F401  (registers its queries)
+from siltstone.plans import files as _files  # noqa: F401  (these register their queries)
+from siltstone.plans import selection  # noqa: F401
+from siltstone.plans import tasks as _tasks  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from siltstone.sources.tables import files, table
 from siltstone.streaming.events import windowed_counts
