@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import relations as R
 from siltstone.operators.ranking import rank_for_tasks
+from siltstone.plans import boosts as _boosts  # noqa: F401
 from siltstone.plans import files as _files  # noqa: F401  (these register their queries)
 from siltstone.plans import scoring as _scoring  # noqa: F401
 from siltstone.plans import selection  # noqa: F401
