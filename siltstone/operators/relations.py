@@ -35,14 +35,43 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", status.alias("status"))
 
 
+def page_key(url: Column) -> Column:
+    """A URL as the place of a page: without scheme, query, fragment and a slash at its end."""
+    return F.regexp_replace(F.regexp_replace(url, "^https?://|[?#].*$", ""), "/+$", "")
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst): pages that link to another page of the table."""
-    found = pages.select(F.col("page_id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("url"))
-    return found.join(pages.select("url", F.col("page_id").alias("dst")), "url").filter("src != dst").select("src", "dst").distinct()
+    """(src, target, dst): where each page links to, and the page of that place (-1 if the table has none).
+
+    Absolute targets stand for themselves; those with a slash belong to the page's host, others to its folder.
+    Targets that no page has are kept by their name, so they count as neighbours; anchors and links of a page
+    to itself don't.  Of several pages of one place the first counts.
+    """
+    own = page_key(F.col("url"))
+    found = pages.select(F.col("page_id").alias("src"), own.alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("href"))
+    at_host = F.concat(F.regexp_extract("own", "^[^/]*", 0), F.col("href"))
+    in_folder = F.concat(F.regexp_replace("own", "/[^/]*$", ""), F.lit("/"), F.col("href"))
+    target = page_key(F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), at_host).otherwise(in_folder))
+    rows = found.filter("href != '' and not startswith(href, '#')").select("src", "own", target.alias("target")).filter("target != own").select("src", "target").distinct()
+    places = pages.groupBy(own.alias("target")).agg(F.min("page_id").alias("dst"))
+    return rows.join(places, "target", "left").select("src", "target", F.coalesce("dst", F.lit(-1)).alias("dst"))
+
+
+def ranked_within(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """rows with `rank` in their group by falling value, then tie.
+
+    A row's rank is the number of rows with greater values, from counts of the distinct values, and its place
+    among equals: so a large group is spread over its values instead of being sorted in one task.
+    """
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    above = Window.partitionBy(group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(group, value, F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
+    placed = rows.join(before, [group, value])
+    return placed.withColumn("rank", (F.col("before") + F.row_number().over(Window.partitionBy(group, value).orderBy(tie))).cast("long")).drop("before")
 
 
 def hops(edges: DataFrame) -> DataFrame:
-    """(src, dst, hops): neighbours at one or two steps, each at its fewest."""
+    """(src, dst, hops): neighbours at one or two steps, each at its fewest; edges: (src, dst)."""
     second = edges.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
     both = edges.withColumn("hops", F.lit(1)).unionByName(second.filter("src != dst").withColumn("hops", F.lit(2)))
     return both.groupBy("src", "dst").agg(F.min("hops").cast("int").alias("hops"))
@@ -101,15 +130,31 @@ def index_percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
     return placed.groupBy(key).agg(at(F.floor(F.col("total") / 2)).alias("p50"), at(F.floor((F.col("total") - 1) * 95 / 100)).alias("p95"))
 
 
+#: Literals without an inner word that are tried on all texts in one pass.
+SHORT_LITERALS = 500
+
+
 def holds(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    """(doc_id, item_id): texts that hold a literal.  The literal's longest inner word is joined on; the text is searched only then."""
-    inner = F.filter(F.split("text", "[ \\n]"), lambda w: w != "")
+    """(doc_id, item_id): texts that hold a literal.  The literal's longest inner word is joined on; the text is searched only then.
+
+    A literal of fewer than three words has no inner word: its first and last may be cut by the text.  Such
+    literals are a query set that goes over all texts, in blocks of a checked size.  Nulls are left out.
+    """
+    docs, literals = docs.select("doc_id", "text").dropna(), literals.select("item_id", F.col("text").alias("literal")).dropna().distinct()
+    inner = F.filter(F.split("literal", "[ \\n]"), lambda w: w != "")
     inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
     longest = F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    keyed = literals.select("item_id", F.col("text").alias("literal"), longest.alias("word"))
+    keyed = literals.withColumn("word", longest)
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \\n]"))).alias("word"))
-    near = words.join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    return near.join(docs.select("doc_id", "text"), "doc_id").join(literals.select("item_id", F.col("text").alias("literal")), "item_id").filter(F.col("text").contains(F.col("literal"))).select("doc_id", "item_id")
+    near = words.join(keyed.filter("word != ''").select("item_id", "literal", "word"), "word").select("doc_id", "item_id", "literal").distinct()
+    out = near.join(docs, "doc_id").filter(F.col("text").contains(F.col("literal"))).select("doc_id", "item_id").distinct()
+    short = keyed.filter("word = ''").select("item_id", "literal")
+    n = short.count()
+    passes = -(-n // SHORT_LITERALS)
+    for k in range(passes):
+        block = short if passes == 1 else short.filter(F.pmod(F.xxhash64("literal"), F.lit(passes)) == k)
+        out = out.unionByName(docs.join(F.broadcast(block), F.col("text").contains(F.col("literal"))).select("doc_id", "item_id").distinct())
+    return out
 
 
 def rank_for_task(docs: DataFrame, task: DataFrame, top: int = 200, budget: int = 50_000) -> DataFrame:
@@ -125,19 +170,14 @@ def rank_for_task(docs: DataFrame, task: DataFrame, top: int = 200, budget: int
     content = held.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.least(F.lit(60_000), F.sum("points") * 10).alias("content"))
     literal = docs.join(F.broadcast(task.select(F.col("text").alias("literal")))).filter(F.col("text").contains(F.col("literal"))).select("doc_id", F.lit(360_000).alias("literal"))
     tokens = docs.select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
-    scored = content.join(literal, "doc_id", "left").select("doc_id", (F.col("content") + F.coalesce("literal", F.lit(0))).alias("score")).filter("score > 0")
+    both = F.coalesce("content", F.lit(0)) + F.coalesce("literal", F.lit(0))
+    scored = content.join(literal, "doc_id", "full").select("doc_id", both.alias("score")).filter("score > 0")
     best = scored.orderBy(F.desc("score"), "doc_id").limit(top).join(tokens, "doc_id")
     w = Window.orderBy(F.desc("score"), "doc_id")
     out = best.select("doc_id", (F.col("score") / 1000.0).alias("score"), F.row_number().over(w).cast("long").alias("rank"), "tokens", F.sum("tokens").over(w).alias("running"))
     return out.withColumn("selected", F.col("running") <= budget)
 
 
-def boosts(tasks: DataFrame, feedback: DataFrame, cap: int = 60) -> DataFrame:
-    """(task_id, feedback_id, overlap, boost) where terms overlap: 18 and 3 for each shared term up to 12, capped."""
-    shared = tasks.join(feedback, "term").groupBy("task_id", "feedback_id").agg(F.count("*").alias("overlap"))
-    return shared.withColumn("boost", F.least(F.lit(cap), 18 + F.least(F.lit(12), 3 * F.col("overlap"))).cast("long"))
-
-
 def repeated_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, line, n): lines that a text holds several times; counted inside the shuffle, so a hot line stays spread over documents."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")

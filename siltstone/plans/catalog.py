@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import relations as R
+from siltstone.operators.history import feedback_boosts as feedback
 from siltstone.operators.ranking import rank_for_tasks
 from siltstone.plans import boosts as _boosts  # noqa: F401
+from siltstone.plans import evaluation as _evaluation  # noqa: F401
 from siltstone.plans import files as _files  # noqa: F401  (these register their queries)
+from siltstone.plans import history as _history  # noqa: F401
 from siltstone.plans import scoring as _scoring  # noqa: F401
 from siltstone.plans import selection  # noqa: F401
+from siltstone.plans import selector as _selector  # noqa: F401
 from siltstone.plans import tasks as _tasks  # noqa: F401
+from siltstone.plans.boosts import BASE
+from siltstone.plans.boosts import edges as import_edges
 from siltstone.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from siltstone.sources.tables import files, table
 from siltstone.streaming.events import windowed_counts
 
 _TOKENS = "list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-zA-Z0-9]+'), lambda t: t <> '')"
-_EDGES = """links as (select distinct p.page_id src, q.page_id dst from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) url from pages) p join pages q on p.url = q.url where p.page_id <> q.page_id)"""
+_PLACE = "regexp_replace(regexp_replace({}, '^https?://|[?#].*$', '', 'g'), '/+$', '')"
+_HREFS = "own_ as (select page_id src, " + _PLACE.format("url") + """ own, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) href from pages)"""
+_TARGET = _PLACE.format("case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then regexp_extract(own, '^[^/]*') || href else regexp_replace(own, '/[^/]*$', '') || '/' || href end")
+_EDGES = f"""{_HREFS}, t as (select distinct src, {_TARGET} target from own_ where href <> '' and not starts_with(href, '#') and {_TARGET} <> own),
+links as (select src, target, coalesce(dst, -1) dst from t left join (select {_PLACE.format("url")} target, min(page_id) dst from pages group by 1) using (target))"""
 
 
 @query(f"""
@@ -93,18 +103,33 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.links(table(spark, sf_dir, "pages"))
 
 
-@query(f"with {_EDGES} select page_id, (select count(*) from links where src = page_id) n_out, (select count(*) from links where dst = page_id) n_in from pages")
+@query(f"with {_EDGES} select page_id, (select count(*) from links where src = page_id) n_out, (select count(*) from links where dst = page_id) n_in, (select count(*) from links where src = page_id and target in (select target from links group by 1 having count(*) > 1)) n_shared from pages")
 def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     edges = R.links(pages)
     out, into = edges.groupBy(F.col("src").alias("page_id")).agg(F.count("*").alias("o")), edges.groupBy(F.col("dst").alias("page_id")).agg(F.count("*").alias("i"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return pages.select("page_id").join(out, "page_id", "left").join(into, "page_id", "left").select("page_id", zero("o").alias("n_out"), zero("i").alias("n_in"))
+    common = edges.groupBy("target").agg(F.count("*").alias("n")).filter("n > 1").select("target")
+    shared = edges.join(common, "target", "left_semi").groupBy(F.col("src").alias("page_id")).agg(F.count("*").alias("s"))
+    joined = pages.select("page_id").join(out, "page_id", "left").join(into, "page_id", "left").join(shared, "page_id", "left")
+    return joined.select("page_id", zero("o").alias("n_out"), zero("i").alias("n_in"), zero("s").alias("n_shared"))
 
 
-@query(f"with {_EDGES}, b as (select src, dst, 1 h from links union all select a.src, b.dst, 2 from links a join links b on a.dst = b.src where a.src <> b.dst) select src, dst, min(h)::int hops from b group by 1, 2")
+_NODES = f"n as (select distinct {_PLACE.format('url')} src, target dst from links join pages on page_id = links.src)"
+
+
+@query(f"with {_EDGES}, {_NODES}, b as (select src, dst, 1 h from n union all select a.src, b.dst, 2 from n a join n b on a.dst = b.src where a.src <> b.dst) select src, dst, min(h)::int hops from b group by 1, 2")
 def link_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hops(R.links(table(spark, sf_dir, "pages")))
+    """Places at one or two steps from each page."""
+    pages = table(spark, sf_dir, "pages")
+    named = R.links(pages).join(pages.select(F.col("page_id").alias("src"), R.page_key(F.col("url")).alias("own")), "src")
+    return R.hops(named.select(F.col("own").alias("src"), F.col("target").alias("dst")).distinct())
+
+
+@query(f"with {BASE}, b as (select src, dst, 1 h from edges union all select a.src, b.dst, 2 from edges a join edges b on a.dst = b.src where a.src <> b.dst) select src, dst, min(h)::int hops from b group by 1, 2")
+def import_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files at one or two steps along imports."""
+    return R.hops(import_edges(spark, sf_dir))
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +184,11 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return docs.join(labels, "doc_id").select("source", F.row_number().over(w).alias("rank"), (F.col("quality") == 1).alias("expected"))
+    rows = R.ranked_within(docs, "source", "n_chars", "doc_id").join(labels, "doc_id", "left")
+    return rows.select("source", "rank", (F.coalesce("quality", F.lit(0)) == 1).alias("expected"))
 
 
-_RANKED = "r as (select source, row_number() over (partition by source order by n_chars desc, doc_id) k, quality = 1 e from documents join (select doc_id, max(quality) quality from labels group by 1) using (doc_id)), m as (select source, round(count(*) filter (e and k <= 10) / least(10, count(*)), 4) \"precision\", round(coalesce(count(*) filter (e and k <= 10) / nullif(count(*) filter (e), 0), 0), 4) recall, round(coalesce(1 / (min(k) filter (e)), 0), 4) rr from r group by source)"
+_RANKED = "r as (select source, row_number() over (partition by source order by n_chars desc, doc_id) k, coalesce(quality, 0) = 1 e from documents left join (select doc_id, max(quality) quality from labels group by 1) using (doc_id)), m as (select source, round(count(*) filter (e and k <= 10) / least(10, count(*)), 4) \"precision\", round(coalesce(count(*) filter (e and k <= 10) / nullif(count(*) filter (e), 0), 0), 4) recall, round(coalesce(1 / (min(k) filter (e)), 0), 4) rr from r group by source)"
 
 
 @query(f"with {_RANKED} select * from m")
@@ -186,13 +211,16 @@ _GENERIC = ", ".join(f"'{g}'" for g in X.GENERIC)
 _TERMS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 3 and not list_contains([{_GENERIC}], t))"
 
 
-@query(f"""with t as (select distinct conv_id * 1000 + turn task_id, unnest({_TERMS}) term from conversations where role = 'user'), f as (select distinct item_id, unnest({_TERMS}) term from benchmark)
-select task_id, item_id feedback_id, count(*) overlap, least(60, 18 + least(12, 3 * count(*)))::bigint boost from t join f using (term) group by 1, 2""")
+@query(f"""with t as (select distinct conv_id * 1000 + turn task_id, unnest({_TERMS}) term from conversations where role = 'user'), f as (select distinct item_id, unnest({_TERMS}) term from benchmark),
+o as (select task_id, item_id, count(*) overlap from t join f using (term) group by 1, 2)
+select task_id, 'p' || (item_id % 7) path, least(60.0, sum(18.0 + least(12, 3 * overlap)))::double boost from o group by 1, 2""")
 def feedback_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that similar tasks missed: summed for a file over the records, then capped."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    tasks = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), F.explode(F.array_distinct(X.task_terms(F.col("text")))).alias("term")).distinct()
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("feedback_id"), F.explode(F.array_distinct(X.task_terms(F.col("text")))).alias("term")).distinct()
-    return R.boosts(tasks, items)
+    tasks = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), F.explode(F.array_distinct(X.task_terms(F.col("text")))).alias("term"))
+    items = table(spark, sf_dir, "benchmark")
+    records = items.select(F.col("item_id").alias("record"), F.explode(F.array_distinct(X.task_terms(F.col("text")))).alias("term"))
+    return feedback(tasks, records, items.select(F.col("item_id").alias("record"), F.concat(F.lit("p"), (F.col("item_id") % 7).cast("string")).alias("path")))
 
 
 @query("""with l as (select user_id, event_type, max_by(value, (ts, event_id)) v from events group by 1, 2), p as (select user_id, max(v) filter (event_type = 'view') a, max(v) filter (event_type = 'click') b from l group by 1)

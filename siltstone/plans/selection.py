@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import selection as S
+from siltstone.operators.relations import ranked_within
 from siltstone.plans.registry import query
 from siltstone.sources.tables import table
 
 _COST = "greatest(1, length(text) // 4)"
-BUDGET, TRIED = 600, 60
+BUDGET = 600
 
 
 @query(f"""
@@ -20,7 +21,7 @@ r as (select *, row_number() over (partition by task order by score desc, path)
 g as (
   select task, rank, tokens, path, tokens <= {BUDGET} selected, case when tokens <= {BUDGET} then tokens else 0 end used from r where rank = 1
   union all
-  select r.task, r.rank, r.tokens, r.path, g.used + r.tokens <= {BUDGET}, g.used + case when g.used + r.tokens <= {BUDGET} then r.tokens else 0 end from g join r on r.task = g.task and r.rank = g.rank + 1 where r.rank <= {TRIED})
+  select r.task, r.rank, r.tokens, r.path, g.used + r.tokens <= {BUDGET}, g.used + case when g.used + r.tokens <= {BUDGET} then r.tokens else 0 end from g join r on r.task = g.task and r.rank = g.rank + 1)
 select task, path, rank, tokens::bigint tokens, selected from g""")
 def select_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation, longest first, into a budget of tokens."""
@@ -28,13 +29,13 @@ def select_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select_under_budget(turns.select(F.col("conv_id").alias("task"), F.col("turn").alias("path"), F.length("text").alias("score"), X.estimate_tokens(F.col("text")).alias("tokens")), BUDGET)
 
 
-_JUDGED = f"j as (select doc_id, source, n_chars, {_COST} tokens, quality = 1 expected, row_number() over (partition by source order by n_chars desc, doc_id) rank from documents join (select doc_id, max(quality) quality from labels group by 1) using (doc_id))"
+_JUDGED = f"j as (select doc_id, source, n_chars, {_COST} tokens, coalesce(quality, 0) = 1 expected, row_number() over (partition by source order by n_chars desc, doc_id) rank from documents left join (select doc_id, max(quality) quality from labels group by 1) using (doc_id))"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", X.estimate_tokens(F.col("text")).alias("tokens"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("expected"))
-    return docs.join(labels, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    return ranked_within(docs, "source", "n_chars", "doc_id").join(labels, "doc_id", "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
 
 
 @query(f"""with {_JUDGED}, e as (select source, rank, row_number() over (partition by source order by rank) - 1 k, count(*) over (partition by source) n from j where expected)
@@ -62,13 +63,13 @@ _FAMILIES = {"link": "https?://", "address": "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.]",
 
 @query(
     "with f as (select doc_id, family from (" + " union all ".join(f"select doc_id, '{k}' family, regexp_matches(text, '{v}') fits from documents" for k, v in _FAMILIES.items()) + ") where fits)"
-    " select family, count(*) n, count(*) filter (quality = 1) expected, round(count(*) filter (quality = 1) / count(*), 4)::double \"precision\" from f join (select doc_id, max(quality) quality from labels group by 1) using (doc_id) group by 1"
+    " select family, count(*) n, count(*) filter (quality = 1) expected, round(count(*) filter (quality = 1) / count(*), 4)::double \"precision\" from f left join (select doc_id, max(quality) quality from labels group by 1) using (doc_id) group by 1"
 )
 def family_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents of each family of evidence are labelled good; a document counts once in each of its families."""
     found = F.array_compact(F.array(*[F.when(F.col("text").rlike(v), F.lit(k)) for k, v in _FAMILIES.items()]))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 1).cast("long").alias("good"))
-    rows = table(spark, sf_dir, "documents").join(labels, "doc_id").select(F.explode(found).alias("family"), "good")
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.explode(found).alias("family"), F.coalesce("good", F.lit(0)).alias("good"))
     return rows.groupBy("family").agg(F.count("*").alias("n"), F.sum("good").alias("expected"), F.round(F.sum("good") / F.count("*"), 4).alias("precision"))
 
 
