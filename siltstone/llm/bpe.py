@@ -1,8 +1,9 @@
 """Exact byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a pre-token there is exactly one token that can end its
-encoding.  An automaton over the vocabulary lists the tokens that end at a
-place, longest first; a token fits if it and the token before it would not have
+encoding.  A suffix automaton of the vocabulary (a trie of the tokens whose
+states lead on to their longest proper suffix in it) lists the tokens that are
+suffixes of a prefix, longest first; a token fits if it and the token before it would not have
 been merged otherwise (the compatibility test).  The last tokens of all
 prefixes are found for many pre-tokens at once, and back-pointers give the ids.
 
@@ -13,6 +14,7 @@ those tokens.  Texts are read whole; a pre-token may be of any length.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -33,6 +35,8 @@ PRE_TOKEN = (
 )
 #: Encodings of so many pre-tokens are kept by each Python worker.
 CACHE = 150_000
+#: Pre-tokens of more bytes are walked one by one, byte after byte; shorter ones many at once.
+LONG = 2_000
 _NONE = np.int64(1 << 40)
 
 
@@ -170,10 +174,59 @@ class Vocabulary:
             self._keys[slots[clash]] = -1  # two new keys met in one slot: keep neither
         return out
 
+    def _stay(self, a: int, b: int) -> bool:
+        """_compatible of one pair."""
+        (left, right), none = self._parts, int(_NONE)
+        limit = none
+        while True:
+            if self._pairs.get((a << 20) | b, none) < limit:
+                return False
+            part_a, part_b = right[a], left[b]
+            if part_a != a and (a > b or part_b == b):
+                a, limit = part_a, a
+            elif part_b != b:
+                b, limit = part_b, b + 1
+            else:
+                return True
+
+    def _walk(self, piece: bytes) -> bytes:
+        """Ids of one long piece: the same dynamic programme with plain integers, in time that its length alone sets."""
+        if not hasattr(self, "_edges"):
+            self._edges = dict(zip(self.edge_keys.tolist(), self.edge_ends.tolist(), strict=True))
+            self._plain = [x.tolist() for x in (self.fail, self.longest, self.shorter, self.lengths, self.alone)]
+            self._pairs = dict(zip(self.pair_keys.tolist(), self.pair_tokens.tolist(), strict=True))
+            self._parts = self.left.tolist(), self.right.tolist()
+        edges, (fail, longest, shorter, lengths, alone) = self._edges, self._plain
+        last, state, known = array("i", [0]), 0, {}
+        for i, byte in enumerate(piece, 1):
+            while (to := edges.get((state << 8) | byte)) is None and state:
+                state = fail[state]
+            state = to or 0
+            token = longest[state]
+            while True:
+                begin = i - lengths[token]
+                if alone[token]:
+                    if begin == 0:
+                        break
+                    pair = (last[begin], token)
+                    if (fit := known.get(pair)) is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        fit = known[pair] = self._stay(*pair)
+                    if fit:
+                        break
+                token = shorter[token]
+            last.append(token)
+        flat, place = array("i"), len(piece)
+        while place:
+            flat.append(last[place])
+            place -= lengths[last[place]]
+        return self.ids[np.array(flat, np.int64)[::-1]].astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(pieces)
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        out: list[bytes] = [self._walk(p) if len(p) > LONG else b"" for p in pieces]
+        order = sorted((i for i in range(len(pieces)) if len(pieces[i]) <= LONG), key=lambda i: -len(pieces[i]))
         start = 0
         while start < len(order):
             width = len(pieces[order[start]])
