@@ -3,10 +3,14 @@
 The patterns (email, ip, card, phone) give the base spans, found leftmost and
 without overlap for each kind.  A linear-chain conditional random field, trained
 on the driver from a small labelled table, labels the words of every line that
-holds a digit or "@" (all its kinds hold one) and is decoded by Viterbi in numpy
-batches.  Its spans are added where they touch no base span; those of the four
+could hold a value (a digit, "@", a word that announces a secret, or a long run
+without a space) and is decoded by Viterbi in numpy batches.  A secret may be of
+letters alone where a word before it announces one.  Its spans are added where they touch no base span; those of the four
 pattern kinds must pass the same checks as the base (Luhn, octets, digits).
-Places are code points, ends exclusive.  Nulls and empty texts have no spans.
+Places are code points, ends exclusive.  Nulls and empty texts have no spans;
+whole texts are read, line by line, however long; repeated rows are rows of
+their own, other columns are not read by find() and carried by redact(), and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+_CUE = re.compile(r"(?i)passw|secret|token|api.?key|\bkey\s*[:=]|credential|passphrase")
+_ANCHOR = re.compile(r"[0-9@]|[A-Za-z+/_-]{24,}|(?i:passw|secret|token|api.?key|credential|passphrase)")
 # A match of these can only begin where a run of digits begins, hence the possessive runs.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_ANCHOR_DIGIT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
 
 
@@ -95,12 +101,13 @@ TEMPLATES = (
     "{word} {word} {word} {word}", "{word} {word} token = {secret} {word}", "{word} api_key = {secret} {word} {word}", "{word} password: {secret}", "secret {secret} {word}", "{word} {word} {email} {word}",
     "write to {email} {word}", "{word} | {email} | {word}", "{word} {ip} {word} {word}", "host {ip} {word}", "{word} {word} {card} {word}", "card {card} {word}", "{word} {phone} {word} {word}", "call {phone} {word}",
     "{word} version {number} {word}", "{word} {word} {number} {word} {number}", "{number} {word} {word}", "{word} | {word} | {number}", "{word} {junk} {junk} {word}", "{junk} {junk} {junk}", "Licensed under {word} {number}",
+    "{word} password {word} {word}", "the token = {word} {word}", "{word} {long} {word} {long}", "secret: {word}", "{word} passphrase: {secret} {word}", "credentials {secret}", "API_KEY={secret}", "export X_TOKEN={secret}", "api key: {secret}", "key = {secret} {word}", "see https://{word}.example/{word}/{number}?id={number} {word}", "{word}/{word}/{number} {word}", "token {word}: {word} {number}", "{long} {word} {number}",
     "{word} token = {secret} {word} {ip} {word}", "{word} {email} {word} {phone} {word}", "{word} = {number} {word}", "{word} {word} 19{number} {word}", "{word}@ {word} {number}%",
 )
 _SYLLABLES = "the on er st an re le en qu ou ción der ung ä é à mente and ing".split()
 
 
-def labelled(seed: int = 7, rounds: int = 12) -> list[tuple[list[str], list[int]]]:
+def labelled(seed: int = 7, rounds: int = 24) -> list[tuple[list[str], list[int]]]:
     """The labelled table: (words, labels), a few hundred short rows written from TEMPLATES; all values are made up."""
     r = random.Random(seed)
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -112,6 +119,8 @@ def labelled(seed: int = 7, rounds: int = 12) -> list[tuple[list[str], list[int]
     def value(kind: str) -> str:
         if kind == "word":
             return word()
+        if kind == "long":
+            return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(8, 12)))
         if kind == "junk":
             return word() + r.choice(("***", "###", "%%%", "$$$", "&&&", "!!"))
         if kind == "number":
@@ -124,7 +133,8 @@ def labelled(seed: int = 7, rounds: int = 12) -> list[tuple[list[str], list[int]
             return r.choice((number(16), number(16), f"{number(4)} {number(4)} {number(4)} {number(4)}", f"{number(4)}-{number(4)}-{number(4)}-{number(4)}"))
         if kind == "phone":
             return r.choice((f"+{number(1)} ({number(3)}) 555-{number(4)}", f"({number(3)}) 555-{number(4)}", f"+{number(2)} {number(3)} {number(7)}"))
-        secret = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 64))))
+        letters = r.choice(("0123456789abcdef",) * 4 + ("abcdefghijklmnopqrstuvwxyz",) * 3 + ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"))
+        secret = "".join(r.choice(letters) for _ in range(r.choice((32, 40, 40, 64)) if letters.isalnum() and len(letters) == 16 else r.randint(20, 48)))
         return r.choice(('"{}"', "{}", "'{}'")).format(r.choice((secret, secret, secret.upper())))
 
     rows = []
@@ -146,15 +156,21 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", s)[:14]
 
 
+def seen_as(word: str) -> str:
+    """How a word looks to its neighbours: its shape, and whether it announces a secret."""
+    return shape(word) + ("!" if _CUE.search(word) else "")
+
+
 def own_features(word: str) -> tuple[str, ...]:
     core = word.strip("\"'.,;:!?#*$%&|<>()")
     n = len(_digits(core))
     is_hex = len(core) >= 16 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core) is not None
-    return (f"shape={shape(word)}", f"core={shape(core)}", f"length={min(len(core) // 4, 10)}", f"digits={min(n, 20)}", f"hex={is_hex}:{0 < n < len(core)}", f"ends={shape(word[:1])}{shape(word[-1:])}")
+    return (f"shape={shape(word)}", f"core={shape(core)}", f"length={min(len(core) // 4, 10)}", f"digits={min(n, 20)}", f"hex={is_hex}:{0 < n < len(core)}", f"ends={shape(word[:1])}{shape(word[-1:])}", f"cue={_CUE.search(word) is not None}:{'=' in word}:{'/' in word}", f"letters={core.isascii()}:{core.isalpha()}:{core.islower()}:{min(len(core) // 6, 5)}")
 
 
-#: Features of a word: its own six, and the shape of the two before and the one after.
-_FEATURES = 9
+#: Features of a word: its own, and how the two before and the one after look.
+_OWN = 8
+_FEATURES = _OWN + 3
 
 
 @dataclass
@@ -170,15 +186,15 @@ class Model:
             if (known := own.get(w)) is None:
                 if len(own) > 100_000:
                     own.clear()
-                s = shape(w)
+                s = seen_as(w)
                 known = own[w] = ([self.index.get(f, 0) for f in own_features(w)], [self.index.get(f"{k}{s}", 0) for k in ("-1:", "-2:", "+1:")])
-            out[i, :6] = known[0]
+            out[i, :_OWN] = known[0]
             if i + 1 < len(words):
-                out[i + 1, 6] = known[1][0]
+                out[i + 1, _OWN] = known[1][0]
             if i + 2 < len(words):
-                out[i + 2, 7] = known[1][1]
+                out[i + 2, _OWN + 1] = known[1][1]
             if i:
-                out[i - 1, 8] = known[1][2]
+                out[i - 1, _OWN + 2] = known[1][2]
         return out
 
     def decode(self, rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -222,7 +238,7 @@ def train(rows: list[tuple[list[str], list[int]]] | None = None, steps: int = 12
     index: dict[str, int] = {}
     for words, _ in rows:
         for w in words:
-            for f in (*own_features(w), *(f"{p}{shape(w)}" for p in ("-1:", "-2:", "+1:"))):
+            for f in (*own_features(w), *(f"{p}{seen_as(w)}" for p in ("-1:", "-2:", "+1:"))):
                 index.setdefault(f, len(index) + 1)
     k = len(LABELS)
     model = Model(index, np.zeros((len(index) + 1, k)), np.zeros((k, k)))
@@ -290,9 +306,13 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model:
                 # cards and phones may be of several words; of the others each word is a value
                 pieces = [(places[j][0], places[stop - 1][1])] if kind in ("card", "phone") else [places[p] for p in range(j, stop)]
                 for a, b in pieces:
+                    before = texts[i][places[max(0, j - 2)][0] : b]
+                    if kind == "secret":  # the value of name=value
+                        a += max(texts[i][a:b].rfind("="), texts[i][a:b].rfind(":")) + 1 if _CUE.search(texts[i][a:b]) else 0
                     a, b = _trim(texts[i], a, b, kind)
                     value = texts[i][a:b]
-                    if b > a and _ANCHOR.search(value) and plausible(kind, value) and not any(a < y and x < b for _, x, y in base[i]):
+                    sure = _ANCHOR_DIGIT.search(value) or (kind == "secret" and _CUE.search(before))
+                    if b > a and sure and plausible(kind, value) and not any(a < y and x < b for _, x, y in base[i]):
                         out[i].append((kind, a, b))
             j = stop
     return out
@@ -304,7 +324,7 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "ip":
         return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", value) is not None and valid(kind, value)
     if kind == "secret":
-        return len(value) >= 16 and any(c.isalpha() for c in value)
+        return len(value) >= 16 and any(c.isalpha() for c in value) and value.isascii()
     return valid(kind, value) and re.fullmatch(r"[+0-9 ().\-/]+", value) is not None
 
 
