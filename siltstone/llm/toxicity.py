@@ -36,8 +36,10 @@ from siltstone.llm.labels import hinge, logistic_weights, sample, sigmoid
 from siltstone.llm.storage import mapped
 
 DECAY, LETTERS = 0.6, 40
-#: Distances of a triple's second and third letter: it spans five letters at most.
-GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
+#: Letters that a subsequence spans at most; wider ones would weigh less than DECAY ** SPAN each and are left out.
+SPAN = 7
+#: Distances of a triple's second and third letter.
+GAPS = tuple((a, b) for total in range(2, SPAN) for a in range(1, total) for b in (total - a,))
 LANDMARKS, TURNS = 64, 3
 #: Labelled rows for training, at most.
 SAMPLE = 5_000
