@@ -22,6 +22,8 @@ _PRIME = np.uint64(0x100000001B3)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STEPS = (np.arange(1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+#: Factors of the words of a text that is too short for a whole shingle.
+SHORT_STEPS = _STEPS[40:]
 _powers: list[np.ndarray] = []
 
 
@@ -110,7 +112,7 @@ class Words:
             keep[last[last >= self.at[:-1]]] = False
         for t in np.flatnonzero((self.counts > 0) & (self.counts < SHINGLE)):
             a, b = self.at[t], self.at[t + 1]
-            grams[a] = mix((self.hashes[a:b] * _STEPS[40 : 40 + b - a]).sum(keepdims=True, dtype=np.uint64))[0]
+            grams[a] = mix((self.hashes[a:b] * SHORT_STEPS[: b - a]).sum(keepdims=True, dtype=np.uint64))[0]
             keep[a] = True
             counts[t] = 1
         return grams[keep], counts

@@ -9,8 +9,13 @@ so looking up four blocks finds all of them.  Each hit places the item in the
 text, and windows of the item's own size there are compared exactly: weighted
 Jaccard similarity of five-word shingles, 0.8 or more.
 
-Nulls are empty texts and match nothing.  Items of fewer than five words are
-not looked for: they are ordinary prose.  Repeated items match each for itself.
+An item of one to four words has one shingle, all its words: it is found where
+these words stand in this order, at any place.
+
+Null texts are empty and match nothing, as items without words do.  Ids of any
+type, null ones among them, are carried; repeated items match each for itself,
+equal rows once.  Texts are read whole, and columns of other names are kept or
+left out as they are.  An empty table on either side gives no match.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm.arrays import SHINGLE, Words, blocks, similarity, weighted
+from siltstone.llm.arrays import SHINGLE, SHORT_STEPS, Words, blocks, mix, similarity, weighted
 from siltstone.llm.storage import mapped
 
 SIMILARITY, RADIUS = 0.8, 3
@@ -32,6 +38,7 @@ SIZES = tuple(dict.fromkeys(int(3 * (4 / 3) ** k) for k in range(13)))
 #: Items that are searched for in one pass over the documents; more take more passes.
 ITEMS = 20_000
 _CHUNK = 8192
+_SHORT = SHORT_STEPS
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _HIGH, _GATHER = np.uint64(0x8080808080808080), np.uint64(0x0102040810204080)
 
@@ -87,6 +94,14 @@ class Index:
                 size = window_size(n)
                 places = n - size + 1
                 found.setdefault(size, []).append((joined(prints.blocks(size, a, a + places)), np.full(places, item), np.arange(places)))
+        # short items by their number of words: sorted hashes and the items that have them
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SHINGLE):
+            own = np.flatnonzero(self.lengths == n)
+            if len(own):
+                keys = np.array([self.shingles[i][0][0] for i in own], np.uint64)
+                order = np.argsort(keys, kind="stable")
+                self.short[n] = keys[order], own[order]
         self.sizes = {}
         for size, parts in found.items():
             values, items, offsets = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -124,15 +139,31 @@ class Index:
                     if near.any():
                         yield start + at[which[near]] - offsets[entry[near]], items[entry[near]]
 
+    def short_hits(self, words: Words) -> Iterator[tuple[int, int]]:
+        """(place, item) where the words of a short item stand in a text."""
+        ends = np.repeat(words.at[1:], words.counts)
+        for n, (keys, items) in self.short.items():
+            sums = np.zeros(max(0, len(words.hashes) - n + 1), np.uint64)
+            for k in range(n):
+                sums += words.hashes[k : k + len(sums)] * _SHORT[k]
+            sums = mix(sums)
+            low, high = np.searchsorted(keys, sums), np.searchsorted(keys, sums, "right")
+            for at in np.flatnonzero((high > low) & (np.arange(len(sums)) + n <= ends[: len(sums)])).tolist():
+                for item in items[low[at] : high[at]].tolist():
+                    yield at, item
+
     def matches(self, column: pa.Array, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(text, item, first word, words, similarity): the best window for each text and item that has one."""
         words = Words(column)
+        best: dict[tuple[int, int], tuple[int, int, float]] = {}
+        for at, item in self.short_hits(words):
+            t = int(np.searchsorted(words.at, at, "right")) - 1
+            best.setdefault((t, item), (at - int(words.at[t]), int(self.lengths[item]), 1.0))
         found = list(self.hits(words))
         if not found:
-            return []
+            return [(t, item, *x) for (t, item), x in sorted(best.items())]
         starts, items = (np.concatenate(x) for x in zip(*found, strict=True))
         grams = words.grams(SHINGLE)
-        best: dict[tuple[int, int], tuple[int, int, float]] = {}
         for start, item in np.unique(np.stack([starts, items]), axis=1).T.tolist():
             n = int(self.lengths[item])
             # an item may begin before the text does; the hit itself lies inside
@@ -151,18 +182,18 @@ class Index:
 
 def _passes(benchmark: DataFrame) -> Iterator[list]:
     """Items in lists of bounded size; each list goes over the documents once."""
-    rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    rows = benchmark.select("item_id", "text").filter("text is not null").distinct()
     n = rows.count()
     turns = max(1, -(-n // ITEMS))
     for turn in range(turns):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn) if turns > 1 else rows
-        yield sorted(part.collect(), key=lambda r: (r.item_id, r.text))
+        yield sorted(part.collect(), key=lambda r: (r.item_id is None, str(r.item_id), r.text))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): each item in each text that holds it, at its best place."""
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    out = None
+    kind, out = to_arrow_type(benchmark.schema["item_id"].dataType), None
     for rows in _passes(benchmark):
         items = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
@@ -173,7 +204,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
                 for block in blocks(batch):
                     found = index.matches(block.column("text"), threshold)
                     texts, which, first, n, like = zip(*found, strict=True) if found else ([],) * 5
-                    columns = [block.column("doc_id").take(pa.array(texts, pa.int64())), pa.array([ids[i] for i in which], pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(like, pa.float64())]
+                    columns = [block.column("doc_id").take(pa.array(texts, pa.int64())), pa.array([ids[i] for i in which], kind), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(like, pa.float64())]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
 
         part = mapped(docs.select("doc_id", "text"), run, schema)
