@@ -15,8 +15,14 @@ several classes goes through an exact join on rare shingles (prefix filtering),
 so that no link between different classes is lost.  Classes are
 connected components, found by rounds of joins; nothing is collected.
 
+No key is met in one task: buckets and heads of many texts are dealt over
+parts, and the one row that stands for them is repeated for each part.
+
 Nulls are empty texts.  Texts without words are copies of equal texts only.
-Rows with equal doc_id are one document; a null doc_id is linked to nothing.
+Rows with equal doc_id are one document, which all its texts link; of its rows
+deduplicate() keeps the one with the least digest.  A null doc_id is linked to
+nothing, and its rows stay.  Texts are read whole, however long; other columns
+are carried as they are, whatever their names.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ BANDS, ROWS = 32, 6
 TURNS = 1
 #: A shingle that more texts hold than this ties them into a family, compared in blocks of so many texts.
 FEW, BLOCK = 16, 256
+#: A key with more rows than this is dealt over several tasks.
+HOT = 1_000
 #: The rounds of components() use a partition for so many edges, and one for each core at least.
 EDGES = 50_000
 #: Tables of candidate ids are broadcast up to so many rows (16 bytes each), and joined by a shuffle beyond.
@@ -110,9 +118,31 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
+def _dealt(left: DataFrame, weights: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """left joined with right on key; weights: (key, weight), how many rows of `left` have a key.
+
+    Rows of a heavy key are dealt over parts by a hash of `spread`, and what `right` has for it is repeated for
+    each.  A part is so large that there are BROADCAST_ROWS heavy keys at most, so the list of them is small.
+    """
+    total = weights.agg(F.sum("weight").alias("n")).first().n or 0
+    size = max(HOT, total // BROADCAST_ROWS)
+    heavy = stored(weights.filter(F.col("weight") > size).select(key, F.ceil(F.col("weight") / size).alias("_parts")), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, key)
+    parts = F.coalesce("_parts", F.lit(1))
+    one = left.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
+    two = right.join(F.broadcast(heavy), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return one.join(two, [key, "_part"]).drop("_part")
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    """(a, b, text_a, text_b): an id with several texts gives a row for each; the ids of many pairs are dealt over tasks."""
+    ids = pairs
+    for k, other in (("b", "a"), ("a", "b")):
+        weights = ids.groupBy(k).agg(F.count("*").alias("weight"))
+        side = texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
+        pairs = _dealt(pairs, weights, side, k, other)
+    return pairs.select("a", "b", "text_a", "text_b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -142,18 +172,18 @@ def _classes(nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
-    """(doc_id, size, shingle, count): each text's weighted shingles and their total count."""
-    schema = T.StructType([texts.schema["doc_id"], T.StructField("size", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
+    """(doc_id, own, size, shingle, n): each text's weighted shingles and their total count; own tells the texts of one id apart."""
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("own", T.LongType()), T.StructField("size", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
                 shingles, counts = Words(block.column("text")).shingles()
-                for doc, part in zip(block.column("doc_id").to_pylist(), np.split(shingles, np.cumsum(counts)[:-1]), strict=True):
+                for doc, own, part in zip(block.column("doc_id").to_pylist(), block.column("own").to_pylist(), np.split(shingles, np.cumsum(counts)[:-1]), strict=True):
                     found, n = weighted(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), block.schema.field("doc_id").type), pa.array(np.full(len(found), len(part))), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), block.schema.field("doc_id").type), pa.array(np.full(len(found), own, np.int64)), pa.array(np.full(len(found), len(part))), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema.names)
 
-    return mapped(texts, run, schema)
+    return mapped(texts.withColumn("own", F.xxhash64("text")), run, schema)
 
 
 def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
@@ -165,16 +195,16 @@ def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: flo
     unless a text holds hardly anything else.
     """
     shingles = stored(_shingled(texts.join(classed.select("doc_id"), "doc_id", "left_semi")), "shingles")
-    spread = shingles.groupBy("shingle").agg(F.count("*").alias("spread"))
-    ordered = shingles.join(spread, "shingle").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("spread", "shingle", "n"))).alias("s"))
-    # a shingle belongs to the prefix if less than (1 - threshold) * size + 1 of the count comes before it
-    before = F.expr("transform(s, (x, i) -> aggregate(slice(s, 1, i), 0L, (t, y) -> t + y.n))")
+    spread = stored(shingles.groupBy("shingle").agg(F.count("*").alias("spread")), "spreads")
+    ordered = _dealt(shingles, spread.withColumnRenamed("spread", "weight"), spread, "shingle", "doc_id").groupBy("doc_id", "own", "size").agg(F.sort_array(F.collect_list(F.struct("spread", "shingle", "n"))).alias("s"))
+    # a shingle belongs to the prefix if less than (1 - threshold) * size + 1 of the count comes before it: one pass counts them
     short = F.expr("slice(s, 1, least(size(s), cast(size - ceil({0} * size) + 1 as int)))".format(threshold))
-    prefix = ordered.withColumn("s", short).withColumn("before", before)
-    prefix = prefix.select("doc_id", "size", F.explode(F.expr(f"filter(transform(s, (x, i) -> struct(x.shingle as shingle, before[i] as before)), x -> x.before <= size - ceil({threshold} * size))")).alias("x"))
-    prefix = prefix.join(classed, "doc_id").select("doc_id", "size", "least", F.col("x.shingle").alias("shingle"))
+    walked = F.expr(f"aggregate(short, struct(0L as total, 0 as k), (a, x) -> struct(a.total + x.n as total, if(a.total <= size - ceil({threshold} * size), a.k + 1, a.k) as k)).k")
+    prefix = ordered.withColumn("short", short).select("doc_id", "own", "size", F.explode(F.slice("short", F.lit(1), walked)).alias("x")).select("doc_id", "own", "size", F.col("x.shingle").alias("shingle"))
+    prefix = prefix.join(classed, "doc_id").select("doc_id", "own", "size", "least", "shingle")
     prefix = stored(prefix, "prefixes")
     held = prefix.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("doc_id").alias("head"), (F.min("least") != F.max("least")).alias("mixed")).filter("mixed")
+    held = stored(held, "held")
     # a shingle of few texts: their pairs
     few = prefix.join(held.filter(F.col("texts") <= FEW).select("shingle"), "shingle")
     one, two = (few.select(F.col("doc_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("least").alias(f"least_{k}"), "shingle") for k in "ab")
@@ -183,13 +213,15 @@ def _rest(classed: DataFrame, texts: DataFrame, tried: DataFrame, threshold: flo
     pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links = _verified(_with_texts(stored(pairs, "candidates"), texts), threshold)
     # shingles of many texts tie them into families, whose texts are held against each other block by block
-    ties = stored(prefix.join(held.filter(F.col("texts") > FEW).select("shingle", "head"), "shingle").filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "ties")
+    common = held.filter(F.col("texts") > FEW)
+    tied = _dealt(prefix, common.select("shingle", F.col("texts").alias("weight")), common.select("shingle", "head"), "shingle", "doc_id")
+    ties = stored(tied.filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "ties")
     if ties.isEmpty():
         return links
     family = components(ties)
     family = stored(family.unionByName(family.select(F.col("least").alias("node"), "least").distinct()).select(F.col("node").alias("doc_id"), F.col("least").alias("family")), "families")
     blocks_of = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    elements = shingles.groupBy("doc_id").agg(F.collect_list(F.struct("shingle", "n")).alias("s"))
+    elements = shingles.groupBy("doc_id", "own").agg(F.collect_list(F.struct("shingle", "n")).alias("s")).drop("own")
     placed = stored(family.join(blocks_of, "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).join(elements, "doc_id").join(classed, "doc_id"), "members")
     ours = placed.select("family", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("doc_id").alias("doc_id"), F.col("least").alias("least"), F.col("s").alias("s"))
     theirs = placed.select("family", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"), F.col("doc_id").alias("doc_id"), F.col("least").alias("least"), F.col("s").alias("s"))
@@ -247,8 +279,9 @@ def _like(one: pa.Table, two: pa.Table, threshold: float, schema: T.StructType)
 def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """(band, doc_id, least) of the buckets that hold several classes."""
     members = _classes(buckets, found, "doc_id")
-    mixed = members.groupBy("band").agg((F.min("least") != F.max("least")).alias("mixed")).filter("mixed").select("band")
-    return stored(members.join(mixed, "band", "left_semi"), "mixed")
+    mixed = members.groupBy("band").agg((F.min("least") != F.max("least")).alias("mixed"), F.count("*").alias("weight")).filter("mixed").select("band", "weight")
+    mixed = stored(mixed, "mixed-bands")
+    return stored(_dealt(members.select("band", "doc_id", "least"), mixed, mixed.select("band"), "band", "doc_id"), "mixed")
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -257,19 +290,20 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
     signed = stored(_signed(ids, bands, rows), "signatures")
     nodes = stored(signed.groupBy("text_key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("text_key", "m.*"), "nodes")
     banded = nodes.select("doc_id", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    buckets = stored(banded.join(heads, "band"), "buckets")
+    heads = stored(banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("weight")).filter("weight > 1"), "heads")
+    buckets = stored(_dealt(banded, heads.select("band", "weight"), heads.select("band", "head"), "band", "doc_id"), "buckets")
     tried = stored(buckets.filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
     buckets = buckets.drop("head")
-    texts = ids.join(_few(stored(buckets.select("doc_id").distinct(), "involved")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = ids.join(_few(stored(buckets.select("doc_id").distinct(), "involved")), "doc_id", "left_semi").distinct()
     texts = stored(texts, "texts")
     links = stored(_verified(_with_texts(tried, texts), threshold), "links")
     found = components(links)
     mixed = _mixed(buckets, found)
     for turn in range(1, TURNS + 1):
         # another head for each bucket, drawn by a hash, against the members of other classes
-        drawn = mixed.groupBy("band").agg(F.min_by(F.struct(F.col("doc_id").alias("head"), F.col("least").alias("head_least")), F.xxhash64("doc_id", "band", F.lit(turn))).alias("h")).select("band", "h.*")
-        pairs = mixed.join(drawn, "band").filter("least != head_least").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+        drawn = mixed.groupBy("band").agg(F.min_by(F.struct(F.col("doc_id").alias("head"), F.col("least").alias("head_least")), F.xxhash64("doc_id", "band", F.lit(turn))).alias("h"), F.count("*").alias("weight")).select("band", "weight", "h.*")
+        drawn = stored(drawn, "drawn")
+        pairs = _dealt(mixed, drawn.select("band", "weight"), drawn.drop("weight"), "band", "doc_id").filter("least != head_least").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
         more = stored(_verified(_with_texts(pairs, texts), threshold), "links")
         tried = tried.unionByName(pairs)
@@ -298,7 +332,7 @@ def kept() -> Column:
 def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, with all their columns, of which one document of each class stays: that with the least doc_id.
 
-    Rows of one doc_id (repeated rows) are reduced to one as well; rows with a null doc_id stay.
+    Rows of one doc_id (repeated rows) are reduced to the one with the least digest; rows with a null doc_id stay.
     """
     found = classes(docs, threshold)
     gone = stored(found.filter(~kept()).select("doc_id").distinct(), "gone")
@@ -307,4 +341,6 @@ def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     if twice.isEmpty():
         return staying
     twice = _few(twice)
-    return staying.join(twice, "doc_id", "left_anti").unionByName(staying.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = staying.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.sha2(F.to_json(every), 256)).alias("r")).select("r.*")
+    return staying.join(twice, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
