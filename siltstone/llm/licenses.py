@@ -26,6 +26,8 @@ from siltstone.llm.notices import TEXTS
 from siltstone.llm.storage import mapped
 
 LEAST = 0.8
+#: Characters of all templates, which go to every task.
+TEMPLATE_CHARS = 20_000_000
 #: Licence templates: the notices that stand for a licence (fixed values).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -153,8 +155,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     words that the found lines leave, and stand with the line in which they start.
     """
     chosen = [*TEMPLATES.items(), *TEXTS] if templates is None else list(templates.items())
-    if len(chosen) > 1000:
-        raise ValueError("more than 1000 templates: scan in several passes")
+    if sum(len(text) for _, text in chosen) > TEMPLATE_CHARS:
+        raise ValueError("the templates are too long to be sent to every task")
     if not 0 < least <= 1:
         raise ValueError("the least coefficient lies in (0, 1]")
     matcher = Matcher(chosen, least)

@@ -15,9 +15,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; in local mode alone, where all is one machine, a temporary one if none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -32,7 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
-    """mapInArrow in small batches: Spark's default of 10,000 rows is kept off the heap several times over."""
+    """mapInArrow in small batches: Spark's default of 10,000 rows is kept off the heap several times over.
+
+    Spark plans the size of a batch when the plan runs, so the session keeps the smaller one; a size that the
+    caller has set stays.
+    """
     if df.sparkSession.conf.get(_BATCH) == "10000":
         df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)

@@ -40,6 +40,7 @@ def test_bpe_equals_the_library(texts):
     r = random.Random(1)
     texts = texts + ["", "<|endoftext|> a<|endoftext|>", " \n\n x\t\x1c\x85 don't I'LL", "b" * 5000, "日本語😀 é"]
     texts += ["".join(chr(r.choice((r.randrange(32, 127), r.randrange(32, 0x2000), 10, 32))) for _ in range(200)) for _ in range(40)]
+    texts += ["".join(r.choice("abcdefgh") for _ in range(30_000)), "é" * 3000, "12" * 3000, "?!" * 2000]
     for text, ids in zip(texts, coder.encode(texts), strict=True):
         own = want.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == own
@@ -79,6 +80,19 @@ def test_pii_field_learns_and_redacts(spark, odd):
     assert pii.redact(odd, model).count() == odd.count() and pii.redact(odd, model).columns == odd.columns
 
 
+def test_pii_field_on_lines_of_another_hand():
+    """Lines written for this test: the values are none of the labelled table's, nor are the sentences."""
+    lines = {
+        "export GITLAB_TOKEN=glpat9Fh2kLmQx7Rt3VbN8zYw": "glpat9Fh2kLmQx7Rt3VbN8zYw", "api key: abcdefghijklmnopqrstuvwxyzabcd": "abcdefghijklmnopqrstuvwxyzabcd",
+        "the secret 0f1e2d3c4b5a69788796a5b4c3d2e1f0 was leaked": "0f1e2d3c4b5a69788796a5b4c3d2e1f0", "client_secret: Zx81qPw02LmNbVcXaSdFgHjKlQwErTyU": "Zx81qPw02LmNbVcXaSdFgHjKlQwErTyU",
+        "sha256 of the release is published on the site in 2024": None, "Der Donaudampfschifffahrtsgesellschaftskapitän kam um 12 Uhr": None, "a token of thanks to everyone who came on 12 May": None,
+        "the password is changed every ninety days": None, "secret ingredients: 200 g flour, 3 eggs and 1 l milk": None, "https://example.org/path/to/resource?id=12345 is the link": None,
+    }
+    model = pii.train()
+    found = pii.spans_of(list(lines), model, {})
+    assert [[t[a:b] for _, a, b, _ in f] for t, f in zip(lines, found, strict=True)] == [[v] if v else [] for v in lines.values()]
+
+
 def classes_by_force(rows):
     """Connected components of all pairs that share a shingle and are similar."""
     shingles = [weighted(Words(pa.array([t or ""])).shingles()[0]) for _, t in rows]
@@ -118,6 +132,19 @@ def test_neardup_equals_brute_force(spark, texts):
     assert dict(neardup.classes(df).collect()) == classes_by_force(rows)
 
 
+def test_neardup_deals_heavy_keys(spark, monkeypatch):
+    """The same classes when every key of more than three rows is dealt over parts; texts of one id are all linked."""
+    monkeypatch.setattr(neardup, "HOT", 3)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(k, " ".join(base[: r.randint(84, 90)])) for k in range(60)] + [(100 + k, " ".join(f"v{r.randrange(9**6)}" for _ in range(30))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(neardup.classes(df).collect()) == classes_by_force(rows)
+    one, two = " ".join(base), " ".join(f"u{i}" for i in range(70))
+    twice = spark.createDataFrame([(1, one), (2, one + " tail"), (2, two), (3, two + " end"), (4, "x")], "doc_id long, text string")
+    assert dict(neardup.classes(twice).collect()) == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_neardup_odd_tables(spark, odd):
     got = neardup.deduplicate(odd)
     assert got.columns == odd.columns
@@ -137,8 +164,45 @@ def test_decontamination(spark, texts, odd):
         found = [m[1] for m in index.matches(pa.array([f"{texts[j][:200]} {' '.join(w)} {texts[j + 1][:200]}"]), 0.8)]
         assert (j in found) or similarity(*pair) < 0.8
     bench = spark.createDataFrame([(0, items[0]), (1, None), (2, "a b"), (3, "")], "item_id long, text string")
-    assert decontaminate.decontaminate(odd, bench).count() == odd.count()
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(odd, bench).collect()) == ["1", "2", "3", "5", "6", "None"]
     assert decontaminate.matches(odd, bench.limit(0)).count() == 0
+    assert decontaminate.matches(odd.limit(0), bench).count() == 0
+
+
+def windows_by_force(text, item):
+    """The best similarity of any window of an item's size, one word more or less, by plain counting."""
+    words = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t.lower()))
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] * bool(w))
+    w, own = words(text), grams(words(item))
+    n, best = len(words(item)), 0.0
+    for size in ({n - 1, n, n + 1} if n >= 5 else {n}):
+        for i in range(max(0, len(w) - size + 1) if size > 0 else 0):
+            g = grams(w[i : i + size])
+            shared = sum((g & own).values())
+            best = max(best, shared / (sum(g.values()) + sum(own.values()) - shared))
+    return best
+
+
+def test_decontamination_equals_all_windows(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [" ".join(some(n)) for n in (1, 2, 4, 5, 9, 14, 20, 33, 50, 70)]
+    texts = []
+    for k in range(120):
+        own = items[k % len(items)].split()
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            at = r.randrange(len(own))
+            own[at : at + r.randrange(2)] = r.choice(([], ["new"]))
+            own = own or ["new"]
+        texts.append(" ".join([*some(r.randint(0, 30)), *own, *some(r.randint(0, 30))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{j}", t) for j, t in enumerate(items)] + [(None, "null id item of six words")], "item_id string, text string")
+    got = {(m.doc_id, m.item_id) for m in decontaminate.matches(df, bench).collect()}
+    want = {(i, f"i{j}") for i, t in enumerate(texts) for j, x in enumerate(items) if windows_by_force(t, x) >= 0.8}
+    assert got <= want and len(want - got) <= len(want) // 50
+    own = spark.createDataFrame([(7, "here is the null id item of six words again")], "doc_id long, text string")
+    assert [(m.doc_id, m.item_id) for m in decontaminate.matches(own, bench).filter("n_words > 4").collect()] == [(7, None)]
 
 
 def test_language(spark, odd):
