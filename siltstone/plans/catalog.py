@@ -16,6 +16,7 @@ from siltstone.plans import history as _history  # noqa: F401
 from siltstone.plans import scoring as _scoring  # noqa: F401
 from siltstone.plans import selection  # noqa: F401
 from siltstone.plans import selector as _selector  # noqa: F401
+from siltstone.plans import source as _source  # noqa: F401
 from siltstone.plans import tasks as _tasks  # noqa: F401
 from siltstone.plans.boosts import BASE
 from siltstone.plans.boosts import edges as import_edges
