@@ -129,7 +129,7 @@ def skill_progress(evidence: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first)
     net = F.when(F.col("i") == F.col("first"), F.col("x") - gains(F.col("i"))).when(F.col("i") > F.col("first"), F.col("x") - gains(F.col("i") - 1))
     grouped = rows.groupBy("skill").agg(F.count("*").alias("tasks"), F.max(net).alias("net"), F.max_by("task", "i").alias("last_task"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
-    sure = F.coalesce(F.least(F.lit(100), F.col("net") + gains(F.col("tasks"))), F.lit(0)).cast("long")
+    sure = F.when(F.col("net").isNotNull(), F.least(F.lit(100), F.col("net") + gains(F.col("tasks")))).otherwise(0).cast("long")
     return grouped.select("skill", "tasks", sure.alias("confidence"), "last_task", "first_seen", "last_seen")
 
 

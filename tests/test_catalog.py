@@ -14,10 +14,15 @@ def rows(frame):
     return columns, sorted(map(tuple, frame[columns].astype(str).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     want = rows(con.sql(ORACLES[name]).df())
     assert rows(QUERIES[name](spark, SF).toPandas()) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs_without_sql(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
