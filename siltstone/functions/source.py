@@ -112,17 +112,27 @@ def _named(text: Column, cases: tuple[tuple[str, str], ...]) -> Column:
     return _once(text, lambda t: F.array_compact(F.array(*[F.when(_holds(t, p), F.lit(label)) for label, p in cases])))
 
 
+#: What each of ENV_READS can't do without.
+_ENV_SIGNS = ("environ", "getenv", "process.env", "process.env", "config.get", "")
+
+
+def env_names(text: Column) -> Column:
+    """Distinct names that a text reads from its environment or configuration."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*[F.when(text.contains(sign), F.regexp_extract_all(text, F.lit(p), 1)).otherwise(none) for sign, p in zip(_ENV_SIGNS, ENV_READS, strict=True)])))
+
+
 def env_reads(text: Column) -> Column:
-    return F.slice(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in ENV_READS]))), 1, 20)
+    return F.slice(env_names(text), 1, 20)
 
 
 def systems(text: Column) -> Column:
     return _named(F.lower(text), SYSTEMS)
 
 
-def effects(text: Column) -> Column:
-    """What running the file may do."""
-    env = F.array_compact(F.array(F.when(F.size(env_reads(text)) > 0, "reads environment/config"), F.when(_holds(text, READS), "possible filesystem read"), F.when(_holds(text, WRITES), "possible filesystem write")))
+def effects(text: Column, reads_env: Column | None = None) -> Column:
+    """What running the file may do; reads_env, where it is known already."""
+    env = F.array_compact(F.array(F.when(reads_env if reads_env is not None else F.size(env_names(text)) > 0, "reads environment/config"), F.when(_holds(text, READS), "possible filesystem read"), F.when(_holds(text, WRITES), "possible filesystem write")))
     by_system = _once(systems(text), lambda own: F.array_compact(F.array(*[F.when(F.arrays_overlap(own, F.array(*map(F.lit, names))), F.lit(label)) for label, names in SYSTEM_EFFECTS])))
     return F.concat(env, by_system, _named(F.lower(text), OWN_EFFECTS))
 

@@ -82,9 +82,9 @@ _JOIN = "array_to_string({}, ';')"
 def source_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a file reads, touches and does, and how it fails."""
     t, out = F.col("text"), lambda c: F.array_join(c, ";")
-    names = F.size(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), 1) for p in C.ENV_READS]))))
-    return code(spark, sf_dir).select(
-        "path", names.alias("env_names"), out(C.systems(t)).alias("systems"), out(C.effects(t)).alias("effects"), out(C.failure_hints(t)).alias("hints"), out(C.concepts(t)).alias("concepts"), C.failure_class(t).alias("failure")
+    rows = code(spark, sf_dir).repartition(F.col("path")).withColumn("env_names", F.size(C.env_names(t)))
+    return rows.select(
+        "path", "env_names", out(C.systems(t)).alias("systems"), out(C.effects(t, F.col("env_names") > 0)).alias("effects"), out(C.failure_hints(t)).alias("hints"), out(C.concepts(t)).alias("concepts"), C.failure_class(t).alias("failure")
     )
 
 
