@@ -144,7 +144,7 @@ _RANKS = {"click": 2, "error": 4, "login": 1, "purchase": 3, "view": 0}
 
 @query(
     f"""with {_LOG}, f as (select k skill, event_id "at", event_type status, (k % 7 - 3 + (value > 20)::int) / 3.0::double v, case event_type {" ".join(f"when '{s}' then {r}" for s, r in _RANKS.items())} else 0 end r from log)
-select skill, round(greatest(-1, least(1, avg(greatest(-1, least(1, v))) filter (v <> 0))), 4) success, max_by(status, (r, "at")) status from f group by 1"""
+select skill, case when count(*) filter (v <> 0) > 0 then round(greatest(-1, least(1, avg(greatest(-1, least(1, v))) filter (v <> 0))), 4) end success, max_by(status, (r, "at")) status from f group by 1"""
 )
 def skill_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean feedback on each skill, and its weightiest status."""
