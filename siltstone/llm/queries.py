@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, decontaminate, langid, licenses, neardup, pii, quality, rules, toxicity
+from siltstone.llm import bpe, chat, decontaminate, divergence, langid, licenses, neardup, negatives, pii, quality, rules, sharding, toxicity
 from siltstone.llm.labels import fold
 
 
@@ -98,6 +98,21 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || t
 from sized group by conv_id"""
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assigned(table(spark, sf_dir, "documents"), sharding.balanced(16))
+    slotted = sharding.slotted(placed, ["doc_id", "size", "text_crc32"])
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -109,9 +124,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_sharding": op11_sharding,
+    "op12_negatives": op12_negatives,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op5_licenses": licenses.oracle(),
     "op10_chat": _CHAT_SQL,
+    "op11_sharding": sharding.oracle(),
+    "op12_negatives": negatives.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
