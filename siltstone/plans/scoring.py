@@ -99,32 +99,34 @@ def _fields(sql: str) -> str:
     return ", ".join(sql.format(f) for f, _ in G.FIELDS)
 
 
-_IN = "(select {} from phrases p where p.task_id = x.task_id and contains({}, phrase){})"
-_TOPW = "max(weight)"
 _SUM = " + ".join(f"({f}_weight > 0)::int" for f in ("role", "domain"))
 #: CTEs from the plan to (task_id, path, score).
 SCORED = f"""{PLAN},
 pt as (select task_id, path, max(weight) path_weight, list(distinct term) filter (kind = 'concrete') pc, list(distinct term) filter (kind = 'ambiguous') pa, list(distinct term) pall from (select path, unnest({PATH_TOKENS}) term from files) join terms using (term) where length(term) >= 3 group by 1, 2),
 ct as (select task_id, path, count(*) content_hits, sum(round(weight * 1000)::bigint)::bigint content_weight, list(distinct term) filter (kind = 'concrete') tc, list(distinct term) filter (kind = 'ambiguous') ta, list(distinct term) tall
   from (select distinct path, unnest({TOKENS.format('text')}) term from files) join terms using (term) where length(term) >= 3 group by 1, 2),
-fv as (select task_id, path, field, pos, "value", max(weight) weight, count(*) filter (kind = 'concrete') hits, array_to_string(any_value(w), ' ') normal from (select distinct path, field, pos, "value", w, unnest(w) term from fw) join terms using (term) where length(term) >= 3 group by 1, 2, 3, 4, 5),
-fp as (select x.*, greatest(x.weight, coalesce({_IN.format(_TOPW, 'x.normal', '')}, 0)) best from fv x),
+fv as (select task_id, path, field, pos, "value", max(weight) weight, count(*) filter (kind = 'concrete') hits from (select distinct path, field, pos, "value", unnest(w) term from fw) join terms using (term) where length(term) >= 3 group by 1, 2, 3, 4, 5),
+dp as (select distinct phrase from phrases),
+vp as (select task_id, path, field, pos, "value", max(weight) pw from (select path, field, pos, "value", phrase from (select distinct path, field, pos, "value", array_to_string(w, ' ') normal from fw) join dp on contains(normal, phrase)) join phrases using (phrase) group by 1, 2, 3, 4, 5),
+fp as (select task_id, path, field, pos, "value", greatest(coalesce(weight, 0), coalesce(pw, 0)) best, coalesce(hits, 0) hits from fv full join vp using (task_id, path, field, pos, "value")),
+hp as (select task_id, path, max(weight) filter (contains(np, phrase)) ppw, max(weight) apw, bool_or("literal") has_literal, list(phrase) filter ("literal") lits
+  from (select path, np, phrase from (select path, array_to_string({TOKENS.format('path')}, ' ') np, array_to_string({TOKENS.format('path')}, ' ') || ' ' || array_to_string({TOKENS.format("coalesce(text, '')")}, ' ') na from f) join dp on contains(na, phrase)) join phrases using (phrase) group by 1, 2),
+roots as (select distinct {TOKENS.format("replace(regexp_replace(path, '/?[^/]*$', ''), '/', '-')")} names from files),
+rooted as (select distinct task_id, true rooted from (select task_id, {_SCOPE} scope from tasks) join roots on len(scope) > 0 and list_has_all(names, scope)),
 fb as (select task_id, path, field, max_by(struct_pack(v := "value", w := best, h := hits), (best, -pos)) b from fp group by 1, 2, 3),
 fx as (select task_id, path, {_fields("max(b.v) filter (field = '{0}') {0}, max(b.w) filter (field = '{0}') {0}_weight, max(b.h) filter (field = '{0}') {0}_hits")} from fb group by 1, 2),
 nd as (select distinct task_id, src path, true named_dependency from pt join imports on path = dst),
 ap as (select task_id, path, count(distinct term) api_hits from (select path, unnest(string_split(substr(api_key, 6), '/')) term from (select path, {API_KEY} api_key from files) where api_key is not null) join terms using (term) where length(term) >= 3 group by 1, 2),
-met as (select * from pt full join ct using (task_id, path) full join fx using (task_id, path) full join nd using (task_id, path)),
+met as (select * from pt full join ct using (task_id, path) full join fx using (task_id, path) full join nd using (task_id, path) full join hp using (task_id, path)),
 asks as (select task_id, bool_or(term in ('test', 'tests', 'spec', 'specs')) asks_test, bool_or(list_contains({words(G.RELEASE_TERMS)}, term)) asks_release, bool_or(list_contains({words(G.BUILD_TERMS)}, term)) asks_build from terms group by 1),
 x as (select task_id, path, coalesce(path_weight, 0) path_weight, coalesce(pc, []) pc, coalesce(pa, []) pa, coalesce(tc, []) tc, coalesce(ta, []) ta, list_distinct(coalesce(pall, []) || coalesce(tall, [])) matched, coalesce(content_hits, 0) hits, coalesce(content_weight, 0) content_weight,
   {_fields("coalesce({0}_weight, 0) {0}_weight, coalesce({0}_hits, 0) {0}_hits")}, coalesce(defines, '') defines, coalesce(named_dependency, false) or changed_dependency dependency, coalesce(api_hits, 0) api_hits,
   changed, staged, recent, churn_high, co_changed, too_large, has_tests, dependent, {is_kind('test_file')} test_file, regexp_matches(path, '(?i)(^|/)e2e(/|$)') e2e, {is_kind('config_file')} config_file, {is_kind('build_metadata')} build_file,
   {RELEASE} release_file, {is_kind('release_primary')} release_primary, lower({NAME}) = 'gradle.properties' gradle, {is_kind('knowledge_file')} knowledge, list_has_any({PATH_TOKENS}, {words(P.ROLE_WORDS)}) role_file, {is_kind('agent_artifact')} artifact,
-  {PATH_TOKENS} path_tokens, {API_KEY} api_key, array_to_string({TOKENS.format('path')}, ' ') np, array_to_string({TOKENS.format('path')}, ' ') || ' ' || array_to_string({TOKENS.format('text')}, ' ') na,
+  {PATH_TOKENS} path_tokens, {API_KEY} api_key, ppw, apw, coalesce(has_literal, false) has_literal, coalesce(lits, []) lits, coalesce(rooted, false) rooted,
   {_KIND} kind, {_SCOPE} scope, asks_test, asks_release, asks_build, regexp_matches(text, '(?i)(api_?key|token|secret|password)[ ]*[=:][ ]*["''][A-Za-z0-9_-]{{16,}}["'']') secret
-  from met join f using (path) join tasks using (task_id) left join asks using (task_id) left join ap using (task_id, path)),
-y as (select x.*, {_IN.format(_TOPW, 'np', '')} ppw, {_IN.format(_TOPW, 'na', '')} apw, {_IN.format('count(*)', 'na', ' and "literal"')} > 0 has_literal,
-  {_IN.format('count(*)', "na", ' and "literal" and contains(array_to_string(' + TOKENS.format('x.defines') + ", ' '), phrase)")} > 0 and defines_weight > 0 defined, {_IN.format('count(*)', "''", '')} >= 0 ok,
-  (select coalesce(bool_or("literal"), false) from phrases p where p.task_id = x.task_id) has_literals from x),
+  from met join f using (path) join tasks using (task_id) left join asks using (task_id) left join rooted using (task_id) left join ap using (task_id, path)),
+y as (select x.*, len(list_filter(lits, lambda p: contains(array_to_string({TOKENS.format('x.defines')}, ' '), p))) > 0 and defines_weight > 0 defined, (select coalesce(bool_or("literal"), false) from phrases p where p.task_id = x.task_id) has_literals from x),
 z as (select *, greatest(path_weight, coalesce(ppw, 0)) filename, len(list_filter(pc, lambda t: not list_contains({_GENERIC}, t))) ph, apw is not null has_phrase, len(pc) + len(tc) + defines_hits plain, list_distinct(pa || ta) vague,
   dependency or dependent or co_changed > 0 or has_tests graph from y),
 e as (select *, case when ph >= 2 and not (test_file and coalesce(kind, '') <> 'test') then least(case when config_file then 210.0 else 150.0 end, 70.0 + 35.0 * least(2, ph - 2) + case when config_file then 105.0 else 0 end) else 0 end path_bonus,
@@ -144,7 +146,9 @@ s3 as (select * replace ((case when capped then greatest(s - 8, 0) else s end +
 s4 as (select * replace (case when damped_test then greatest(s * 0.72::double, 0) else s end + case when dependency then 50 else 0 end + case when dependent then 40 else 0 end + case when has_tests then 35 else 0 end + case when config_file then 25 else 0 end
   + case when build then 190 + case when gradle then 35 else 90 end else 0 end + case when release then 110 + case when release_primary then 70 else 0 end else 0 end + case when secret then 100 else 0 end + case when knowledge then 30 else 0 end
   + case when recent then 20 else 0 end + case when churn_high then 15 else 0 end + case when co_changed > 0 then 28 * least(1.0::double, 0.5::double + co_changed / 4::double) else 0 end as s) from s3),
-s5 as (select * replace (case when weak then greatest(case when only_release then greatest(s * 0.35::double, 0) else s end - 45, 1) when only_release then greatest(s * 0.35::double, 0) else s end as s) from s4),
+s4a as (select * replace (case when only_release then greatest(s * 0.35::double, 0) else s end as s) from s4),
+s4b as (select * replace (case when rooted and coalesce(kind, '') <> 'test' and not list_has_all(path_tokens, scope) then greatest(s * 0.62::double, 0) else s end as s) from s4a),
+s5 as (select * replace (case when weak then greatest(s - 45, 1) else s end as s) from s4b),
 s6 as (select * replace (s + case when too_large and supported then 120 when too_large and s < 50 then -50 else 0 end as s) from s5),
 s7 as (select * replace (case when false_hit then greatest(0, s * 0.72::double) else s end as s) from s6),
 scored as (select task_id, path, round(case when artifact then case when changed then least(s, 160) else least(s * 0.25, 80) end else s end, 2) score from s7)"""
@@ -152,7 +156,8 @@ scored as (select task_id, path, round(case when artifact then case when changed
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, fields, imports = inputs(spark, sf_dir)
-    return G.score(G.evidence(item_tasks(spark, sf_dir), own, fields, imports, secret_flag(F.col("text"))))
+    roots = own.select(F.concat(F.lit("packages/"), F.regexp_replace(F.regexp_replace("path", "/?[^/]*$", ""), "/", "-")).alias("root")).distinct()
+    return G.score(G.evidence(item_tasks(spark, sf_dir), own, fields, imports, secret_flag(F.col("text")), roots))
 
 
 @query(f"with {SCORED} select task_id, path, score, rank from (select *, row_number() over (partition by task_id order by score desc, path) rank from scored) where rank <= {TOP}")
