@@ -88,13 +88,13 @@ def cross_layer(scored: DataFrame, terms: DataFrame, w: Weights = Weights()) ->
 
 def api_pairs(scored: DataFrame, terms: DataFrame, w: Weights = Weights()) -> DataFrame:
     """Endpoints of the family of a strong one: families are the first part of the API path, the best endpoint is the seed."""
-    own = scored.withColumn("key", P.api_key(F.col("path"))).filter("key is not null").withColumn("parts", F.split(F.substring("key", 6, 10_000), "/")).withColumn("family", F.col("parts")[0])
+    own = scored.withColumn("key", P.api_key(F.col("path"))).filter("key is not null").withColumn("parts", F.split(F.expr("substring(key, 6)"), "/")).withColumn("family", F.col("parts")[0])
     asked = own.select("task_id", "path", F.explode("parts").alias("term")).join(terms.filter(~F.col("term").isin(*P.NOISE_WORDS)).select("task_id", "term"), ["task_id", "term"], "left_semi").select("task_id", "path").distinct().withColumn("asked", F.lit(True))
     rows = own.join(asked, ["task_id", "path"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))).withColumn("owner", _has(["API owner"]))
     enough = rows.groupBy("task_id").count().filter("count >= 2").select("task_id")
     fit = rows.join(enough, "task_id", "left_semi").filter((F.col("score") >= 90) | F.col("owner")).filter(F.col("owner") | F.col("asked"))
-    best = fit.groupBy("task_id", "family").agg(F.max_by(F.struct("path", "key"), F.struct("score", F.lit(0))).alias("_"), F.max("score").alias("top"))
-    seeds = fit.join(best.select("task_id", "family", "top"), ["task_id", "family"]).filter("score = top").groupBy("task_id", "family").agg(F.min_by(F.struct("path", "key"), "path").alias("seed"))
+    best = fit.groupBy("task_id", "family").agg(F.max("score").alias("top"))
+    seeds = fit.join(best, ["task_id", "family"]).filter("score = top").groupBy("task_id", "family").agg(F.min_by(F.struct("path", "key"), "path").alias("seed"))
     gain = F.lit(min(85.0, w.cross_layer + 15.0)) + F.when(F.col("asked"), 25.0).otherwise(0.0)
     gains = rows.join(seeds, ["task_id", "family"]).filter("path != seed.path").select("task_id", "path", gain.alias("amount"), F.concat(F.lit("API pair with "), F.col("seed.key")).alias("reason"))
     return _add(scored, gains, ["task_id", "path"])
@@ -108,7 +108,7 @@ def api_consumers(scored: DataFrame, calls: DataFrame, terms: DataFrame, w: Weig
     used = scored.filter(front & (F.col("score") > 0)).select("task_id", "path").join(calls, "path").join(owners, ["task_id", "key"]).filter("owner != path")
     known = terms.filter(~F.col("term").isin(*P.NOISE_WORDS)).groupBy("task_id").agg(F.collect_set("term").alias("known"))
     used = used.join(known, "task_id", "left")
-    hit = F.coalesce(F.arrays_overlap(F.split(F.substring("key", 6, 10_000), "/"), "known"), F.lit(False))
+    hit = F.coalesce(F.arrays_overlap(F.split(F.expr("substring(key, 6)"), "/"), "known"), F.lit(False))
     gain = F.lit(min(150.0, 90.0 + w.cross_layer * 0.6)) + F.when(hit, 45.0).otherwise(0.0)
     best = used.withColumn("amount", gain).groupBy("task_id", "owner").agg(F.max("amount").alias("amount"))
     gains = best.select("task_id", F.col("owner").alias("path"), "amount", F.lit("API producer").alias("reason"))

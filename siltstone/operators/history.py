@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.phrases import contained
+
 
 def last_rows(log: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The last n rows of each key (of the whole log without keys), with `k`, the place from the end."""
@@ -153,14 +157,12 @@ def apply_feedback(concepts: DataFrame, maps: DataFrame, suppressed: DataFrame)
     return renamed.withColumn("low", F.lower("concept")).join(gone, "low", "left_anti").select("item", "concept").distinct()
 
 
-def lessons(rows: DataFrame, concepts: DataFrame, helpful: DataFrame, muted: DataFrame, n: int) -> DataFrame:
-    """The best lessons (id, rule, confidence, accepted, evidenced): points for acceptance, evidence, and concepts in the rule; muted terms remove.
-
-    The term tables are small dimensions of one report.
-    """
-    words = lambda df, name: df.agg(F.collect_set(F.lower("term")).alias(name))
-    met = rows.join(F.broadcast(words(concepts, "c"))).join(F.broadcast(words(helpful, "h"))).join(F.broadcast(words(muted, "m")))
-    rule = F.lower("rule")
-    hits = lambda name: F.size(F.filter(name, lambda t: rule.contains(t)))
-    score = F.col("confidence") + F.when(F.col("accepted"), 30).otherwise(0) + F.when(F.col("evidenced"), 15).otherwise(0) + 10 * hits("c") + 20 * hits("h")
-    return met.filter(hits("m") == 0).select("id", score.cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(n)
+def lessons(rows: DataFrame, concepts: DataFrame, helpful: DataFrame, muted: DataFrame, most: int) -> DataFrame:
+    """The best lessons (id, rule, confidence, accepted, evidenced): points for acceptance, evidence, and terms in the rule; muted terms remove."""
+    kinds = (("concepts", concepts), ("helpful", helpful), ("muted", muted))
+    terms = reduce(DataFrame.unionByName, [df.select(F.lower("term").alias("phrase"), F.lit(name).alias("kind")).distinct() for name, df in kinds])
+    found = contained(rows.select("id", F.lower("rule").alias("text")), terms).join(terms, "phrase")
+    hits = found.groupBy("id").agg(*[F.count_distinct(F.when(F.col("kind") == name, F.col("phrase"))).alias(name) for name, _ in kinds])
+    met, n = rows.join(hits, "id", "left"), lambda name: F.coalesce(name, F.lit(0))
+    score = F.col("confidence") + F.when(F.col("accepted"), 30).otherwise(0) + F.when(F.col("evidenced"), 15).otherwise(0) + 10 * n("concepts") + 20 * n("helpful")
+    return met.filter(n("muted") == 0).select("id", score.cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(most)

@@ -217,10 +217,10 @@ def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.related_tests(base(spark, sf_dir).select("path"))
 
 
-@query(f"with {FILES}, s as (select path, {STEM} stem from files), t as (select 'tests/test_' || stem || '.py' test, 'test_' || stem tstem from s where length(stem) % 3 = 0) select distinct test, path source from t join s on contains(tstem, stem)")
+@query(f"with {FILES}, s as (select path, {STEM} stem from files), t as (select 'tests/test_' || stem || '.py' test, 'test_' || stem tstem from s) select distinct test, path source from t join s on contains(tstem, stem)")
 def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests whose name holds a source's: no pairs are tried but those that share a part."""
     own = files(spark, sf_dir).select("path")
     stem = P.stem(F.col("path"))
-    tests = own.filter(F.length(stem) % 3 == 0).select(F.concat(F.lit("tests/test_"), stem, F.lit(".py")).alias("test"))
+    tests = own.select(F.concat(F.lit("tests/test_"), stem, F.lit(".py")).alias("test"))
     return B.pair_tests(tests, own.select(F.col("path").alias("source")))

@@ -33,19 +33,6 @@ _EDGES = f"""{_HREFS}, t as (select distinct src, {_TARGET} target from own_ whe
 links as (select src, target, coalesce(dst, -1) dst from t left join (select {_PLACE.format("url")} target, min(page_id) dst from pages group by 1) using (target))"""
 
 
-@query(f"""
-with task as (select text from benchmark where item_id = 0),
-wanted as (select distinct unnest({_TOKENS}) term from task),
-held as (select doc_id, term from (select doc_id, unnest(list_distinct({_TOKENS})) term from documents) where term in (select term from wanted where length(term) >= 3)),
-w as (select term, round(least(1, greatest(0, ln(((select count(*) from documents) + 1) / (count(*) + 1)) / ln((select count(*) from documents) + 1.0))) * 1000)::bigint points from held group by term),
-c as (select doc_id, least(60000, sum(points) * 10) content from held join w using (term) group by doc_id),
-s as (select doc_id, content + case when contains(text, (select text from task)) then 360000 else 0 end score, greatest(1, length(text) // 4)::bigint tokens from c join documents using (doc_id)),
-b as (select * from s where score > 0 order by score desc, doc_id limit 200)
-select doc_id, score / 1000.0::double score, row_number() over w rank, tokens, (sum(tokens) over w)::bigint running, (sum(tokens) over w) <= 50000 selected from b window w as (order by score desc, doc_id)""")
-def doc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rank_for_task(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id = 0"))
-
-
 @query(f"""
 with wanted as (select distinct item_id, unnest({_TOKENS}) term from benchmark),
 held as (select doc_id, term from (select doc_id, unnest(list_distinct({_TOKENS})) term from documents) where term in (select term from wanted where length(term) >= 3)),
@@ -55,7 +42,7 @@ s as (select item_id, doc_id, content + case when contains(d.text, b.text) then
 r as (select item_id, doc_id, score / 1000.0::double score, row_number() over w rank, tokens, (sum(tokens) over w)::bigint running from s where score > 0 window w as (partition by item_id order by score desc, doc_id))
 select *, running <= 50000 selected from r where running - tokens <= 50000""")
 def doc_rank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every item the documents that its budget reaches; doc_rank is one item's best 200, as its SQL says."""
+    """For every item the documents that its budget reaches."""
     return rank_for_tasks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

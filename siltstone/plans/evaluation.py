@@ -94,7 +94,7 @@ def top_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {FILES}, c as (select o_orderkey "case", case when o_orderkey % 3 = 0 then '^src/' end required, case when o_orderkey % 2 = 0 then '[.](json|lock)$' else '^never' end forbidden, 4 most_files, 120 most_lines from orders where o_orderkey % 10 = 1),
+    f"""with {FILES}, c as (select o_orderkey "case", case when o_orderkey % 3 = 0 then '^src/' end required, case when o_orderkey % 2 = 0 then '[.](json|lock)$' else '^never' end forbidden, 4 most_files, 120 most_lines from orders),
 r as (select l_orderkey "case", f.path, l_quantity::bigint lines from lineitem join files f on f.doc_id = l_partkey % 200), j as (select c.*, r.path, r.lines from c left join r using ("case")),
 k as (select "case", any_value(required) required, coalesce(bool_or(regexp_matches(path, required)), false) hr, coalesce(bool_or(regexp_matches(path, forbidden)), false) forbidden_hit, count(path) > 4 too_many_files, coalesce(sum(lines), 0) > 120 too_many_lines from j group by 1)
 select "case", required is not null and not hr required_missing, forbidden_hit, too_many_files, too_many_lines, not ((required is not null and not hr) or forbidden_hit or too_many_files or too_many_lines) passed from k"""
@@ -102,7 +102,7 @@ select "case", required is not null and not hr required_missing, forbidden_hit,
 def eval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes (lines of orders) held against the rules of their case."""
     k = F.col("o_orderkey")
-    cases = table(spark, sf_dir, "orders").filter(k % 10 == 1).select(k.alias("case"), F.when(k % 3 == 0, "^src/").alias("required"), F.when(k % 2 == 0, "[.](json|lock)$").otherwise("^never").alias("forbidden"), F.lit(4).alias("most_files"), F.lit(120).alias("most_lines"))
+    cases = table(spark, sf_dir, "orders").select(k.alias("case"), F.when(k % 3 == 0, "^src/").alias("required"), F.when(k % 2 == 0, "[.](json|lock)$").otherwise("^never").alias("forbidden"), F.lit(4).alias("most_files"), F.lit(120).alias("most_lines"))
     own = files(spark, sf_dir).select("doc_id", "path")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case"), (F.col("l_partkey") % 200).alias("doc_id"), F.col("l_quantity").cast("long").alias("lines"))
     return V.checks(lines.join(own, "doc_id").select("case", "path", "lines"), cases)

@@ -105,13 +105,13 @@ def thread_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECORDS = "records as (select task_id, list_distinct(regexp_extract_all(lower(task), '[a-zA-Z][a-zA-Z0-9_]{2,}')) t from tasks), terms as (select task_id, unnest(list_filter(t, lambda x: not list_contains(['the', 'and', 'for', 'with', 'this', 'that', 'from', 'into'], x))) term from records)"
-_SHARED = "shared as (select a.task_id, b.task_id record, count(*) overlap from terms a join terms b using (term) where a.task_id % 20 = 0 and b.task_id % 3 = 1 group by 1, 2)"
+_SHARED = "shared as (select a.task_id, b.task_id record, count(*) overlap from terms a join terms b using (term) where a.task_id % 20 = 0 group by 1, 2)"
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Terms of every twentieth task, and of every third as a record."""
+    """Terms of every twentieth task, and of all as records."""
     rows = tasks(spark, sf_dir).select("task_id", F.explode(K.episode_terms(F.col("task"))).alias("term"))
-    return rows.filter("task_id % 20 = 0"), rows.filter("task_id % 3 = 1").withColumnRenamed("task_id", "record")
+    return rows.filter("task_id % 20 = 0"), rows.withColumnRenamed("task_id", "record")
 
 
 @query(
@@ -191,11 +191,11 @@ def feedback_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with r as (select doc_id id, substr(text, 1, 400) rule, n_chars % 100 c, doc_id % 4 = 0 a, doc_id % 3 = 0 e from documents where doc_id % 5 = 1)
+    """with r as (select doc_id id, text rule, n_chars % 100 c, doc_id % 4 = 0 a, doc_id % 3 = 0 e from documents)
 select id, (c + case when a then 30 else 0 end + case when e then 15 else 0 end + 10 * (contains(lower(rule), 'tion')::int + contains(lower(rule), 'der')::int) + 20 * contains(lower(rule), 'ing')::int)::bigint score from r where not contains(lower(rule), 'ment') order by 2 desc, 1 limit 25"""
 )
 def best_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lessons (openings of documents) by what speaks for them."""
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 5 = 1").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("rule"), (F.col("n_chars") % 100).alias("confidence"), (F.col("doc_id") % 4 == 0).alias("accepted"), (F.col("doc_id") % 3 == 0).alias("evidenced"))
+    """Lessons (documents) by what speaks for them."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("rule"), (F.col("n_chars") % 100).alias("confidence"), (F.col("doc_id") % 4 == 0).alias("accepted"), (F.col("doc_id") % 3 == 0).alias("evidenced"))
     one = lambda *terms: spark.createDataFrame([(t,) for t in terms], "term string")
     return H.lessons(rows, one("tion", "der"), one("ing"), one("ment"), 25)

@@ -36,12 +36,12 @@ _LINES = f"{CODE}, l as (select path, doc_id, unnest(range(1, len(s) + 1)) line,
 _LANGUAGES = ("python", "javascript", "go")
 
 
-@query(f"with {_LINES}, r as ({' union all '.join(_symbols(n, f'doc_id % 3 = {i}') for i, n in enumerate(_LANGUAGES))}) select path, line::int line, name, kind, \"language\" from r where line <= 400")
+@query(f"with {_LINES}, r as ({' union all '.join(_symbols(n, f'doc_id % 3 = {i}') for i, n in enumerate(_LANGUAGES))}) select path, line::int line, name, kind, \"language\" from r")
 def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of the first four hundred lines of each file, by one of three languages."""
+    """Symbols by the lines of each file, in one of three languages."""
     rows = code(spark, sf_dir)
     parts = [C.symbols(rows.filter(F.col("doc_id") % 3 == i), n).withColumn("language", F.lit(n)) for i, n in enumerate(_LANGUAGES)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("line <= 400")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _IMPORT_LANGUAGES = ("python", "javascript", "go", "rust", "java", "kotlin")
