@@ -26,7 +26,7 @@ SYMBOLS = {
 }
 #: Imports by language: patterns of a line, whose first group is what is imported (fixed values).
 IMPORTS = {
-    "python": (r"^\s*import\s+([\w.]+)", r"^\s*from\s+([\w.]+)\s+import\b"),
+    "python": (r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)", r"^\s*from\s+([\w.]+)\s+import\b"),
     "javascript": (r"import\s+.*?\s+from\s+[\"']([^\"']+)[\"']", r"import\s+[\"']([^\"']+)[\"']", r"require\s*\(\s*[\"']([^\"']+)[\"']\s*\)", r"export\s+.*?\s+from\s+[\"']([^\"']+)[\"']"),
     "go": (r"^import\s+\"([^\"]+)\"", r"^\s+(?:\w+\s+)?\"([^\"]+)\"\s*$"),
     "rust": (r"^\s*(?:pub\s+)?mod\s+(\w+)\s*[;{]", r"^\s*(?:pub\s+)?use\s+(\w+)[\w:{}, ]*;", r"^\s*extern\s+crate\s+(\w+)\s*;"),
@@ -77,22 +77,13 @@ def symbols(files: DataFrame, language: str) -> DataFrame:
 
 
 def imports(files: DataFrame, language: str) -> DataFrame:
-    """(path, name): what a file imports, each once."""
+    """(path, name): what a file imports, each once; a line of Python may import several."""
     found = F.flatten(F.array(*[F.regexp_extract_all("value", F.lit(p), 1) for p in IMPORTS[language]]))
+    if language == "python":
+        found = F.flatten(F.transform(found, lambda x: F.transform(F.split(x, ","), lambda part: F.regexp_extract(part, r"[\w.]+", 0))))
     return lines_of(files.select("path", "text")).select("path", F.explode(found).alias("name")).filter("name != ''").distinct()
 
 
-def resolve(found: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")) -> DataFrame:
-    """(path, name, target): the file that a relative import means: the first extension that is there, then index files; the name itself where none is."""
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    plain = F.regexp_replace("name", r"^\./", "")
-    base = F.when(plain.startswith("../"), F.concat_ws("/", F.nullif(F.regexp_replace(folder, "/?[^/]*$", ""), F.lit("")), F.regexp_replace(plain, r"^\.\./", ""))).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), plain))
-    options = F.array(*[F.concat(F.lit("{}"), F.lit(e)) for e in (*extensions, *(f"/index{e}" for e in extensions))])
-    tried = found.filter(F.col("name").startswith(".")).select("path", "name", F.posexplode(F.transform(options, lambda o: F.replace(o, F.lit("{}"), base))).alias("pos", "target"))
-    first = tried.join(files.select(F.col("path").alias("target")), "target", "left_semi").groupBy("path", "name").agg(F.min_by("target", "pos").alias("target"))
-    return found.join(first, ["path", "name"], "left").select("path", "name", F.coalesce("target", "name").alias("target"))
-
-
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often it is used."""
     return F.transform(F.array(value), use)[0]

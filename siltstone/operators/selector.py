@@ -122,6 +122,10 @@ def prepared(rows: DataFrame, most_tokens: int = 4000) -> DataFrame:
     )
 
 
+#: With more changed files than this a task is under pressure, and takes so many of those without a signal of the task (fixed values).
+MANY_CHANGED, UNRELATED = 5, 3
+
+
 @dataclass(frozen=True)
 class Rules:
     """How a selection is made: the mode, the budget and the caps; a cap of -1 allows none, 0 sets none."""
@@ -138,10 +142,10 @@ class Rules:
 class Choice:
     """The fold over one task's candidates, best first."""
 
-    def __init__(self, rules: Rules, live: bool) -> None:
-        self.rules, self.live = rules, live
+    def __init__(self, rules: Rules, many_changed: bool) -> None:
+        self.rules, self.many_changed = rules, many_changed
         self.picked: list[dict] = []
-        self.used = self.weak = 0
+        self.used = self.weak = self.unrelated = 0
         self.families: dict[str, int] = {}
         self.primary = False
 
@@ -150,7 +154,7 @@ class Choice:
         rules, short = self.rules, min(r["tokens"], 200) if r["summary_tokens"] is None else r["summary_tokens"]
         if r["changed"]:
             small = r["tokens"] <= min(600, rules.most_tokens)
-            pressed = rules.budget < 12_000
+            pressed = rules.budget < 12_000 or self.many_changed
             if r["tokens"] <= rules.most_tokens and (small or (r["signal"] and not pressed)):
                 return "full", r["tokens"]
             if r["signal"]:
@@ -209,6 +213,10 @@ class Choice:
         no = lambda why: [*out, {"path": r["path"], "action": "excluded", "mode": None, "cost": 0, "why": why, "risk": r["risk"]}]
         if r["score"] <= 0:
             return no("score too low")
+        if r["changed"] and not r["signal"] and self.many_changed:
+            if self.unrelated >= UNRELATED:
+                return no("unrelated changed-file cap")
+            self.unrelated += 1
         if not r["changed"]:
             if rules.mode != "deep" and r["bucket"] == "docs":
                 return no("docs disabled by mode")
@@ -254,16 +262,21 @@ class Choice:
         return [*out, {"path": r["path"], "action": "included" if mode == "full" else "summarized", "mode": mode, "cost": cost, "why": r["why"], "risk": r["risk"]}]
 
 
-_COLUMNS = "task_id path score hits tokens summary_tokens skeleton_tokens changed secret signal bucket family cap evidence scope weak support idle_test test owner primary secondary risk".split()
+_COLUMNS = "task_id path score hits tokens summary_tokens skeleton_tokens changed secret signal bucket family cap evidence scope weak support idle_test test owner primary secondary risk n_changed".split()
 
 
 def select_files(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(task_id, step, path, action, mode, tokens, reason, risk): a receipt for each decision, in their order.
 
-    rows: see prepared().  The order is by infrastructure, change, signal, priority, score and path.  A
+    rows: see prepared(); n_changed counts a task's changed files.  One stream for each task, by nature: what a file
+    brings depends on all that were taken before it.  The order is by infrastructure, change, signal, priority, score and path.  A
     displaced file has a second receipt that excludes it, so its last receipt counts; `selected` keeps those.
     """
-    ready = prepared(rows, rules.most_tokens).withColumn("why", F.array_join(F.slice("reasons", 1, 2), ", "))
+    why = F.when(F.size("reasons") > 0, F.array_join(F.slice("reasons", 1, 2), ", ")).when(F.col("changed"), "changed").otherwise("score")
+    ready = prepared(rows, rules.most_tokens).withColumn("why", why)
+    # few rows a task are changed; their number is known before the fold begins
+    counted = ready.filter("changed").groupBy("task_id").agg(F.count("*").alias("n_changed"))
+    ready = ready.join(counted, "task_id", "left").withColumn("n_changed", F.coalesce("n_changed", F.lit(0)))
     ordered = ready.repartition("task_id").sortWithinPartitions("task_id", F.desc("infra"), F.desc("changed"), F.desc("signal"), F.desc("priority"), F.desc("score"), "path").select(*_COLUMNS, "why")
     schema = T.StructType([rows.schema["task_id"], T.StructField("step", T.LongType()), rows.schema["path"], *[T.StructField(n, T.StringType()) for n in ("action", "mode")], T.StructField("tokens", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("reason", "risk")]])
 
@@ -273,7 +286,7 @@ def select_files(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 if choice is None or r["task_id"] != now:
-                    choice, now, step = Choice(rules, r["changed"]), r["task_id"], 0
+                    choice, now, step = Choice(rules, r["n_changed"] > MANY_CHANGED), r["task_id"], 0
                 for receipt in choice.take(r):
                     step += 1
                     out.append((now, step, receipt["path"], receipt["action"], receipt["mode"], receipt["cost"], receipt["why"], receipt["risk"]))

@@ -13,6 +13,7 @@ from siltstone.plans import boosts as _boosts  # noqa: F401
 from siltstone.plans import evaluation as _evaluation  # noqa: F401
 from siltstone.plans import files as _files  # noqa: F401  (these register their queries)
 from siltstone.plans import history as _history  # noqa: F401
+from siltstone.plans import imports as _imports  # noqa: F401
 from siltstone.plans import overview as _overview  # noqa: F401
 from siltstone.plans import scoring as _scoring  # noqa: F401
 from siltstone.plans import selection  # noqa: F401

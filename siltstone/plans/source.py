@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import source as C
 from siltstone.functions.paths import path_tokens
+from siltstone.operators import symbols as Y
 from siltstone.plans.files import PATH_TOKENS
-from siltstone.plans.registry import query
+from siltstone.plans.registry import QUERIES, query
 from siltstone.sources.repository import FILES, files
 from siltstone.sources.tables import table
 
 _DEF = "\ndef {0}1_{0}2({0}2):\n  with open({0}1, \"w\") as f: logger.error(f)\n  except {0}1Error:\n"
-_USE = "\nclass {0}2:\nimport {0}2 from \"./{0}2\"\nfunc {0}2({0}1)\nuse {0}2::x;\nimport static {0}2.a.b;\nx = redis.get(os.getenv(\"{0}2\"))\nraise {0}2Error\nexport const {0}2 = ({0}1) => 1\n"
+_USE = "\nclass {0}2:\nimport {0}1, {0}2.y as z\nimport {0}2 from \"./{0}2\"\nfunc {0}2({0}1)\nuse {0}2::x;\nimport static {0}2.a.b;\nx = redis.get(os.getenv(\"{0}2\"))\nraise {0}2Error\nexport const {0}2 = ({0}1) => 1\n"
 
 
 def _code(ref: str, flags: str) -> str:
@@ -48,7 +49,8 @@ _IMPORT_LANGUAGES = ("python", "javascript", "go", "rust", "java", "kotlin")
 
 
 def _imports(language: str, which: str) -> str:
-    return " union ".join(f"select distinct path, unnest(regexp_extract_all(x, '{p.replace(chr(39), chr(39) * 2)}', 1)) name, '{language}' \"language\" from l where {which}" for p in C.IMPORTS[language])
+    name = "unnest(flatten(list_transform(regexp_extract_all(x, '{0}', 1), lambda m: list_transform(string_split(m, ','), lambda q: regexp_extract(q, '[A-Za-z0-9_.]+', 0)))))" if language == "python" else "unnest(regexp_extract_all(x, '{0}', 1))"
+    return " union ".join(f"select distinct path, {name.format(p.replace(chr(39), chr(39) * 2))} name, '{language}' \"language\" from l where {which}" for p in C.IMPORTS[language])
 
 
 @query(f"with {_LINES}, r as ({' union all '.join(f'select * from ({_imports(n, f'doc_id % 6 = {i}')})' for i, n in enumerate(_IMPORT_LANGUAGES))}) select \"language\", name, count(*) files from r where name <> '' group by 1, 2")
@@ -88,25 +90,6 @@ def source_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_EXT = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-_OPTIONS = [*_EXT, *(f"/index{e}" for e in _EXT)]
-
-
-@query(
-    f"""with {FILES}, i as (select a.path, './' || regexp_replace(split_part(b.path, '/', -1), '\\.[^.]*$', '') name from files a join files b on b.doc_id = a.doc_id + 16 union all select path, '../' || 'x' || doc_id name from files where doc_id % 9 = 1 union all select path, 'react' from files where doc_id % 5 = 0),
-t as (select distinct path, name, case when starts_with(name, '../') then concat_ws('/', nullif(regexp_replace(regexp_replace(path, '/?[^/]*$', ''), '/?[^/]*$', ''), ''), substr(name, 4)) else concat_ws('/', nullif(regexp_replace(path, '/?[^/]*$', ''), ''), regexp_replace(name, '^\\./', '')) end base from i),
-o as (select path, name, base || unnest([{", ".join(repr(o) for o in _OPTIONS)}]) target, unnest(range({len(_OPTIONS)})) pos from t where starts_with(name, '.')), f as (select path, name, min_by(target, pos) target from o where target in (select path from files) group by 1, 2)
-select path, name, coalesce(target, name) target from (select distinct path, name from i) left join f using (path, name)"""
-)
-def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative imports of the file sixteen numbers on, which lies in the same folder, of one that isn't there, and of a package."""
-    own = files(spark, sf_dir).select("doc_id", "path")
-    near = own.join(own.select((F.col("doc_id") - 16).alias("doc_id"), F.concat(F.lit("./"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")).alias("name")), "doc_id").select("path", "name")
-    gone = own.filter("doc_id % 9 = 1").select("path", F.concat(F.lit("../x"), F.col("doc_id")).alias("name"))
-    found = near.unionByName(gone).unionByName(own.filter("doc_id % 5 = 0").select("path", F.lit("react").alias("name"))).distinct()
-    return C.resolve(found, own)
-
-
 _SPLIT = "string_split(text, chr(10))"
 _VIEW = "case when len(list_filter({0}, lambda x: regexp_matches(x, '{1}'))) > 0 then array_to_string(list_filter({0}, lambda x: regexp_matches(x, '{1}')), chr(10)) else substr(text, 1, 4000) end"
 
@@ -154,3 +137,32 @@ def path_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = files(spark, sf_dir).select(F.explode(path_tokens(F.col("path"))).alias("topic")).filter("length(topic) >= 3 and not topic rlike '^[0-9]+$'")
     top = words.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(25)
     return top.select("topic", "n", F.expr("row_number() over (order by n desc, topic)").cast("long").alias("place"))
+
+
+_CALL = Y.CALL.replace(chr(39), chr(39) * 2)
+
+
+@query(
+    f"""with {_LINES}, s as (select distinct name, path from ({' union all '.join(_symbols(n, f'doc_id % 3 = {i}') for i, n in enumerate(_LANGUAGES))})), c as (select distinct path, split_part(name, '.', -1) base from (select path, unnest(regexp_extract_all(text, '{_CALL}', 1)) name from code) where split_part(name, '.', 1) not in ({', '.join(repr(n) for n in Y.NO_CALLS)})),
+d as (select name, count(*) definitions from s group by 1), u as (select base name, count(*) callers from c group by 1), own as (select name, count(*) n from s join c on c.path = s.path and c.base = s.name group by 1)
+select name, definitions, callers, definitions * callers - coalesce(n, 0) pairs from d join u using (name) left join own using (name)"""
+)
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that are called: files that define them, files that call them, and pairs of a caller and another file that defines; counts by name, so no hot name is paired."""
+    rows = code(spark, sf_dir)
+    parts = [C.symbols(rows.filter(F.col("doc_id") % 3 == i), n) for i, n in enumerate(_LANGUAGES)]
+    symbols, called = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("name", "path").distinct(), Y.calls(rows)
+    own = symbols.join(called.withColumnRenamed("base", "name"), ["path", "name"]).groupBy("name").agg(F.count("*").alias("n"))
+    count = lambda df, key, name: df.groupBy(F.col(key).alias("name")).agg(F.count("*").alias(name))
+    met = count(symbols, "name", "definitions").join(count(called, "base", "callers"), "name").join(own, "name", "left")
+    return met.select("name", "definitions", "callers", (F.col("definitions") * F.col("callers") - F.coalesce("n", F.lit(0))).alias("pairs"))
+
+
+def symbol_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, end, owner and the size of the body of each symbol; no SQL follows braces and indentation, so tests hold it against a parser."""
+    language = F.when(F.col("doc_id") % 3 == 0, "python").when(F.col("doc_id") % 3 == 1, "javascript").otherwise("go")
+    rows = code(spark, sf_dir).withColumn("language", language)
+    return Y.bodies(rows, Y.extents(rows)).withColumn("body", F.sha2("body", 256))
+
+
+QUERIES["symbol_extents"] = symbol_extents

@@ -8,7 +8,9 @@ from siltstone.functions import source as C
 from siltstone.functions import tasks as K
 from siltstone.operators import boosts as B
 from siltstone.operators import history as H
+from siltstone.operators import imports as M
 from siltstone.operators import overview as O
+from siltstone.operators import phrases as PH
 from siltstone.operators import provenance as V
 from siltstone.operators import relations as R
 from siltstone.operators import scoring as G
@@ -222,10 +224,46 @@ def test_symbols_and_imports(spark):
     assert {s.name for s in C.imports(df, "javascript").collect()} == {"./a", "y"}
 
 
-def test_relative_imports_resolve_in_order(spark):
-    files = spark.createDataFrame([("src/a.ts",), ("src/b.js",), ("src/b.ts",), ("src/c/index.tsx",), ("top.js",)], "path string")
-    found = spark.createDataFrame([("src/a.ts", n) for n in ("./b", "./c", "../top", "./none", "react")], "path string, name string")
-    assert {r.name: r.target for r in C.resolve(found, files).collect()} == {"./b": "src/b.ts", "./c": "src/c/index.tsx", "../top": "top.js", "./none": "./none", "react": "react"}
+def test_relative_imports_resolve_at_any_depth(spark):
+    paths = ["src/a.ts", "src/b.js", "src/b.ts", "src/c/index.tsx", "top.js", "src/a/b/c.ts", "src/x.ts", "pkg/__init__.py", "pkg/util.py", "pkg/sub/mod.py", "pkg/sub/__init__.py", "index.js"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    wanted = {
+        ("src/a.ts", "./b", "javascript"): "src/b.ts", ("src/a.ts", "./c", "javascript"): "src/c/index.tsx", ("src/a.ts", "../top", "javascript"): "top.js", ("src/a.ts", "./none", "javascript"): None, ("src/a.ts", "react", "javascript"): "react",
+        ("src/a/b/c.ts", "../../x", "javascript"): "src/x.ts", ("src/a/b/c.ts", "../../../top", "javascript"): "top.js", ("src/a/b/c.ts", "../../../../top", "javascript"): None, ("src/a.ts", "..", "javascript"): "index.js", ("src/a.ts", "./c/../b.js", "javascript"): "src/b.ts",
+        ("pkg/sub/mod.py", "..util", "python"): "pkg/util.py", ("pkg/sub/mod.py", ".", "python"): "pkg/sub/__init__.py", ("pkg/util.py", ".sub.mod", "python"): "pkg/sub/mod.py", ("pkg/util.py", ".sub", "python"): "pkg/sub/__init__.py", ("pkg/util.py", ".....pkg.util", "python"): "pkg/util.py",
+        ("pkg/util.py", ".gone", "python"): None, ("pkg/util.py", "os", "python"): "os",
+    }
+    found = spark.createDataFrame(list(wanted), "path string, name string, language string")
+    resolved = M.resolve(found, files)
+    assert {(r.path, r.name, r.language): r.target for r in resolved.collect()} == wanted
+    nodes = {r.path: (r.imports, r.packages, r.missing, r.imported_by) for r in M.nodes(files, resolved).collect()}
+    assert nodes["src/a.ts"] == (4, 1, 1, 0) and nodes["top.js"] == (0, 0, 0, 2) and nodes["pkg/util.py"] == (3, 1, 1, 2) and nodes["src/b.js"] == (0, 0, 0, 0)
+
+
+def test_what_imports_reach(spark):
+    own = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("f",)], "path string")
+    assert {(r.seed, r.path, r.hops) for r in M.reached(own, seeds, 3).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("f", "f", 0)}
+
+
+def test_a_line_of_python_imports_several(spark):
+    text = "import os, sys as s, a.b\nfrom ..pkg.m import (x, y)\nfrom . import z\n  import one  # two, three\nimportant = 1"
+    df = spark.createDataFrame([("a.py", text)], "path string, text string")
+    assert {s.name for s in C.imports(df, "python").collect()} == {"os", "sys", "a.b", "..pkg.m", ".", "one"}
+
+
+def test_lessons_by_terms(spark):
+    rows = spark.createDataFrame([(1, "Use Caching and caching", 10, True, False), (2, "mute caching", 90, False, True), (3, None, 5, False, False), (4, "help", 5, False, True)], "id long, rule string, confidence int, accepted boolean, evidenced boolean")
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    assert [tuple(r) for r in H.lessons(rows, terms("CACHING", "use"), terms("help"), terms("mute"), 9).collect()] == [(1, 60), (4, 40), (3, 5)]
+
+
+def test_phrases_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(PH, "BLOCK", 4)
+    texts = spark.createDataFrame([(1, "one", "accurate limits two"), (2, "a b", "c"), (3, None, None), (4, "", "x")], "id int, head string, text string")
+    phrases = spark.createDataFrame([(p,) for p in ("rate lim", "one acc", "one", "two", "b c", "x", "", "none", "one")], "phrase string")
+    assert {(r.id, r.phrase, r.in_head) for r in PH.contained(texts, phrases, "head").collect()} == {(1, "rate lim", False), (1, "one acc", False), (1, "one", True), (1, "two", False), (2, "b c", False), (4, "x", False)}
+    assert PH.contained(texts, phrases.limit(0), "head").count() == 0
 
 
 def test_workspaces(spark):
