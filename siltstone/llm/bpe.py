@@ -319,7 +319,8 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[s
 
     tokenizer: path of a tokenizer file on the driver; its content is broadcast
     (a vocabulary, whose size does not follow the data).  Other columns of
-    `docs` are not read, whatever their names.  An empty table gives an empty one.
+    `docs` are not read, whatever their names.  An empty table gives an empty one; repeated
+    rows have a row each, nulls are encoded as empty texts.
     """
     source = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     fields = [docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]

@@ -7,6 +7,10 @@ in numpy.  A temperature fitted on rows set aside makes the score a
 probability, and texts below a score that hardly any of those rows fall below
 are rejected.  As all is linear up to the softmax, a text's logits are the mean
 of one small vector per subword: whole texts cost a few look-ups a byte.
+
+Texts that are null, empty or without letters are `und` with score 0 and are rejected.  Equal texts have equal predictions, repeated
+rows a row each.  An empty table gives an empty one.  Only id, text and (for training) the language are read, whatever other
+columns are called; ties between languages go to the first by name.
 """
 
 from __future__ import annotations

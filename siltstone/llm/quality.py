@@ -5,7 +5,11 @@ neighbouring word shapes (runs of letters, capitals, digits and signs, and
 whether a word repeats the one before).  Each indicator is scaled by its class
 log-count ratio; a linear hinge-loss model over them is fitted by dual
 coordinate descent and blended with the ratios.  Margins of rows set aside
-calibrate the score.  Nulls and empty texts get the score of no features.
+calibrate the score.
+
+Nulls and empty texts get the score of no features.  Equal texts have equal scores, repeated rows a row each; texts of any
+length are scored whole.  An empty table gives an empty one, and a sample without both classes a constant
+model.  Only id, text and (for training) label are read, whatever other columns are called.
 """
 
 from __future__ import annotations

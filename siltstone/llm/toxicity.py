@@ -11,10 +11,18 @@ labelled sentence toxic is learnt by turns: the model picks the best unit of
 each toxic text, and the highest-scored units of clean ones become examples.
 
 The decision function is linear in the subsequences' weights, so it collapses
-into one table over letter triples; scoring a whole text is six look-ups a
-letter.  A text is scored by
-its best unit and by how much of it lies over the margin.  Nulls, empty texts and texts without
-letters score as no unit at all.
+into one table over letter triples; scoring a whole text is fifteen look-ups a
+letter (one for each pair of distances).  A text is scored by its best unit and by how much of it lies over the margin.
+
+Nulls, empty texts and texts without letters score as no unit at all.  Equal texts have equal scores, and
+repeated rows have a row each; a text of any length is scored whole, in blocks.  An empty table gives an empty one.
+Only the id, the text and (for training) the label are read, so other columns may have any name.  With
+fewer than two labelled texts of either class, or no unit that is clearly commoner among toxic ones, the
+model is a constant: the rate of toxic rows.
+
+Training is bounded by SAMPLE labelled rows; of copies of a text, which say nothing new of its words, one is used.  From these
+rows it takes as negatives the 1,500 commonest clean units and as many others, then up to five of each clean
+text's units that score highest, 8,000 at most; units of over 40 letters aren't taken for toxic.
 """
 
 from __future__ import annotations
