@@ -105,3 +105,18 @@ def checks(results: DataFrame, cases: DataFrame) -> DataFrame:
     missing = F.col("required").isNotNull() & ~F.col("has_required")
     many, long = F.coalesce(F.col("files") > F.col("most_files"), F.lit(False)), F.coalesce(F.col("lines") > F.col("most_lines"), F.lit(False))
     return joined.select("case", missing.alias("required_missing"), "forbidden_hit", many.alias("too_many_files"), long.alias("too_many_lines"), (~(missing | F.col("forbidden_hit") | many | long)).alias("passed"))
+
+
+def stratified(cases: DataFrame, stratum: list[str], key: str, quotas: dict[str, int], default: int) -> DataFrame:
+    """cases of each stratum up to its quota (by the first column's value): those with the least digests of their key.
+
+    The choice depends on keys alone, not on how rows are dealt; a partition passes on no more than a stratum's quota.  Equal
+    keys stand together in it, ties in the order of all columns.
+    """
+    most = max([default, *quotas.values()])
+    order = [F.md5(F.col(key).cast("string")), *[F.col(c) for c in cases.columns]]
+    ranked = cases.withColumn("place", F.row_number().over(Window.partitionBy(*stratum).orderBy(*order))).filter(F.col("place") <= most)
+    quota = F.lit(default)
+    for value, n in quotas.items():
+        quota = F.when(F.col(stratum[0]) == value, n).otherwise(quota)
+    return ranked.filter(F.col("place") <= quota)

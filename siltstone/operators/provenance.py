@@ -96,3 +96,52 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in got], pa.string()), pa.array([n for _, n in got], pa.list_(pa.string()))], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+#: Keywords of a task at most.
+KEYWORDS = 500
+
+
+def hunks_within(diffs: DataFrame, keywords: DataFrame, budget: int) -> DataFrame:
+    """(path, text, kept, omitted) of diffs (path, text): headers, and the hunks that say most for the task as long as they fit.
+
+    keywords: (term).  A hunk's worth is a hundred for each keyword of three letters or more that it holds, and one for each
+    changed line; ties go to the earlier hunk.  A hunk that doesn't fit is passed over, later ones may fit; where not even the
+    best one does, its lines are cut.  Hunks come back in their order, after a line that tells how many were left out.
+    A file's hunks are one row.
+    """
+    words = [r["term"] for r in keywords.select(F.lower("term").alias("term")).filter(F.length("term") >= 3).distinct().limit(KEYWORDS + 1).collect()]
+    if len(words) > KEYWORDS:
+        raise ValueError(f"more than {KEYWORDS} keywords")
+    lines = F.split("text", "\n")
+    starts = F.filter(F.transform("lines", lambda x, i: F.when(x.startswith("@@"), i)), lambda i: i.isNotNull())
+    rows = diffs.select("path", lines.alias("lines")).withColumn("starts", starts).withColumn("n", F.size("starts"))
+    cut = F.when(F.col("n") > 0, F.slice("lines", F.lit(1), F.col("starts")[0])).otherwise(F.col("lines"))
+    end = lambda k: F.when(k + 1 < F.col("n"), F.get("starts", k + 1)).otherwise(F.size("lines"))
+    parts = F.transform("starts", lambda s, k: F.slice("lines", s + 1, end(k) - s))
+    rows = rows.withColumn("header", F.array_join(cut, "\n")).withColumn("parts", parts)
+    low = lambda h: F.lower(F.array_join(h, "\n"))
+    hits = lambda h: sum((low(h).contains(w).cast("int") for w in words), F.lit(0))
+    changed = lambda h: F.size(F.filter(h, lambda x: x.rlike(r"^(\+(?!\+\+)|-(?!--))")))
+    hunk = lambda h, k: F.struct((-(hits(h) * 100 + changed(h))).alias("v"), k.alias("k"), F.array_join(h, "\n").alias("body"))
+    rows = rows.select("path", "lines", "n", "header", F.array_sort(F.transform("parts", hunk)).alias("hunks"))
+    # the length of what is kept, with a line's end between parts
+    start = F.struct(F.length("header").alias("size"), F.array().cast("array<struct<k:int,body:string>>").alias("kept"))
+
+    def step(a: Column, h: Column) -> Column:
+        size = a["size"] + F.length(h["body"]) + F.when(a["size"] > 0, 1).otherwise(0)
+        fits = F.greatest(F.lit(1), F.floor(size / 4)) <= budget
+        return F.struct(F.when(fits, size).otherwise(a["size"]).cast("int").alias("size"), F.when(fits, F.array_append(a["kept"], F.struct(h["k"].alias("k"), h["body"].alias("body")))).otherwise(a["kept"]).alias("kept"))
+
+    rows = rows.withColumn("kept", F.array_sort(F.aggregate("hunks", start, step)["kept"]))
+    none = (F.size("kept") == 0) | (F.col("n") == 0)
+    omitted = F.when(none, F.greatest(F.lit(0), F.col("n") - 1)).otherwise(F.col("n") - F.size("kept"))
+    told = F.when(omitted > 0, F.array(F.concat(F.lit("... "), omitted, F.lit(" less relevant diff hunk(s) omitted ..."))))
+    head = F.when(F.col("header") != "", F.array("header"))
+    empty = F.array().cast("array<string>")
+    whole = F.array_join(F.concat(F.coalesce(head, empty), F.coalesce(told, empty), F.transform("kept", lambda h: h["body"])), "\n")
+    best = F.array_join(F.concat(F.coalesce(head, empty), F.coalesce(F.array(F.get("hunks", F.lit(0))["body"]), empty)), "\n")
+    # lines as long as they fit
+    fit = F.aggregate(F.split(best, "\n"), F.lit(""), lambda a, x: F.when(F.length(a) + F.length(x) + 1 <= budget * 4, F.concat(a, x, F.lit("\n"))).otherwise(a))
+    text = F.when(F.col("n") == 0, F.when(F.length("header") <= budget * 4, F.col("header")).otherwise(F.rtrim(fit))).when(none, F.regexp_replace(fit, "\n$", "")).otherwise(whole)
+    return rows.select("path", text.alias("text"), F.when(none, F.least(F.lit(1), F.col("n"))).otherwise(F.size("kept")).alias("kept"), omitted.alias("omitted"))

@@ -6,8 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from siltstone.sources.shared import written
 from pyspark.sql import types as T
 
 
@@ -74,3 +78,18 @@ def probe(files: DataFrame, cache: DataFrame) -> DataFrame:
     known = cache.select(F.col("key").alias("_key")).distinct().withColumn("_hit", F.lit(True))
     found = files.withColumn("_key", cache_key(F.col("path"), F.col("hash"))).join(known, "_key", "left")
     return found.select(*files.columns, F.coalesce("_hit", F.lit(False)).alias("cached"))
+
+
+def refreshed(files: DataFrame, cache: DataFrame, make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(features, misses): features (path, key, ...) of all files, where only those whose key isn't in the cache are made.
+
+    `make` turns files into (path, ...); cache: features of an earlier run.  Both the new features and the whole are written
+    anew, beside the earlier version, so readers of that one aren't disturbed and a failed run leaves it as it was.  A cache row of a
+    path or content that is gone doesn't come along; a key that the cache holds twice counts once.
+    """
+    keyed = files.withColumn("key", cache_key(F.col("path"), F.col("hash")))
+    known = cache.dropDuplicates(["key"])
+    misses = keyed.join(known.select("key"), "key", "left_anti")
+    made = written(make(misses).join(misses.select("path", "key").distinct(), "path"), "features")
+    kept = known.join(keyed.select("key").distinct(), "key", "left_semi")
+    return written(kept.select(*made.columns).unionByName(made), "features"), made

@@ -106,3 +106,13 @@ def eval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = files(spark, sf_dir).select("doc_id", "path")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case"), (F.col("l_partkey") % 200).alias("doc_id"), F.col("l_quantity").cast("long").alias("lines"))
     return V.checks(lines.join(own, "doc_id").select("case", "path", "lines"), cases)
+
+
+@query(
+    """with r as (select o_orderstatus status, o_orderpriority priority, o_orderkey "case", row_number() over (partition by o_orderstatus, o_orderpriority order by md5(o_orderkey::varchar), o_orderkey) place from orders)
+select status, priority, "case", place::int place from r where place <= case status when 'F' then 20 when 'P' then 5 else 10 end"""
+)
+def stratified_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of each status and priority by quota; which ones doesn't depend on partitions."""
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("case"))
+    return V.stratified(cases, ["status", "priority"], "case", {"F": 20, "P": 5}, 10)

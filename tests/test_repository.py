@@ -7,6 +7,7 @@ from siltstone.functions import paths as P
 from siltstone.functions import source as C
 from siltstone.functions import tasks as K
 from siltstone.operators import boosts as B
+from siltstone.operators import evaluation as V2
 from siltstone.operators import history as H
 from siltstone.operators import imports as M
 from siltstone.operators import overview as O
@@ -274,3 +275,59 @@ def test_workspaces(spark):
 def test_branch_lines(spark):
     got = column(spark, ["main...origin/main [ahead 2, behind 1]", "HEAD (no branch)", "topic"], C.branch_status)
     assert [tuple(r) for r in got] == [("main", "origin/main", 2, 1), (None, None, 0, 0), ("topic", None, 0, 0)]
+
+
+def test_selection_under_many_changed_files(spark):
+    rows = [(1, f"src/f{i}.py", 100.0 - i, ["modified"], 0, 300, 40, None, True, False) for i in range(9)] + [(1, "src/task.py", 300.0, ["modified", "symbol"], 3, 700, 40, None, True, False)]
+    _, got = receipts(spark, rows, budget=20_000)
+    by_path = {p: (a, m, why) for p, a, m, _, why in got}
+    assert [a for p, (a, _, _) in by_path.items() if p != "src/task.py"].count("excluded") == 6 and by_path["src/f8.py"][2] == "unrelated changed-file cap"
+    assert by_path["src/task.py"][1] == "symbols"  # under pressure, however large the budget
+    _, few = receipts(spark, rows[:5], budget=20_000)
+    assert all(a == "included" for _, a, *_ in few)
+    _, bare = receipts(spark, [(1, "src/x.py", 50.0, [], 9, 30, 5, None, True, False)])
+    assert bare[0][4] == "changed"
+
+
+def test_a_phrase_alone_brings_a_file_and_scopes_dampen(spark):
+    tasks = spark.createDataFrame([(1, 'fix(web-shop): the "rate lim" case'), (2, "other words entirely")], "task_id int, task string")
+    base = (False, False, False, False, 0, False, False, None, None)
+    files = spark.createDataFrame([("x/one.py", "accurate limits", *base), ("packages/web-shop/two.py", "accurate limits", *base), ("x/none.py", "nothing", *base)], "path string, text string, changed boolean, staged boolean, recent boolean, churn_high boolean, co_changed int, too_large boolean, has_tests boolean, changed_dependency boolean, dependent boolean")
+    fields = spark.createDataFrame([], "path string, field string, pos int, value string")
+    imports = spark.createDataFrame([], "src string, dst string")
+    score = lambda roots: {(r.task_id, r.path): (r.score, r.reasons) for r in G.score(G.evidence(tasks, files, fields, imports, F.lit(False), roots)).collect()}
+    plain = score(None)
+    assert "literal" in plain[1, "x/one.py"][1] and (1, "x/none.py") not in plain and not [k for k in plain if k[0] == 2]
+    rooted = score(spark.createDataFrame([("packages/web-shop",), ("packages/web",)], "root string"))
+    assert rooted[1, "x/one.py"][0] == round(plain[1, "x/one.py"][0] * 0.62, 2) and "scope mismatch" in rooted[1, "x/one.py"][1]
+    assert rooted[1, "packages/web-shop/two.py"] == plain[1, "packages/web-shop/two.py"]
+
+
+def test_only_what_misses_is_made(spark):
+    made = []
+    make = lambda df: made.append(df.count()) or df.select("path", F.length("hash").alias("size"))
+    files = lambda *rows: spark.createDataFrame(rows, "path string, hash string")
+    none = spark.createDataFrame([], "path string, size int, key string")
+    first, _ = N.refreshed(files(("a", "1"), ("b", "22")), none, make)
+    second, _ = N.refreshed(files(("a", "1"), ("b", "333"), ("c", "4")), first.unionByName(first), make)
+    third, new = N.refreshed(files(("a", "1"), ("b", "333"), ("c", "4")), second, make)
+    assert made == [2, 2, 0] and new.count() == 0
+    assert sorted((r.path, r["size"]) for r in third.collect()) == [("a", 1), ("b", 3), ("c", 1)]
+
+
+def test_strata_do_not_depend_on_partitions(spark):
+    cases = spark.createDataFrame([(s, k) for s in ("x", "y") for k in range(300)] + [("x", 7)] * 3, "stratum string, id int")
+    one, two = (sorted(map(tuple, V2.stratified(cases.repartition(n), ["stratum"], "id", {"x": 5}, 9).collect())) for n in (1, 7))
+    assert one == two and len(one) == 14
+
+
+def test_hunks_within_a_budget(spark):
+    hunks = ["@@ -1 +1 @@\n+plain change", "@@ -9 +9 @@\n-old limiter\n+new limiter\n+more", "@@ -20 +20 @@\n" + "+long " * 60, "@@ -40 +40 @@\n context"]
+    diff = "--- a\n+++ b\n" + "\n".join(hunks)
+    df = spark.createDataFrame([("p", diff), ("bare", "--- a\n+++ b"), ("big", hunks[2]), ("null", None)], "path string, text string")
+    words = spark.createDataFrame([("LIMITER",), ("of",)], "term string")
+    got = {r.path: (r.text, r.kept, r.omitted) for r in V.hunks_within(df, words, 28).collect()}
+    assert got["p"] == ("--- a\n+++ b\n... 1 less relevant diff hunk(s) omitted ...\n" + "\n".join([hunks[0], hunks[1], hunks[3]]), 3, 1)
+    assert got["bare"] == ("--- a\n+++ b", 0, 0) and got["big"] == ("@@ -20 +20 @@", 1, 0)
+    whole = {r.path: r.kept for r in V.hunks_within(df, words, 5000).collect()}
+    assert whole["p"] == 4 and whole["big"] == 1
