@@ -21,7 +21,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: of equal rows one stays, ties go to the least id; texts without words are no duplicates of longer ones."""
+    """One document of each group of near duplicates: of equal rows one stays, ties go to the least id; null texts and those without words are copies of each other; rows with a null id stay."""
     return neardup.deduplicate(docs)
 
 
