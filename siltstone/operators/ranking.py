@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +21,8 @@ _CAMEL = re.compile(rb"([a-z0-9])([A-Z])")
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Cells of the block of documents times tasks, and rows kept until the next pruning.
 _CELLS, _ROWS = 1_000_000, 200_000
+#: Tasks of a block and bytes of their texts; and the step between partitions from which bounds are sought first.
+_TASKS, _BYTES, _LEAST_STEP = 2_000, 16 << 20, 3
 
 
 def _terms(text: str) -> set[bytes]:
@@ -51,42 +56,32 @@ def _within(rows: pa.Table, budget: int) -> pa.Table:
     return rows.filter(pa.array(before - before[first] <= budget))
 
 
-def rank_for_tasks(docs: DataFrame, tasks: DataFrame, budget: int = 50_000, top: int | None = None) -> DataFrame:
-    """(item_id, doc_id, score, rank, tokens, running, selected): the best documents for each task (item_id, text).
+def _kept(rows: pa.Table, bounds: tuple[np.ndarray, pa.Array] | None) -> pa.Table:
+    """Rows that come no later than the bound of their task: a score, and an id among equal scores."""
+    if bounds is None or not rows.num_rows:
+        return rows
+    k = rows.column("k")
+    score = pa.array(bounds[0]).take(k.combine_chunks())
+    first = pc.less_equal(rows.column("doc_id"), bounds[1].take(k.combine_chunks()))
+    return rows.filter(pc.or_(pc.greater(rows.column("score"), score), pc.fill_null(first, True)))
 
-    Score: rarity of the task's terms that a document holds, up to 60 points, and 360 for holding the
-    task's text whole.  A task's documents are those that start within its budget: all that fit, and the
-    first that doesn't; `top` takes the best of these, after the budget.  The tasks are a dimension that
-    comes to the driver.  A partition of documents passes on what starts within the budget by its own
-    running sums: these are never above the whole ones, so nothing is lost.
-    Rows without id or text are left out.
-    """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").dropna()
-    wanted = tasks.select("item_id", "text", ordered_tokens(F.col("text")).alias("tokens")).dropna(subset=["item_id", "text"]).collect()
-    own = [sorted({t.encode() for t in r.tokens if len(t) >= 3}) for r in wanted]
-    known = {t for terms in own for t in terms}
-    n = docs.agg(F.count("*").alias("n"))
-    points = F.round(rarity(F.col("df"), F.col("n")) * 1000, 0).cast("long")
-    weight = {r.term.encode(): r.points for r in _counted(docs, known).join(F.broadcast(n)).select("term", points.alias("points")).collect()}
-    code = {t: i for i, t in enumerate(sorted(weight))}
-    # a text that holds a task's text has its inner terms as they are; the first and the last may be cut
-    inner = [{t.encode() for t in r.tokens[1:-1] if len(t) >= 3} for r in wanted]
-    pairs = sorted((code[t], i, weight[t], t in inner[i]) for i, terms in enumerate(own) for t in terms if t in code)
-    of, task, gain, within = (np.array([p[j] for p in pairs], np.int64) for j in range(4))
-    starts = np.searchsorted(of, np.arange(len(code) + 1))
-    shared = spark.sparkContext.broadcast((code, starts, task, gain, within, np.array([len(x) for x in inner], np.int64), [r.text for r in wanted]))
+
+def _near(docs: DataFrame, shared: Broadcast, budget: int, bounds: Broadcast | None = None, step: int = 1) -> DataFrame:
+    """(k, score, doc_id, tokens) of what starts within a task's budget in a partition of documents; with a step, in every step-th partition."""
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("score", T.LongType()), docs.schema["doc_id"], T.StructField("tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % step:
+            return
         code, starts, task, gain, within, need, literals = shared.value
         size = len(need)
-        least = np.ones(size, np.int64)
+        limits = None if bounds is None else bounds.value
+        least = np.ones(size, np.int64) if limits is None else np.maximum(1, limits[0])
         vocabulary, held, waiting = set(code), [], 0
 
         def prune() -> None:
             nonlocal held, waiting
-            rows = _within(pa.concat_tables(held), budget)
+            rows = _within(_kept(pa.concat_tables(held), limits), budget)
             held, waiting = [rows], 0
             k, score, tokens = (rows.column(c).to_numpy() for c in ("k", "score", "tokens"))
             full = np.bincount(k, tokens, size) > budget
@@ -95,9 +90,9 @@ def rank_for_tasks(docs: DataFrame, tasks: DataFrame, budget: int = 50_000, top:
             least[full] = low[full]
 
         for batch in batches:
-            step = max(1, _CELLS // max(1, size))
-            for at in range(0, batch.num_rows if size else 0, min(step, 64)):
-                block = batch.slice(at, min(step, 64))
+            most = min(64, max(1, _CELLS // max(1, size)))
+            for at in range(0, batch.num_rows if size else 0, most):
+                block = batch.slice(at, most)
                 texts = block.column("text").to_pylist()
                 found = [[code[t] for t in _terms(x) & vocabulary] for x in texts]
                 codes = np.array([c for f in found for c in f], np.int64)
@@ -122,12 +117,74 @@ def rank_for_tasks(docs: DataFrame, tasks: DataFrame, budget: int = 50_000, top:
             prune()
             yield from held[0].combine_chunks().to_batches()
 
-    near = docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _chosen(near: DataFrame, budget: int) -> DataFrame:
+    """near with rank and running sum, where a row starts within its task's budget."""
     w = Window.partitionBy("k").orderBy(F.desc("score"), "doc_id")
     ranked = near.select("k", "doc_id", "score", "tokens", F.row_number().over(w).cast("long").alias("rank"), F.sum("tokens").over(w).alias("running"))
-    chosen = ranked.filter(F.col("running") - F.col("tokens") <= budget)
+    return ranked.filter(F.col("running") - F.col("tokens") <= budget)
+
+
+def _bounds(docs: DataFrame, shared: Broadcast, budget: int, size: int, step: int) -> tuple[np.ndarray, pa.Array]:
+    """For each task the last row that its budget reaches in every step-th partition.
+
+    Whatever comes after it in the order of scores comes after a full budget in the whole table as well.  A task whose
+    budget these partitions don't fill has no bound.
+    """
+    chosen = _chosen(_near(docs, shared, budget, step=step), budget)
+    last = chosen.filter(F.col("running") > budget).groupBy("k").agg(F.min_by(F.struct("score", "doc_id"), "running").alias("r"))
+    found = last.select("k", "r.score", "r.doc_id").toArrow()
+    score = np.zeros(size, np.int64)
+    score[found.column("k").to_numpy()] = found.column("score").to_numpy()
+    place = np.full(size, -1, np.int64)
+    place[found.column("k").to_numpy()] = np.arange(found.num_rows)
+    ids = found.column("doc_id").combine_chunks()
+    return score, ids.take(pa.array(place, mask=place < 0))
+
+
+def _ranked_block(docs: DataFrame, wanted: list[Row], item_id: T.StructField, budget: int) -> DataFrame:
+    spark = docs.sparkSession
+    own = [sorted({t.encode() for t in r.tokens if len(t) >= 3}) for r in wanted]
+    known = {t for terms in own for t in terms}
+    n = docs.agg(F.count("*").alias("n"))
+    points = F.round(rarity(F.col("df"), F.col("n")) * 1000, 0).cast("long")
+    weight = {r.term.encode(): r.points for r in _counted(docs, known).join(F.broadcast(n)).select("term", points.alias("points")).collect()}
+    code = {t: i for i, t in enumerate(sorted(weight))}
+    # a text that holds a task's text has its inner terms as they are; the first and the last may be cut
+    inner = [{t.encode() for t in r.tokens[1:-1] if len(t) >= 3} for r in wanted]
+    pairs = sorted((code[t], i, weight[t], t in inner[i]) for i, terms in enumerate(own) for t in terms if t in code)
+    of, task, gain, within = (np.array([p[j] for p in pairs], np.int64) for j in range(4))
+    starts = np.searchsorted(of, np.arange(len(code) + 1))
+    shared = spark.sparkContext.broadcast((code, starts, task, gain, within, np.array([len(x) for x in inner], np.int64), [r.text for r in wanted]))
+    step = math.isqrt(docs.rdd.getNumPartitions())
+    bounds = spark.sparkContext.broadcast(_bounds(docs, shared, budget, len(wanted), step)) if step >= _LEAST_STEP and wanted else None
+    chosen = _chosen(_near(docs, shared, budget, bounds), budget)
+    ids = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(wanted)], T.StructType([T.StructField("k", T.LongType()), item_id]))
+    return chosen.join(F.broadcast(ids), "k").select("item_id", "doc_id", (F.col("score") / 1000.0).alias("score"), "rank", "tokens", "running")
+
+
+def rank_for_tasks(docs: DataFrame, tasks: DataFrame, budget: int = 50_000, top: int | None = None) -> DataFrame:
+    """(item_id, doc_id, score, rank, tokens, running, selected): the best documents for each task (item_id, text).
+
+    Score: rarity of the task's terms that a document holds, up to 60 points, and 360 for holding the
+    task's text whole.  A task's documents are those that start within its budget: all that fit, and the
+    first that doesn't; `top` takes the best of these, after the budget.  Tasks are taken in blocks of about
+    2,000 tasks or 16 MB, of which one at a time is on the driver.  A partition of documents passes on what
+    starts within the budget by its own running sums: these are never above the whole ones, so nothing is
+    lost.  With many partitions, one in every sqrt(partitions) is ranked first: the row at which it fills a
+    task's budget bounds that task everywhere, so what all partitions pass on grows with the root of their number.
+    Rows without id or text are left out.
+    """
+    docs = docs.select("doc_id", "text").dropna()
+    asked = tasks.select("item_id", "text").dropna()
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // _TASKS), -(-size.bytes // _BYTES))
+    asked = asked.select("*", ordered_tokens(F.col("text")).alias("tokens"))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    parts = [_ranked_block(docs, asked.filter(block == i).collect(), tasks.schema["item_id"], budget) for i in range(blocks)]
+    out = reduce(DataFrame.unionByName, parts)
     if top is not None:
-        chosen = chosen.filter(F.col("rank") <= top)
-    ids = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(wanted)], T.StructType([T.StructField("k", T.LongType()), tasks.schema["item_id"]]))
-    out = chosen.join(F.broadcast(ids), "k").select("item_id", "doc_id", (F.col("score") / 1000.0).alias("score"), "rank", "tokens", "running")
+        out = out.filter(F.col("rank") <= top)
     return out.withColumn("selected", F.col("running") <= budget)

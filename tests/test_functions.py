@@ -3,10 +3,12 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text as X
+from siltstone.operators import ranking
 from siltstone.operators import relations as R
 from siltstone.operators.ranking import rank_for_tasks
 from siltstone.sources.tables import json_lines
@@ -80,6 +82,29 @@ def test_every_task_ranks_until_its_budget(spark):
     assert rank_for_tasks(docs.limit(0), tasks).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_bounds_and_blocks_lose_nothing(spark, monkeypatch, kind):
+    words = ["rare", "other", "word", "third", "fourth"]
+    rows = [(i, " ".join(words[j] for j in range(5) if i % (j + 2) == 0) + " x" * (i % 37)) for i in range(600)] + [(900, None), (None, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    tasks = spark.createDataFrame([(i, " ".join(words[: i + 1])) for i in range(5)] + [(9, "none of it"), (9, None), (7, "rare"), (7, "rare")], "item_id long, text string")
+    ranked = lambda d, budget: sorted(map(tuple, rank_for_tasks(d, tasks, budget=budget).collect()))
+    want = ranked(docs.coalesce(1), 40)
+    many = docs.repartition(16)
+    passed = []
+    with monkeypatch.context() as m:
+        m.setattr(ranking, "_chosen", lambda near, budget, real=ranking._chosen: (passed.append(near.count()), real(near, budget))[1])
+        assert ranked(many, 40) == want
+        with_bounds = sum(passed)
+        m.setattr(ranking, "_LEAST_STEP", 1 << 30)
+        assert ranked(many, 40) == want
+    # what sixteen partitions pass on, four of them twice, is less than without bounds
+    assert with_bounds < sum(passed) - with_bounds
+    monkeypatch.setattr(ranking, "_TASKS", 4)
+    assert ranked(many, 40) == want
+    assert ranked(many, 100_000) == ranked(docs.coalesce(1), 100_000)
+
+
 def test_secrets_of_every_kind(spark):
     a, mixed = "a1B2" * 10, "a1/B" * 10
     kinds = {
