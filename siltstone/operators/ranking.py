@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -21,8 +20,8 @@ _CAMEL = re.compile(rb"([a-z0-9])([A-Z])")
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: Cells of the block of documents times tasks, and rows kept until the next pruning.
 _CELLS, _ROWS = 1_000_000, 200_000
-#: Tasks of a block and bytes of their texts; and the step between partitions from which bounds are sought first.
-_TASKS, _BYTES, _LEAST_STEP = 2_000, 16 << 20, 3
+#: Tasks of a block and bytes of their texts; and how many times more partitions are ranked from one level to the next.
+_TASKS, _BYTES, _FACTOR = 2_000, 16 << 20, 4
 
 
 def _terms(text: str) -> set[bytes]:
@@ -127,13 +126,13 @@ def _chosen(near: DataFrame, budget: int) -> DataFrame:
     return ranked.filter(F.col("running") - F.col("tokens") <= budget)
 
 
-def _bounds(docs: DataFrame, shared: Broadcast, budget: int, size: int, step: int) -> tuple[np.ndarray, pa.Array]:
-    """For each task the last row that its budget reaches in every step-th partition.
+def _bounds(docs: DataFrame, shared: Broadcast, budget: int, size: int, step: int, known: Broadcast | None) -> tuple[np.ndarray, pa.Array]:
+    """For each task the last row that its budget reaches in every step-th partition, by bounds that are known.
 
     Whatever comes after it in the order of scores comes after a full budget in the whole table as well.  A task whose
-    budget these partitions don't fill has no bound.
+    budget these partitions don't fill has no bound.  Partitions of a wider step are among these, so known bounds get no weaker.
     """
-    chosen = _chosen(_near(docs, shared, budget, step=step), budget)
+    chosen = _chosen(_near(docs, shared, budget, known, step), budget)
     last = chosen.filter(F.col("running") > budget).groupBy("k").agg(F.min_by(F.struct("score", "doc_id"), "running").alias("r"))
     found = last.select("k", "r.score", "r.doc_id").toArrow()
     score = np.zeros(size, np.int64)
@@ -158,8 +157,12 @@ def _ranked_block(docs: DataFrame, wanted: list[Row], item_id: T.StructField, bu
     of, task, gain, within = (np.array([p[j] for p in pairs], np.int64) for j in range(4))
     starts = np.searchsorted(of, np.arange(len(code) + 1))
     shared = spark.sparkContext.broadcast((code, starts, task, gain, within, np.array([len(x) for x in inner], np.int64), [r.text for r in wanted]))
-    step = math.isqrt(docs.rdd.getNumPartitions())
-    bounds = spark.sparkContext.broadcast(_bounds(docs, shared, budget, len(wanted), step)) if step >= _LEAST_STEP and wanted else None
+    bounds, step, partitions = None, _FACTOR, docs.rdd.getNumPartitions()
+    while step * _FACTOR < partitions:
+        step *= _FACTOR
+    while wanted and 1 < step < partitions:
+        bounds = spark.sparkContext.broadcast(_bounds(docs, shared, budget, len(wanted), step, bounds))
+        step //= _FACTOR
     chosen = _chosen(_near(docs, shared, budget, bounds), budget)
     ids = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(wanted)], T.StructType([T.StructField("k", T.LongType()), item_id]))
     return chosen.join(F.broadcast(ids), "k").select("item_id", "doc_id", (F.col("score") / 1000.0).alias("score"), "rank", "tokens", "running")
@@ -173,8 +176,9 @@ def rank_for_tasks(docs: DataFrame, tasks: DataFrame, budget: int = 50_000, top:
     first that doesn't; `top` takes the best of these, after the budget.  Tasks are taken in blocks of about
     2,000 tasks or 16 MB, of which one at a time is on the driver.  A partition of documents passes on what
     starts within the budget by its own running sums: these are never above the whole ones, so nothing is
-    lost.  With many partitions, one in every sqrt(partitions) is ranked first: the row at which it fills a
-    task's budget bounds that task everywhere, so what all partitions pass on grows with the root of their number.
+    lost.  Of many partitions a few are ranked first, then four times as many and so on: the row at which they
+    fill a task's budget bounds that task in all others, so each level passes on about four times the result, whatever
+    the number of partitions, and all levels before the last read a third of the table.
     Rows without id or text are left out.
     """
     docs = docs.select("doc_id", "text").dropna()

@@ -96,9 +96,9 @@ def test_bounds_and_blocks_lose_nothing(spark, monkeypatch, kind):
         m.setattr(ranking, "_chosen", lambda near, budget, real=ranking._chosen: (passed.append(near.count()), real(near, budget))[1])
         assert ranked(many, 40) == want
         with_bounds = sum(passed)
-        m.setattr(ranking, "_LEAST_STEP", 1 << 30)
+        m.setattr(ranking, "_FACTOR", 1 << 30)
         assert ranked(many, 40) == want
-    # what sixteen partitions pass on, four of them twice, is less than without bounds
+    # what sixteen partitions pass on, some of them more than once, is less than without bounds
     assert with_bounds < sum(passed) - with_bounds
     monkeypatch.setattr(ranking, "_TASKS", 4)
     assert ranked(many, 40) == want
