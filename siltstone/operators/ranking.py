@@ -21,7 +21,7 @@ _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Cells of the block of documents times tasks, and rows kept until the next pruning.
 _CELLS, _ROWS = 1_000_000, 200_000
 #: Tasks of a block and bytes of their texts; and how many times more partitions are ranked from one level to the next.
-_TASKS, _BYTES, _FACTOR = 2_000, 16 << 20, 4
+_TASKS, _BYTES, _FACTOR = 2_000, 16 << 20, 8
 
 
 def _terms(text: str) -> set[bytes]:
@@ -115,6 +115,8 @@ def _near(docs: DataFrame, shared: Broadcast, budget: int, bounds: Broadcast | N
         if held:
             prune()
             yield from held[0].combine_chunks().to_batches()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
@@ -176,9 +178,9 @@ def rank_for_tasks(docs: DataFrame, tasks: DataFrame, budget: int = 50_000, top:
     first that doesn't; `top` takes the best of these, after the budget.  Tasks are taken in blocks of about
     2,000 tasks or 16 MB, of which one at a time is on the driver.  A partition of documents passes on what
     starts within the budget by its own running sums: these are never above the whole ones, so nothing is
-    lost.  Of many partitions a few are ranked first, then four times as many and so on: the row at which they
-    fill a task's budget bounds that task in all others, so each level passes on about four times the result, whatever
-    the number of partitions, and all levels before the last read a third of the table.
+    lost.  Of many partitions a few are ranked first, then eight times as many and so on: the row at which they
+    fill a task's budget bounds that task in all others, so each level passes on about eight times the result, whatever
+    the number of partitions, and all levels before the last read a seventh of the table.
     Rows without id or text are left out.
     """
     docs = docs.select("doc_id", "text").dropna()
