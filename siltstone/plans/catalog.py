@@ -15,6 +15,7 @@ from siltstone.plans import files as _files  # noqa: F401  (these register their
 from siltstone.plans import history as _history  # noqa: F401
 from siltstone.plans import imports as _imports  # noqa: F401
 from siltstone.plans import overview as _overview  # noqa: F401
+from siltstone.plans import packs as _packs  # noqa: F401
 from siltstone.plans import replacements as _replacements  # noqa: F401
 from siltstone.plans import roles as _roles  # noqa: F401
 from siltstone.plans import scoring as _scoring  # noqa: F401
