@@ -106,11 +106,14 @@ def retrieve(found: DataFrame, kept: DataFrame, requests: DataFrame, files: Data
     rows = requests.join(by("path"), ["pack", "path"], "left").join(by("block_id"), ["pack", "block_id"], "left")
     either = F.when(c("_by_path").isNull(), c("_by_block_id")).when(c("_by_block_id").isNull(), c("_by_path")).otherwise(F.when(c("_by_block_id.place") < c("_by_path.place"), c("_by_block_id")).otherwise(c("_by_path")))
     rows = rows.select("id", c("mode").alias("view"), F.coalesce("allow_stale", F.lit(False)).alias("allow_stale"), either.alias("r"))
-    rows = rows.join(kept.select(c("hash").alias("_h"), c("content").alias("_kept")).dropDuplicates(["_h"]), c("r.stored") == c("_h"), "left")
-    stored = F.when(c("_kept").isNotNull(), c("_kept")).otherwise(c("r.summary"))
-    rows = rows.withColumn("stored", F.when((c("view") == "as_stored") & (F.coalesce(stored, F.lit("")) != ""), stored)).drop("_h", "_kept")
+    # the record alone tells whether there is a kept text, so contents are read by the requests that get one
+    own = (c("view") == "as_stored") & (c("r.stored").isNotNull() | (F.coalesce("r.summary", F.lit("")) != ""))
+    rows = rows.withColumn("_own", F.coalesce(own, F.lit(False)))
     # only files that a request reads are looked at for secrets, and only those that hold some leave the JVM
-    asked = rows.filter("stored is null and r is not null").select(c("r.path").alias("path")).distinct()
+    asked = rows.filter("not _own and r is not null").select(c("r.path").alias("path")).distinct()
+    held = kept.select(c("hash").alias("_h"), c("content").alias("_kept")).dropDuplicates(["_h"])
+    rows = rows.join(held, F.when(c("_own"), c("r.stored")) == c("_h"), "left")
+    rows = rows.withColumn("stored", F.when(c("_own"), F.coalesce("_kept", "r.summary"))).drop("_h", "_kept", "_own")
     now = files.join(asked, "path", "left_semi").withColumn("_secret", F.coalesce(secret_flag(c("text")), F.lit(False)))
     clean = redact_secrets(now.filter("_secret").select(c("path").alias("doc_id"), "text")).select(c("doc_id").alias("path"), c("text").alias("_clean"), "warnings")
     now = now.join(clean, "path", "left").select("path", c("hash").alias("_now"), F.lit(True).alias("_there"), F.when(c("_secret"), c("_clean")).otherwise(c("text")).alias("_text"), F.coalesce("warnings", F.array().cast("array<string>")).alias("_warnings"))

@@ -65,15 +65,19 @@ def evidence(path: Column, score: Column, hits: Column, reasons: Column) -> Colu
     return (F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(300.0)) * (UNIT // 4)) + whole * UNIT).cast("long")
 
 
-def standing(rows: DataFrame, group: str) -> DataFrame:
-    """rows (group, score, tokens, ...) with `rank`, from 1 and equal for equal scores, and `used`: the tokens of all rows of at least its score.
+def by_score(rows: DataFrame, group: str) -> DataFrame:
+    """(group, score, rank, used) for each distinct score: `rank` from 1, and `used`, the tokens of all rows of at least that score.
 
-    Both come from sums by distinct score, made before the shuffle; no group is sorted row by row.
+    The sums are made before the shuffle; no group is sorted row by row.
     """
     sums = rows.groupBy(group, "score").agg(F.count("*").alias("_n"), F.sum("tokens").alias("_t"))
     w = Window.partitionBy(group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select(group, "score", (F.sum("_n").over(w) - F.col("_n") + 1).alias("rank"), F.sum("_t").over(w).alias("used"))
-    return rows.join(sums, [group, "score"])
+    return sums.select(group, "score", (F.sum("_n").over(w) - F.col("_n") + 1).alias("rank"), F.sum("_t").over(w).alias("used"))
+
+
+def standing(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, score, tokens, ...) with the `rank` and the `used` of their score."""
+    return rows.join(by_score(rows, group), [group, "score"])
 
 
 def _upward(scope: Column) -> Column:

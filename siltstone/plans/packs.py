@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import source as C
 from siltstone.operators import registry as G
-from siltstone.operators.replacements import standing
+from siltstone.operators.replacements import by_score
 from siltstone.plans.overview import SECRET
 from siltstone.plans.registry import query
-from siltstone.plans.source import CODE, code
+from siltstone.plans.source import CODE, CODE_TEXT
 from siltstone.sources.repository import files
-from siltstone.sources.shared import folder
+from siltstone.sources.shared import folder, written
 
 BUDGET = 20_000
 _LINES = "string_split({0}, chr(10))"
@@ -43,12 +43,15 @@ recs as (select pack, {_ID.format('path', "sha256(case when body <> '' then body
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Files, what a pack takes of them, what it leaves out, and symbols."""
-    own = files(spark, sf_dir).select("doc_id", F.col("source").alias("pack"))
     text = F.col("text")
-    texts = code(spark, sf_dir).join(own.filter("pack is not null"), "doc_id").withColumns({"hash": F.sha2("text", 256), "tokens": F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long"), "score": F.length(text).cast("double")})
+    # the texts are made once: what follows reads them several times
+    made = files(spark, sf_dir).filter("source is not null").select("path", "doc_id", F.col("source").alias("pack"), F.expr(CODE_TEXT).alias("text"))
+    texts = written(made.withColumns({"hash": F.sha2("text", 256), "tokens": F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long"), "score": F.length(text).cast("double")}), "texts")
     mode = F.when(F.col("doc_id") % 3 == 0, "full").when(F.col("doc_id") % 3 == 1, "skeleton").otherwise("summary")
-    # the sums by score read lengths alone; texts are carried once
-    chosen = standing(texts, "pack").withColumns({"step": F.col("doc_id"), "mode": mode, "selected": F.col("used") <= BUDGET, "reasons": F.array(F.lit("length"))})
+    # one score for each pack says what fits; texts aren't shuffled for it
+    least = by_score(texts.select("pack", "score", "tokens"), "pack").filter(F.col("used") <= BUDGET).groupBy("pack").agg(F.min("score").alias("least"))
+    fits = F.coalesce(F.col("score") >= F.col("least"), F.lit(False))
+    chosen = texts.join(least, "pack", "left").withColumns({"step": F.col("doc_id"), "mode": mode, "selected": fits, "reasons": F.array(F.lit("length"))})
     content = F.when(F.col("mode") == "full", text).when(F.col("mode") == "skeleton", C.view(text, "skeleton"))
     taken = chosen.filter("selected").withColumns({"content": content, "summary": F.when(F.col("mode") == "summary", C.view(text, "summary"))})
     left = chosen.filter("not selected and tokens > 100").withColumns({"mode": F.lit("skeleton"), "reason": F.lit("budget exhausted")})

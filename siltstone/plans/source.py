@@ -25,8 +25,12 @@ def _code(ref: str, flags: str) -> str:
 CODE = f"{FILES}, code as (select path, doc_id, {_code(chr(92), ', ' + chr(39) + 'g' + chr(39))} text from files)"
 
 
+#: The same text as a column of Spark's SQL.
+CODE_TEXT = _code("$", "")
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("path", "doc_id", F.expr(_code("$", "")).alias("text"))
+    return files(spark, sf_dir).select("path", "doc_id", F.expr(CODE_TEXT).alias("text"))
 
 
 def _symbols(language: str, which: str) -> str:
