@@ -2,10 +2,10 @@
 
 import itertools
 
-import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import history as H
+from siltstone.operators import skills as K
 
 
 def moved(spark, df):
@@ -50,3 +50,38 @@ def test_boosts_equal_sums_over_pairs(spark):
     records = frame(spark, [(r, w) for r, ws in held.items() for w in ws], "record long, term string")
     got = H.feedback_boosts(tasks, records, frame(spark, where, "record long, path string")).collect()
     assert {(r["task_id"], r["path"]): r["boost"] for r in got} == {k: min(60.0, v) for k, v in want.items()} and len(got) == len(want)
+
+
+def _matching(spark, n_tasks, n_skills):
+    words = ["test", "src", "api", "users", "alpha", "beta", "gamma", "delta"]
+    pick = lambda i, *ks: [words[i * k % 8] for k in ks]
+    tasks = [(t, [*pick(t, 1, 3), f"own{t}"] if t else None, [["docs"], ["test"]][t % 2], ["src", "api"]) for t in range(n_tasks)]
+    skills = [(s, None if s == 7 else [*pick(s, 1, 5), str(s)], [["docs"], ["test"], ["other"]][s % 3], [["users"], ["zz"]][s % 2], [None, "none", "command", "external"][s % 4], None if s == 5 else s * 37 % 130) for s in range(n_skills)]
+    history = [(s, (s % 11 - 3) / 5.0) for s in range(0, n_skills, 7)] + [(1, None)]
+    return (
+        frame(spark, tasks, "task_id long, terms array<string>, kinds array<string>, path_terms array<string>"),
+        frame(spark, skills, "skill long, terms array<string>, kinds array<string>, anti array<string>, side_effect string, priority int"), frame(spark, history, "skill long, success double"),
+    ), tasks, skills, dict(history)
+
+
+def test_skill_pairs_are_not_shuffled(spark):
+    frames, tasks, skills, history = _matching(spark, 120, 240)
+    rows, shuffled = moved(spark, K.match_skills(*frames))
+    want = {}
+    for t, terms, kinds, paths in tasks:
+        for s, held, own, anti, effect, priority in skills:
+            both, near, typed = set(terms or []) & set(held or []), set(paths) & set(held or []), set(kinds) & set(own)
+            if both or near or typed:
+                score = 35 * bool(typed) + 10 * min(8, len(both)) + 6 * min(6, len(near)) + 18 * ("test" in both) - 35 * bool({*(terms or []), *paths} & set(anti))
+                score += {"none": 4, "command": -4, "external": -10, None: 0}[effect]
+                want[t, s] = round(score + max(0.0, min(1.0, history.get(s) or 0.0) * 15) + min(100, 100 if priority is None else priority) / 10, 4)
+    assert {(r["task_id"], r["skill"]): r["score"] for r in rows} == want and len(rows) == len(want)
+    assert shuffled < 1000 < len(rows)
+
+
+def test_diverse_matches_equal_picks_among_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", 16)
+    monkeypatch.setattr(K, "BLOCK", 8)
+    frames, *_ = _matching(spark, 30, 90)
+    want = K.diverse(K.match_skills(*frames), frames[1], 3).collect()
+    assert sorted(map(tuple, K.diverse_matches(*frames, 3).collect())) == sorted(map(tuple, want)) and len(want) == 90
