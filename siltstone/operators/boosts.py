@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths as P
 from siltstone.operators.scoring import Weights
+from siltstone.sources.shared import written
 
 #: Reasons that carry a file by themselves, in the penalties for scope, history and missing changes (fixed values).
 SUPPORT = ("modified", "staged", "dependency", "dependent", "neighbour", "co-changed", "tests", "test for", "workspace")
@@ -68,8 +69,9 @@ def paired_tests(scored: DataFrame, w: Weights = Weights()) -> DataFrame:
     threshold = placed.filter(F.col("k") == F.floor(F.col("n") / 2)).select("task_id", F.col("score").alias("threshold"))
     sources = scored.filter(~test & ~P.is_kind(F.col("path"), "config_file")).join(F.broadcast(threshold), "task_id").filter("score >= threshold").select("task_id", F.col("path").alias("source"))
     tests = scored.filter(test & ~F.exists("reasons", lambda r: r.contains("test for"))).select("task_id", F.col("path").alias("test"))
-    parts = tests.select("task_id", "test", F.explode(substrings(P.stem(F.col("test")))).alias("stem"))
-    met = parts.join(sources.withColumn("stem", P.stem(F.col("source"))), ["task_id", "stem"])
+    # parts of names are taken once for each file, whatever the number of tasks
+    pairs = written(pair_tests(tests.select("test").distinct(), sources.select("source").distinct()), "test-pairs")
+    met = tests.join(pairs, "test").join(sources, ["task_id", "source"])
     gains = met.groupBy("task_id", F.col("test").alias("path")).agg(F.concat(F.lit("test for "), F.min("source")).alias("reason")).withColumn("amount", F.lit(w.tests))
     return _add(scored, gains, ["task_id", "path"])
 

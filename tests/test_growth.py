@@ -4,6 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import boosts as B
 from siltstone.operators import history as H
 from siltstone.operators import skills as K
 
@@ -85,3 +86,14 @@ def test_diverse_matches_equal_picks_among_all_pairs(spark, monkeypatch):
     frames, *_ = _matching(spark, 30, 90)
     want = K.diverse(K.match_skills(*frames), frames[1], 3).collect()
     assert sorted(map(tuple, K.diverse_matches(*frames, 3).collect())) == sorted(map(tuple, want)) and len(want) == 90
+
+
+def test_names_are_taken_apart_once_for_all_tasks(spark):
+    """Tests meet sources by parts of their names, which don't depend on the task."""
+    n, tasks = 12, 50
+    rows = [(t, f"src/module_{i}_{'x' * 12}.py", 50.0 + i, ["filename"]) for t in range(tasks) for i in range(n)] + [(t, f"tests/test_module_{i}_{'x' * 12}.py", 5.0, []) for t in range(tasks) for i in range(n)]
+    scored = frame(spark, rows, "task_id long, path string, score double, reasons array<string>")
+    got, shuffled = moved(spark, B.paired_tests(scored))
+    raised = {(r["task_id"], r["path"]) for r in got if r["score"] == 40.0}
+    assert raised == {(t, f"tests/test_module_{i}_{'x' * 12}.py") for t in range(tasks) for i in range(n // 2, n)}
+    assert len(got) == len(rows) and shuffled < 40_000
