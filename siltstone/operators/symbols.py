@@ -6,7 +6,9 @@ import ast
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ _HIDDEN = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\]
 NO_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "new", "class", "super", "import", "export")
 CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?)\s*\("
 
+#: The same for Java: what was read of a name isn't given back, since a shorter one can't be called.
+_CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*+(?:\.[A-Za-z_$][A-Za-z0-9_$]*+)?+)\s*+\("
+
 _FOUND = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("owner", T.StringType())])
 
 
@@ -114,13 +119,78 @@ def touched(symbols: DataFrame, ranges: DataFrame, block: int = 64) -> DataFrame
     return met.groupBy("path", "name", "first", "last").agg(F.sum("lines").alias("lines"))
 
 
+def _pieces(texts: pa.Array, sep: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The parts of all texts, the row of each, and where each row's parts start; null texts are as empty ones."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), sep)
+    starts = parts.offsets.to_numpy()
+    return parts.flatten(), np.repeat(np.arange(len(texts)), np.diff(starts)), starts - starts[0]
+
+
+def _first(texts: pa.Array, pattern: str, group: str) -> tuple[np.ndarray, pa.Array]:
+    """Which texts hold the pattern, and what its group (as it is written) is there."""
+    at = np.nonzero(pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False))[0]
+    return at, pc.struct_field(pc.extract_regex(texts.take(pa.array(at)), pattern.replace(group, f"(?P<name>{group[1:]}", 1)), "name")
+
+
+def _found(texts: pa.Array, languages: pa.Array) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, pa.Array]]:
+    """Language, kind, rows, lines (from 1) and names of what the lines define, for each pattern."""
+    for language, patterns in SYMBOLS.items():
+        own = np.nonzero(pc.fill_null(pc.equal(languages, language), False).to_numpy(zero_copy_only=False))[0]
+        lines, row, starts = _pieces(texts.take(pa.array(own)), "\n")
+        for kind, pattern in patterns:
+            at, name = _first(lines, pattern, r"(\w+)")
+            yield language, kind, own[row[at]], at - starts[row[at]] + 1, name
+
+
+def line_symbols(files: DataFrame) -> DataFrame:
+    """(path, line, name, kind, language) of files (path, text, language): a line gives one symbol for each of the language's patterns that it holds; one pass over the texts."""
+    schema = "path string, line int, name string, kind string, language string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for language, kind, row, line, name in _found(batch.column("text"), batch.column("language")):
+                same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(row), np.int64)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row)), pa.array(line.astype(np.int32)), name, same(kind), same(language)], ["path", "line", "name", "kind", "language"])
+
+    return files.select("path", "text", "language").mapInArrow(run, schema)
+
+
+def names(files: DataFrame) -> DataFrame:
+    """(path, name, defined, called) of files (path, text, language): what a row's lines define and what it calls (the last part of a name), each name once; one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            rows, found = [], []
+            for _, _, row, _, name in _found(texts, batch.column("language")):
+                rows.append(row)
+                found.append(name)
+            defined = sum(map(len, rows))
+            # a call is a name at the end of what stands before a bracket
+            parts, row, starts = _pieces(texts, "(")
+            before = np.ones(len(parts), bool)
+            before[starts[1:] - 1] = False
+            parts, row = parts.filter(pa.array(before)), row[before]
+            at, name = _first(parts, CALL.removesuffix(r"\(") + "$", r"([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?)")
+            real = pc.invert(pc.is_in(pc.replace_substring_regex(name, r"\..*", ""), pa.array(NO_CALLS)))
+            rows.append(row[at][real.to_numpy(zero_copy_only=False)])
+            found.append(pc.replace_substring_regex(name.filter(real), r".*\.", ""))
+            row = pa.array(np.concatenate(rows))
+            flag = np.arange(len(row)) < defined
+            each = pa.table({"row": row, "name": pa.concat_arrays(found), "defined": pa.array(flag), "called": pa.array(~flag)}).group_by(["row", "name"]).aggregate([("defined", "max"), ("called", "max")])
+            out = pa.table({"path": batch.column("path").take(each["row"].combine_chunks()), "name": each["name"], "defined": each["defined_max"], "called": each["called_max"]})
+            yield from out.to_batches()
+
+    return files.select("path", "text", "language").mapInArrow(run, "path string, name string, defined boolean, called boolean")
+
+
 def base_name(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
 
 def calls(files: DataFrame) -> DataFrame:
     """(path, base): the last part of each name that a file calls, each once."""
-    found = F.regexp_extract_all("text", F.lit(CALL), 1)
+    found = F.regexp_extract_all("text", F.lit(_CALL), 1)
     return files.select("path", F.explode(found).alias("name")).filter(~F.element_at(F.split("name", r"\."), 1).isin(*NO_CALLS)).select("path", base_name(F.col("name")).alias("base")).distinct()
 
 

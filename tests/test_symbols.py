@@ -3,7 +3,12 @@
 import ast
 from pathlib import Path
 
+from pyspark.sql import functions as F
+from test_growth import moved
+
+from siltstone.functions import source as C
 from siltstone.operators import symbols as Y
+from siltstone.plans.source import _in_languages, call_sites, code
 
 JS = """// class No {
 class Box {
@@ -83,3 +88,26 @@ def test_callers_gain(spark):
     symbols = spark.createDataFrame([("s.js", "run"), ("s.js", "K.stop"), ("c.js", "none")], "path string, name string")
     got = {r.path: (r.score, r.reasons) for r in Y.callers(scored, chosen, symbols, called).collect()}
     assert got == {"a.js": (190.0, ["x", "caller of run"]), "b.js": (100.0, ["x", "caller of run"]), "c.js": (10.0, ["x"]), "s.js": (10.0, ["x"])}
+
+
+ODD = (
+    None, "", "\n", "  class A(B):\n\ndef f (x): g.h(1); g . k (2)\n\tasync def q(", "export class K{} class L\nconst a = async (b\n) => 1; var c = d => e\nexport let z: T = f(g(h( i", "func (r *R) Run(a) {\nfunc main() {\ntype T struct\nif (x) return(y) $v.w( (", "a.b.c (x)\nclass\nZ",
+)
+
+
+def test_names_of_one_pass_equal_lines_and_calls(spark):
+    rows = [(f"{i}.{n}", t, n) for i, t in enumerate(ODD) for n in ("python", "javascript", "go", "other", None)]
+    files = spark.createDataFrame(rows, "path string, text string, language string")
+    want = {(r.path, r.line, r.name, r.kind, n) for n in ("python", "javascript", "go") for r in C.symbols(files.filter(F.col("language") == n), n).collect()}
+    assert {tuple(r) for r in Y.line_symbols(files).collect()} == want and len(want) >= 10
+    got, called = Y.names(files).collect(), {tuple(r) for r in Y.calls(files).collect()}
+    assert {(r.path, r.name) for r in got if r.defined} == {(path, name) for path, _, name, _, _ in want} and {(r.path, r.name) for r in got if r.called} == called
+    assert len(got) == len({(r.path, r.name) for r in got}) and ("6.go", "c") in called
+
+
+def test_call_sites_hand_on_each_name_of_a_file_once(spark):
+    here = "/root/testdata/sf0.001"
+    rows, shuffled = moved(spark, call_sites(spark, here))
+    names = Y.names(_in_languages(code(spark, here)))
+    # names of files once, then counts of each name from each of four partitions at most
+    assert shuffled <= names.count() + 4 * names.select("name").distinct().count() and len(rows) > 100
