@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ast
+import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,9 @@ CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?)\s*\("
 #: The same for Java: what was read of a name isn't given back, since a shorter one can't be called.
 _CALL = r"\b([A-Za-z_$][A-Za-z0-9_$]*+(?:\.[A-Za-z_$][A-Za-z0-9_$]*+)?+)\s*+\("
 
+#: Characters of bodies that one batch holds, about.
+SENT = 8 << 20
+
 _FOUND = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("owner", T.StringType())])
 
 
@@ -42,52 +48,94 @@ def _python(text: str) -> list[tuple]:
     return out
 
 
-def _braced(text: str, language: str) -> list[tuple]:
-    """Symbols by line, each as far as the braces that it opens; braces in strings and comments don't count."""
-    lines = text.split("\n")
+def _braced(text: str, heads: list[tuple[int, str, str]]) -> list[tuple]:
+    """Symbols of heads (line, name, kind), in order, each as far as the braces that it opens; braces in strings and comments don't count."""
     bare = _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text).split("\n")
-    depth, after = 0, []
-    for line in bare:
-        depth += line.count("{") - line.count("}")
-        after.append(depth)
-    out: list[tuple] = []
-    for i, line in enumerate(lines):
-        if not bare[i].strip():
-            continue
-        for kind, pattern in SYMBOLS[language]:
-            if not (m := re.search(pattern, line)):
-                continue
-            opens, brackets = i, 0
-            while opens + 1 < len(bare) and "{" not in bare[opens]:  # a head may go on over lines: in brackets, or up to a brace on its own
-                brackets += bare[opens].count("(") - bare[opens].count(")")
-                if brackets <= 0 and not bare[opens + 1].lstrip().startswith("{"):
-                    break
-                opens += 1
-            last = i
-            if "{" in bare[opens]:
-                before = after[i - 1] if i else 0
-                last = next((k for k in range(opens, len(bare)) if after[k] <= before), len(bare) - 1)
-            out.append((m[1], kind, i + 1, last + 1))
-    around = lambda s: [x for x in out if x[:2] != s[:2] and x[2] < s[2] and s[3] <= x[3]]
-    return [(*s, max(inside, key=lambda x: x[2])[0] if (inside := around(s)) else None) for s in out]
-
-
-def extents(files: DataFrame) -> DataFrame:
-    """(path, name, kind, first, last, owner) of files (path, text, language): lines from 1, both ends inclusive.
+    heads = [h for h in heads if bare[h[0] - 1].strip()]
+    braces = [i for i, line in enumerate(bare) if "{" in line]
+    if not braces:
+        return [(name, kind, line, line, None) for line, name, kind in heads]
+    after = list(accumulate(line.count("{") - line.count("}") for line in bare))
+    open_ = list(accumulate(line.count("(") - line.count(")") for line in bare))
+    # a head may go on over lines: in brackets, or up to a brace on its own
+    on = [bare[k].lstrip().startswith("{") for k in range(1, len(bare))]
+    closed, head_end = _first_low(after), _first_low([len(text) + 1 if k < len(on) and on[k] else n for k, n in enumerate(open_)])
+    out = []
+    for line, name, kind in heads:
+        i = line - 1
+        brace = bisect_left(braces, i)
+        opens = min(braces[brace] if brace < len(braces) else len(bare) - 1, head_end(i, open_[i - 1] if i else 0))
+        out.append((name, kind, line, (closed(opens, after[i - 1] if i else 0) if "{" in bare[opens] else i) + 1))
+    return _owned(out)
+
+
+def _first_low(values: list[int]) -> Callable[[int, int], int]:
+    """Of a place and a bound the first place from there whose value isn't above the bound, or else the last place; blocks that are above it are passed over."""
+    wide = max(1, math.isqrt(len(values)))
+    low = [min(values[k : k + wide]) for k in range(0, len(values), wide)]
+
+    def first(k: int, most: int) -> int:
+        while k < len(values) and values[k] > most:
+            k += wide if k % wide == 0 and low[k // wide] > most else 1
+        return min(k, len(values) - 1)
+
+    return first
+
+
+def _owned(found: list[tuple]) -> list[tuple]:
+    """Symbols (name, kind, first, last) in the order of their lines with their owner: of those of another name or kind that start on an earlier line and end no earlier, the latest, the first of a line.
+
+    What may still be around is kept as a stack, the latest on top.
+    """
+    out, stack = [], []
+    for line, group in groupby(found, key=lambda s: s[2]):
+        same = list(group)
+        while stack and stack[-1][3] < line:
+            stack.pop()
+        out += [(*s, next((x[0] for x in reversed(stack) if x[3] >= s[3] and x[:2] != s[:2]), None)) for s in same]
+        for s in reversed(same):
+            if s[3] > line:
+                if stack and stack[-1][:2] == s[:2] and stack[-1][3] <= s[3]:
+                    stack.pop()  # it owns nothing that the new one doesn't
+                stack.append(s)
+    return out
+
+
+def extents(files: DataFrame, bodies: bool = False) -> DataFrame:
+    """(path, name, kind, first, last, owner) of files (path, text, language): lines from 1, both ends inclusive; with `body`, the lines, if asked for.
 
     Python is parsed, JavaScript and Go are followed by their braces; a method's owner is its class, in braces
     the innermost symbol around.  Null texts and other languages have no symbols.
     """
+    schema = T.StructType([*_FOUND, *([T.StructField("body", T.StringType())] if bodies else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, text, language in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "language")), strict=True):
-                if text is not None and language in SYMBOLS:
-                    out += [(path, *s) for s in (_python(text) if language == "python" else _braced(text, language))]
-            yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, s, strict=True)) for s in out], pa.schema([("path", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("owner", pa.string())]))
+            heads: dict[int, list[tuple]] = {}
+            for n, (language, kind, row, line, name) in enumerate(_found(batch.column("text"), batch.column("language"))):
+                if language != "python":
+                    for r, at, x in zip(row.tolist(), line.tolist(), name.to_pylist(), strict=True):
+                        heads.setdefault(r, []).append((at, n, x, kind))
+            out, size = [], 0
+            for r, (path, language) in enumerate(zip(batch.column("path").to_pylist(), batch.column("language").to_pylist(), strict=True)):
+                if r not in heads and language != "python" or (text := batch.column("text")[r].as_py()) is None:
+                    continue
+                own = _python(text) if language == "python" else _braced(text, [(at, name, kind) for at, _, name, kind in sorted(heads[r])])
+                lines = text.split("\n") if bodies and own else []
+                for s in own:
+                    out.append((path, *s, *(["\n".join(lines[s[2] - 1 : s[3]])] if bodies else [])))
+                    size += 100 + (len(out[-1][-1]) if bodies else 0)
+                    if size > SENT:
+                        yield _batch(out, schema)
+                        out, size = [], 0
+            yield _batch(out, schema)
+
+    return files.select("path", "text", "language").mapInArrow(run, schema)
+
 
-    return files.select("path", "text", "language").mapInArrow(run, _FOUND)
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in schema]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema.names)
 
 
 def bodies(files: DataFrame, symbols: DataFrame) -> DataFrame:

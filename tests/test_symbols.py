@@ -1,6 +1,7 @@
 """Extents of symbols against Python's own parser and hand-written cases; callers and touched symbols."""
 
 import ast
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -111,3 +112,19 @@ def test_call_sites_hand_on_each_name_of_a_file_once(spark):
     names = Y.names(_in_languages(code(spark, here)))
     # names of files once, then counts of each name from each of four partitions at most
     assert shuffled <= names.count() + 4 * names.select("name").distinct().count() and len(rows) > 100
+
+
+def test_bodies_in_the_same_pass(spark):
+    files = spark.createDataFrame([("a.js", JS, "javascript"), ("a.go", GO, "go"), ("a.py", "class A:\n  def f(self):\n    pass\n", "python"), ("n.go", None, "go"), ("x", "class A {", None)], "path string, text string, language string")
+    rows, shuffled = moved(spark, Y.extents(files, bodies=True))
+    assert shuffled == 0 and sorted(map(str, rows)) == sorted(map(str, Y.bodies(files, Y.extents(files)).select(*Y.extents(files, bodies=True).columns).collect())) and len(rows) == 11
+
+
+def test_open_braces_make_no_pairs_of_symbols(spark):
+    """Each function holds all that follow: owners and ends don't take pairs of them, nor heads with open brackets all lines."""
+    n = 30_000
+    began = time.process_time()
+    got = Y._braced("\n".join(["function f() {"] * n), [(i + 1, f"f{i}", "function") for i in range(n)])
+    assert got[0] == ("f0", "function", 1, n, None) and got[-1] == (f"f{n - 1}", "function", n, n, f"f{n - 2}") and all(s[3] == n for s in got)
+    assert len(Y._braced("function f(\n" * n + "{", [(i + 1, "f", "function") for i in range(n)])) == n
+    assert time.process_time() - began < 10
