@@ -145,9 +145,13 @@ def _namer(kind: str, first: str, second: str) -> Callable[[Column], Column]:
     return lambda m: F.concat(F.lit(f"{kind}: "), one(m))
 
 
-def entries(path: Column, text: Column, language: str) -> Column:
-    """Entry points in the order of their kinds and of the text, each once: "GET /users", "Celery task: send_mail"."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), _namer(kind, first, second)) for kind, pattern, first, second in ENTRIES.get(language, ())]
+def entries(path: Column, text: Column, language: str, gates: Column | None = None) -> Column:
+    """Entry points in the order of their kinds and of the text, each once: "GET /users", "Celery task: send_mail".
+
+    gates: the labels of entry_gates that the text holds, where they are known: other kinds aren't looked for.
+    """
+    may = lambda kind, found: found if gates is None else F.when(F.array_contains(gates, kind), found).otherwise(F.array().cast("array<string>"))
+    found = [may(kind, F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), _namer(kind, first, second))) for kind, pattern, first, second in ENTRIES.get(language, ())]
     if language == "python":
         command = path.contains("/management/commands/") & text.rlike(r"\bclass[ \t]+Command\b")
         found.append(F.array_compact(F.array(F.when(command, F.concat(F.lit("Django management command: "), P.stem(path))))))
@@ -156,15 +160,21 @@ def entries(path: Column, text: Column, language: str) -> Column:
     return F.array_distinct(F.flatten(F.array(*found))) if found else F.array().cast("array<string>")
 
 
-def signals(path: Column, text: Column, names: Column, imports: Column, entry: Column, outer: Column) -> Column:
-    """The signals of a file that rules look for; every word of the text counts, at any length.
+def entry_gates(language: str) -> tuple[tuple[str, str], ...]:
+    """Patterns of RE2 without which a text has no entry points of the language."""
+    return tuple((kind, pattern.replace(r"\s", r"[\s\x0b]")) for kind, pattern, _, _ in ENTRIES.get(language, ())) + ((("command", "class[ \\t]+Command"),) if language == "python" else ())
+
+
+def signals(path: Column, words: Column, names: Column, imports: Column, entry: Column, outer: Column) -> Column:
+    """The signals of a file that rules look for.
 
-    names, imports and entry: arrays of the names of symbols, of imports and of entry points; outer: of systems.
+    words: those of wanted("any") that are tokens of the text, every word of which counts, at any length; names, imports and entry: arrays of the names of symbols,
+    of imports and of entry points; outer: of systems.
     """
     joined = lambda c: ordered_tokens(F.array_join(c, " "))
     by = {"path": ordered_tokens(path), "symbol": joined(names), "import": joined(imports)}
     marked = lambda kind, tokens: F.transform(F.array_intersect(tokens, _strings(wanted(kind))), lambda t: F.concat(F.lit(f"{kind}:"), t))
-    everything = F.concat(*by.values(), joined(entry), ordered_tokens(text))
+    everything = F.concat(*by.values(), joined(entry), words)
     parts = [marked(k, tokens) for k, tokens in by.items()] + [marked("any", everything), F.transform(outer, lambda s: F.concat(F.lit("system:"), s))]
     head = lambda e: F.when(e.rlike(f"^(?:{_METHODS.upper()}) "), "entry:route").otherwise(F.concat(F.lit("entry:"), F.substring_index(e, ":", 1)))
     parts.append(F.transform(entry, head))

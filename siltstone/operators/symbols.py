@@ -203,6 +203,18 @@ def line_symbols(files: DataFrame) -> DataFrame:
     return files.select("path", "text", "language").mapInArrow(run, schema)
 
 
+SYMBOL_LIST = T.StructField("symbols", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType())])))
+
+
+def symbol_lists(texts: pa.Array, language: str) -> pa.Array:
+    """SYMBOL_LIST of texts of one language: in the order of lines, of each line in that of the patterns."""
+    own: list[list[tuple]] = [[] for _ in range(len(texts))]
+    for n, (_, kind, row, line, name) in enumerate(_found(texts, pa.array([language] * len(texts), pa.string()))):
+        for r, at, x in zip(row.tolist(), line.tolist(), name.to_pylist(), strict=True):
+            own[r].append((at, n, x, kind))
+    return pa.array([[{"name": x, "kind": kind} for _, _, x, kind in sorted(o)] for o in own], pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string())])))
+
+
 def names(files: DataFrame) -> DataFrame:
     """(path, name, defined, called) of files (path, text, language): what a row's lines define and what it calls (the last part of a name), each name once; one pass over the texts."""
 

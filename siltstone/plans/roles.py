@@ -98,8 +98,7 @@ array_to_string(list_filter(list_filter(k0, lambda x, i: list_position(k0, x) =
 def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain, role, their reasons, entry points and words of each file, in one of three languages."""
     text = F.concat_ws("\n", "text", F.expr(_END.replace("chr(10)", "'\\n'")))
-    # dealt anew, so that the derived texts are computed once
-    rows = code(spark, sf_dir).select(F.concat(F.expr(_START), "path").alias("path"), text.alias("text"), "doc_id").repartition(F.col("path"))
+    rows = code(spark, sf_dir).select(F.concat(F.expr(_START), "path").alias("path"), text.alias("text"), "doc_id")
     parts = [assigned(rows.filter(F.col("doc_id") % 3 == i), language) for i, language in enumerate(_LANGUAGES)]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("path", "domain", "role", F.array_join("votes.reason", ";").alias("reasons"), F.array_join("entries", ";").alias("entries"), F.array_join("words", " ").alias("words"))

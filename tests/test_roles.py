@@ -1,6 +1,14 @@
 """Roles, domains and entry points of hand-written files."""
 
+import itertools
+
+from pyspark.sql import functions as F
+from test_growth import moved
+
+from siltstone.functions.text import ordered_tokens
+from siltstone.operators.marks import marked
 from siltstone.operators.roles import assigned
+from siltstone.plans.roles import file_roles
 
 CASES = [
     # path, text, language, domain, role, entries
@@ -39,3 +47,19 @@ def test_roles_of_files(spark):
     assert got["api/users.py"].words == ["get", "users"]
     assert assigned(rows.limit(0), "python").count() == 0
     assert assigned(rows.withColumn("role_", rows.path), "python").columns[:4] == ["path", "text", "language", "role_"]
+
+
+def test_words_of_texts_are_their_tokens(spark):
+    """Words are looked for in texts as they are; case, its changes and what stands around decide as they do for tokens."""
+    parts = ["otp", "Otp", "OTP", "oTp", "x", "X", "9", "_", " ", "\xe9", "K", "ran", "k", "İ", "webhook", "webhooK"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=3)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    words = ("otp", "rank", "webhook", "x")
+    got = {r.id: set(r.w) for r in marked(rows, {}, ("text",), held={"w": ("text", words)}).collect()}
+    want = {r.id: set(r.w or ()) for r in rows.select("id", F.array_intersect(ordered_tokens(F.col("text")), F.array(*map(F.lit, words))).alias("w")).collect()}
+    assert got == want and sum(map(len, want.values())) > 1000
+
+
+def test_roles_are_found_without_a_shuffle(spark):
+    rows, shuffled = moved(spark, file_roles(spark, "/root/testdata/sf0.001"))
+    assert len(rows) == 200 and shuffled == 0
