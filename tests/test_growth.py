@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import boosts as B
 from siltstone.operators import history as H
+from siltstone.operators import relations as R
 from siltstone.operators import skills as K
 
 
@@ -97,3 +98,14 @@ def test_names_are_taken_apart_once_for_all_tasks(spark):
     raised = {(r["task_id"], r["path"]) for r in got if r["score"] == 40.0}
     assert raised == {(t, f"tests/test_module_{i}_{'x' * 12}.py") for t in range(tasks) for i in range(n // 2, n)}
     assert len(got) == len(rows) and shuffled < 40_000
+
+
+def test_pairs_of_changes_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(R, "DEALT", 100)
+    rows = [(c, f) for c in range(300) for f in (c % 7, c % 5 + 10, c % 7)] + [(None, 1), (None, 2), (1, None)]
+    got = R.co_change(frame(spark, rows, "commit int, file int"))
+    want = {}
+    for c in range(300):
+        want[c % 7, c % 5 + 10] = want.get((c % 7, c % 5 + 10), 0) + 1
+    assert {(r.a, r.b): r.commits for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() == 10
