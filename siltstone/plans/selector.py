@@ -81,12 +81,12 @@ def ranked_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.sources.repository import files
     from siltstone.sources.shared import written
 
-    own, _, imports = S.inputs(spark, sf_dir)
+    own, imports = S.facts(spark, sf_dir)
     scored = written(S.scored(spark, sf_dir).filter("score > 0"), "scored")  # read by every pass below
     terms = S.item_tasks(spark, sf_dir).select("task_id", F.explode(F.array_distinct(K.terms(F.col("task")))).alias("term"))
     raised = B.second_pass(written(B.paired_tests(scored), "paired"), imports, terms)
-    tokens = files(spark, sf_dir).select("path", F.col("tokens").cast("long").alias("tokens"))
-    flags = own.select("path", "changed", secret_flag(F.col("text")).alias("secret"))
+    tokens = files(spark, sf_dir).select("path", F.col("tokens").cast("long").alias("tokens"), secret_flag(F.col("text")).alias("secret"))
+    flags = own.select("path", "changed")
     content = F.size(F.filter("reasons", lambda r: r.isin("content", "direct content", "phrase", "literal"))).cast("long")
     short = F.least(F.lit(200), F.col("tokens")).cast("long")
     rows = raised.join(tokens, "path").join(flags, "path").select("task_id", "path", "score", "reasons", content.alias("hits"), "tokens", short.alias("summary_tokens"), F.when(F.col("tokens") > 400, (F.col("tokens") / 4).cast("long")).alias("skeleton_tokens"), "changed", "secret")

@@ -5,8 +5,10 @@ import itertools
 from pyspark.sql import functions as F
 
 from siltstone.operators import boosts as B
+from siltstone.operators import facts as A
 from siltstone.operators import history as H
 from siltstone.operators import relations as R
+from siltstone.operators import scoring as S
 from siltstone.operators import skills as K
 
 
@@ -109,3 +111,21 @@ def test_pairs_of_changes_are_dealt_over_more_tasks_as_they_grow(spark, monkeypa
         want[c % 7, c % 5 + 10] = want.get((c % 7, c % 5 + 10), 0) + 1
     assert {(r.a, r.b): r.commits for r in got.collect()} == want
     assert got.rdd.getNumPartitions() == 10
+
+
+def test_pairs_of_tasks_and_files_are_not_shuffled(spark, monkeypatch):
+    """Every task shares a term with every file; blocks of tasks and chunks of files give the same points."""
+    n = 60
+    tasks = spark.range(n).select("id", F.format_string("repair checkout totals of word%d", "id").alias("task")).select(F.col("id").alias("task_id"), "task")
+    flags = dict.fromkeys(("changed", "staged", "recent", "churn_high", "too_large", "has_tests"), F.lit(False)) | {"co_changed": F.lit(0), "changed_dependency": F.lit(None).cast("boolean"), "dependent": F.lit(None).cast("boolean")}
+    files = spark.range(n).select(F.format_string("src/f%d_checkout.py", "id").alias("path"), F.format_string("Totals and word%d, rateLimit", "id").alias("text")).withColumns(flags)
+    fields = files.select("path", F.lit("calls").alias("field"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos")).withColumn("value", F.concat(F.lit("repair v"), "pos"))
+    imports = frame(spark, [("src/f1_checkout.py", "src/f2_checkout.py")], "src string, dst string")
+    points = lambda: moved(spark, S.score(S.evidence(tasks, files, fields, imports, F.lit(False))))
+    rows, shuffled = points()
+    assert len(rows) == n * n and shuffled < n * n
+    got = {(r.task_id, r.path): (r.score, r.reasons) for r in rows}
+    assert "multi-term path" not in got[5, "src/f5_checkout.py"][1] and got[5, "src/f5_checkout.py"][0] > got[5, "src/f6_checkout.py"][0] and "dependency" in got[5, "src/f1_checkout.py"][1] and "calls" in got[5, "src/f1_checkout.py"][1]
+    monkeypatch.setattr(A, "BLOCK", 50)
+    monkeypatch.setattr(A, "CELLS", 64)
+    assert {(r.task_id, r.path): (r.score, r.reasons) for r in points()[0]} == got
