@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import imports as I
 from siltstone.plans.registry import query
 from siltstone.sources.repository import FILES, files
+from siltstone.sources.shared import written
 
 _BARE = r"regexp_replace({}, '\.[^./]*$', '')"
 _FOUND = rf"""own as (select *, length(path) - length(replace(path, '/', '')) depth from files), n as (select count(*) n from files), found as (
@@ -31,7 +32,8 @@ RESOLVED = f"{FILES}, {_FOUND}, {_TRIED}, edges as (select distinct path src, ta
 
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(path, name, language) of imports that lead up from a file's folder and down again, missing ones and packages; and the files."""
-    own = files(spark, sf_dir).select("doc_id", "path")
+    # the paths are made of the texts once: what follows reads them several times
+    own = written(files(spark, sf_dir).select("doc_id", "path"), "paths")
     n, depth = own.count(), F.length("path") - F.length(F.regexp_replace("path", "/", ""))
     d, bare = F.col("doc_id"), F.regexp_replace("other", r"\.[^./]*$", "")
     other = own.select(d.alias("to"), F.col("path").alias("other"))
@@ -76,7 +78,7 @@ select side, seed, path, min(hops)::int hops from r group by 1, 2, 3"""
 def import_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every twentieth file imports, and what imports it, in up to four steps."""
     rows, own = found(spark, sf_dir)
-    forth = I.edges(I.resolve(rows, own), own)
+    forth = written(I.edges(I.resolve(rows, own), own), "edges")
     back = forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seeds = own.filter("doc_id % 20 = 0").select("path")
     return I.reached(forth, seeds, 4).withColumn("side", F.lit("imports")).unionByName(I.reached(back, seeds, 4).withColumn("side", F.lit("importers")))

@@ -129,3 +129,11 @@ def test_pairs_of_tasks_and_files_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK", 50)
     monkeypatch.setattr(A, "CELLS", 64)
     assert {(r.task_id, r.path): (r.score, r.reasons) for r in points()[0]} == got
+
+
+def test_paths_are_made_of_the_texts_once(spark):
+    """What follows the paths of imports reads no texts."""
+    from siltstone.plans.imports import found
+
+    rows, own = found(spark, "/root/testdata/sf0.001")
+    assert not [f for df in (rows, own) for f in df.inputFiles() if "documents.parquet" in f] and own.count() == 200
