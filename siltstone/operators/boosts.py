@@ -6,6 +6,10 @@ as scoring gives them; a file keeps one row for each task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +38,44 @@ def _add(scored: DataFrame, gains: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select("task_id", "path", (F.col("score") + F.coalesce("amount", F.lit(0.0))).alias("score"), reasons.alias("reasons"))
 
 
-def substrings(text: Column) -> Column:
-    """All distinct parts of a short text."""
-    n = F.length(text)
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: text.substr(i, k))))
-    return F.when(n > 0, F.array_distinct(parts)).otherwise(F.array(F.lit("")))
+#: Bits of the table that tells which stems no source has.
+BITS = 1 << 27
+
+
+def _spots(stems: DataFrame) -> bytes:
+    """A table of bits, of a size that doesn't grow: one is set for each stem that is there, by its checksum."""
+    spot = F.crc32(F.col("stem").cast("binary")) % BITS + 1
+    out, size = bytearray(BITS // 8), 4096  # bytes in one of Spark's bitmaps
+    for b, bits in stems.filter("stem is not null").groupBy(F.bitmap_bucket_number(spot)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot))).collect():
+        out[(b - 1) * size : b * size] = bits
+    return bytes(out)
+
+
+def _parts(tests: DataFrame, stems: DataFrame) -> DataFrame:
+    """tests (test, stem) with each distinct part of its stem that may be one of stems: others, nearly all, are left out where they are made."""
+    block = tests.sparkSession.sparkContext.broadcast(_spots(stems))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, last = block.value, BITS - 1
+        for batch in batches:
+            rows, parts = [], []
+            for k, text in enumerate(batch.column("stem").to_pylist()):
+                n = len(text)
+                for part in {"", *(text[i:j] for i in range(n) for j in range(i + 1, n + 1))}:
+                    h = crc32(part.encode()) & last
+                    if bits[h >> 3] >> (h & 7) & 1:
+                        rows.append(k)
+                        parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column("test").take(pa.array(rows, pa.int64())), pa.array(parts, pa.string())], ["test", "stem"])
+
+    return tests.filter("stem is not null").mapInArrow(run, "test string, stem string")
 
 
 def pair_tests(tests: DataFrame, sources: DataFrame) -> DataFrame:
-    """(test, source): the source's stem is part of the test's.  An equality join on the parts of a stem, whose number is bounded by a name's length."""
-    parts = tests.select("test", F.explode(substrings(P.stem(F.col("test")))).alias("stem"))
-    return parts.join(sources.select("source", P.stem(F.col("source")).alias("stem")), "stem").select("test", "source").distinct()
+    """(test, source): the source's stem is part of the test's.  An equality join on those parts of a test's stem that some source may have; sources are read twice."""
+    stems = sources.select("source", P.stem(F.col("source")).alias("stem"))
+    parts = _parts(tests.select("test", P.stem(F.col("test")).alias("stem")), stems)
+    return parts.join(stems, "stem").select("test", "source").distinct()
 
 
 #: Where a test of {stem} in the folder {parent} is by custom (fixed values).

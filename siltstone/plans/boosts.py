@@ -11,6 +11,7 @@ from siltstone.plans.files import API_KEY, DOMAIN, NOISE, PATH_TOKENS, STEM, is_
 from siltstone.plans.registry import query
 from siltstone.plans.tasks import words
 from siltstone.sources.repository import FILES, files
+from siltstone.sources.shared import written
 
 _REASONS = (
     ("filename", "doc_id % 2 = 0"), ("content", "doc_id % 3 = 0 and doc_id % 4 <> 0"), ("role", "doc_id % 5 = 2"), ("defines", "doc_id % 7 = 3"), ("API owner", "doc_id % 32 = 1"), ("symbol", "doc_id % 19 = 4"),
@@ -220,7 +221,7 @@ def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {FILES}, s as (select path, {STEM} stem from files), t as (select 'tests/test_' || stem || '.py' test, 'test_' || stem tstem from s) select distinct test, path source from t join s on contains(tstem, stem)")
 def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests whose name holds a source's: no pairs are tried but those that share a part."""
-    own = files(spark, sf_dir).select("path")
+    own = written(files(spark, sf_dir).select("path"), "paths")
     stem = P.stem(F.col("path"))
     tests = own.select(F.concat(F.lit("tests/test_"), stem, F.lit(".py")).alias("test"))
     return B.pair_tests(tests, own.select(F.col("path").alias("source")))

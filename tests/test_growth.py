@@ -137,3 +137,14 @@ def test_paths_are_made_of_the_texts_once(spark):
 
     rows, own = found(spark, "/root/testdata/sf0.001")
     assert not [f for df in (rows, own) for f in df.inputFiles() if "documents.parquet" in f] and own.count() == 200
+
+
+def test_only_parts_of_names_that_a_source_may_have_are_handed_on(spark):
+    names = ["", "a", "ser", "üs", "user", "users_1", "9", "x.y", "test_user"]
+    stems = ["users_12", "test_user", "üser", "x.y.z", "", *(f"longer_name_of_module_{i}" for i in range(200))]
+    tests = frame(spark, [(f"t{i}/{s}.py",) for i, s in enumerate(stems)] + [(None,)], "test string")
+    sources = frame(spark, [(f"s{i}/{s}.py",) for i, s in enumerate(names)] + [("s0/.py",), (None,)], "source string")
+    stem = lambda path: path.split("/")[1][:-3] or ".py"
+    rows, shuffled = moved(spark, B.pair_tests(tests, sources))
+    assert sorted(map(tuple, rows)) == sorted({(t, s) for t, in tests.collect() if t for s, in sources.collect() if s and stem(s) in stem(t)}) and len(rows) > 200
+    assert shuffled < 5000
