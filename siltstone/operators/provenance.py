@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,37 +66,50 @@ def changed_ranges(diffs: DataFrame) -> DataFrame:
     return rows.filter("added").groupBy("path", "hunk", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).select("path", "first", "last", "n")
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, warnings): texts with [REDACTED:kind] in the place of each secret, and "kind (line n)" for each, in the order of the kinds.
+_REDACTED = tuple((label, re.compile(p), group) for label, p, group in SECRETS if label != "quoted-value")
+_PLACEHOLDER = re.compile(PLACEHOLDER)
+#: Whether there is any, for Arrow's RE2, which writes characters otherwise.
+_ANY = "|".join(re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", f"(?:{p.pattern})") for _, p, _ in _REDACTED)
 
-    Of values that overlap, the earlier kind's counts; placeholders stay.  Null texts stay null.
+
+def _clean(text: str) -> tuple[str, list[str]]:
+    spans: list[tuple[int, int, str]] = []
+    notes = []
+    for label, pattern, group in _REDACTED:
+        for m in pattern.finditer(text):
+            a, b = m.span(group)
+            if _PLACEHOLDER.search(m.group(group)) or any(a < d and b > c for c, d, _ in spans):
+                continue
+            spans.append((a, b, label))
+            notes.append(f"{label} (line {text.count(chr(10), 0, a) + 1})")
+    out, done = [], 0
+    for a, b, label in sorted(spans):
+        out += [text[done:a], f"[REDACTED:{label}]"]
+        done = b
+    return "".join([*out, text[done:]]), notes
+
+
+def redact_secrets(rows: DataFrame, column: str = "text") -> DataFrame:
+    """rows with [REDACTED:kind] in the place of each secret of a column, and last `warnings`: "kind (line n)" for each, in the order of the kinds.
+
+    Of values that overlap, the earlier kind's counts; placeholders stay.  Null texts stay null.  Only texts that Arrow finds a secret in are taken apart.
     """
-    patterns = [(label, re.compile(p), group) for label, p, group in SECRETS if label != "quoted-value"]
-    placeholder = re.compile(PLACEHOLDER)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))])
-
-    def clean(text: str) -> tuple[str, list[str]]:
-        spans: list[tuple[int, int, str]] = []
-        notes = []
-        for label, pattern, group in patterns:
-            for m in pattern.finditer(text):
-                a, b = m.span(group)
-                if placeholder.search(m.group(group)) or any(a < d and b > c for c, d, _ in spans):
-                    continue
-                spans.append((a, b, label))
-                notes.append(f"{label} (line {text.count(chr(10), 0, a) + 1})")
-        out, done = [], 0
-        for a, b, label in sorted(spans):
-            out += [text[done:a], f"[REDACTED:{label}]"]
-            done = b
-        return "".join([*out, text[done:]]), notes
+    schema = T.StructType([*rows.schema.fields, T.StructField("warnings", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(None, []) if t is None else clean(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in got], pa.string()), pa.array([n for _, n in got], pa.list_(pa.string()))], schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            texts = batch.column(column)
+            held = pc.fill_null(pc.match_substring_regex(texts, _ANY), False)
+            got = [_clean(t) for t in texts.filter(held).to_pylist()]
+            notes: list[list[str]] = [[]] * len(texts)
+            for k, (_, n) in zip(pc.indices_nonzero(held).to_pylist(), got):
+                notes[k] = n
+            clean = pc.replace_with_mask(texts, held, pa.array([t for t, _ in got], texts.type)) if got else texts
+            columns = [clean if f.name == column else batch.column(f.name) for f in rows_fields]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(notes, pa.list_(pa.string()))], schema.names)
+
+    rows_fields = rows.schema.fields
+    return rows.mapInArrow(run, schema)
 
 
 #: Keywords of a task at most.

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siltstone.functions import source as C
 from siltstone.functions.text import estimate_tokens
 from siltstone.operators.provenance import redact_secrets
-from siltstone.operators.relations import secret_flag
 
 #: Modes whose content is kept; of others the record holds the summary alone (fixed values).
 KEPT_MODES = ("full", "diff", "symbols", "skeleton")
@@ -109,22 +108,21 @@ def retrieve(found: DataFrame, kept: DataFrame, requests: DataFrame, files: Data
     # the record alone tells whether there is a kept text, so contents are read by the requests that get one
     own = (c("view") == "as_stored") & (c("r.stored").isNotNull() | (F.coalesce("r.summary", F.lit("")) != ""))
     rows = rows.withColumn("_own", F.coalesce(own, F.lit(False)))
-    # only files that a request reads are looked at for secrets, and only those that hold some leave the JVM
-    asked = rows.filter("not _own and r is not null").select(c("r.path").alias("path")).distinct()
     held = kept.select(c("hash").alias("_h"), c("content").alias("_kept")).dropDuplicates(["_h"])
     rows = rows.join(held, F.when(c("_own"), c("r.stored")) == c("_h"), "left")
     rows = rows.withColumn("stored", F.when(c("_own"), F.coalesce("_kept", "r.summary"))).drop("_h", "_kept", "_own")
-    now = files.join(asked, "path", "left_semi").withColumn("_secret", F.coalesce(secret_flag(c("text")), F.lit(False)))
-    clean = redact_secrets(now.filter("_secret").select(c("path").alias("doc_id"), "text")).select(c("doc_id").alias("path"), c("text").alias("_clean"), "warnings")
-    now = now.join(clean, "path", "left").select("path", c("hash").alias("_now"), F.lit(True).alias("_there"), F.when(c("_secret"), c("_clean")).otherwise(c("text")).alias("_text"), F.coalesce("warnings", F.array().cast("array<string>")).alias("_warnings"))
+    # texts go once to the requests that read them, and are looked at for secrets there
+    now = files.select("path", c("hash").alias("_now"), F.lit(True).alias("_there"), c("text").alias("_text"))
     rows = rows.withColumn("path", c("r.path")).join(now, "path", "left")
     stale = F.coalesce(c("r.file_hash") != c("_now"), F.lit(False))
     status = (
         F.when(c("r").isNull(), "no record").when(c("stored").isNotNull(), "stored").when(c("_there").isNull(), "gone").when(stale & ~c("allow_stale"), "stale").when(stale, "stale-current").otherwise("current")
     )
+    read = status.isin("current", "stale-current")
+    rows = redact_secrets(rows.withColumn("status", status).withColumn("_text", F.when(read, c("_text"))), "_text")
     view = F.when(c("view") == "skeleton", C.view(c("_text"), "skeleton")).when(c("view") == "symbols", C.view(c("_text"), "symbols")).when(c("view") == "summary", C.view(c("_text"), "summary")).otherwise(c("_text"))
-    rows = rows.withColumn("status", status).withColumn("_whole", F.when(c("status") == "stored", c("stored")).when(c("status").isin("current", "stale-current"), view))
+    rows = rows.withColumn("_whole", F.when(c("status") == "stored", c("stored")).when(c("status").isin("current", "stale-current"), view))
     cut = (c("status") != "stored") & (F.length("_whole") > most_chars) if most_chars is not None else F.lit(False)
     content = F.when(cut, F.rtrim(F.left("_whole", F.lit(most_chars)))).otherwise(c("_whole")) if most_chars is not None else c("_whole")
-    warnings = F.when(c("status").isin("current", "stale-current"), c("_warnings"))
+    warnings = F.when(c("status").isin("current", "stale-current"), c("warnings"))
     return rows.select("id", "status", c("r.block_id").alias("block_id"), "path", c("r.mode").alias("mode"), c("r.tokens").alias("tokens"), content.alias("content"), F.coalesce(cut, F.lit(False)).alias("truncated"), warnings.alias("warnings"))

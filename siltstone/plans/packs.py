@@ -48,10 +48,10 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     made = files(spark, sf_dir).filter("source is not null").select("path", "doc_id", F.col("source").alias("pack"), F.expr(CODE_TEXT).alias("text"))
     texts = written(made.withColumns({"hash": F.sha2("text", 256), "tokens": F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long"), "score": F.length(text).cast("double")}), "texts")
     mode = F.when(F.col("doc_id") % 3 == 0, "full").when(F.col("doc_id") % 3 == 1, "skeleton").otherwise("summary")
-    # one score for each pack says what fits; texts aren't shuffled for it
+    # one score for each pack says what fits: it goes to the texts, which are not shuffled for it
     least = by_score(texts.select("pack", "score", "tokens"), "pack").filter(F.col("used") <= BUDGET).groupBy("pack").agg(F.min("score").alias("least"))
     fits = F.coalesce(F.col("score") >= F.col("least"), F.lit(False))
-    chosen = texts.join(least, "pack", "left").withColumns({"step": F.col("doc_id"), "mode": mode, "selected": fits, "reasons": F.array(F.lit("length"))})
+    chosen = texts.join(F.broadcast(least), "pack", "left").withColumns({"step": F.col("doc_id"), "mode": mode, "selected": fits, "reasons": F.array(F.lit("length"))})
     content = F.when(F.col("mode") == "full", text).when(F.col("mode") == "skeleton", C.view(text, "skeleton"))
     taken = chosen.filter("selected").withColumns({"content": content, "summary": F.when(F.col("mode") == "summary", C.view(text, "summary"))})
     left = chosen.filter("not selected and tokens > 100").withColumns({"mode": F.lit("skeleton"), "reason": F.lit("budget exhausted")})

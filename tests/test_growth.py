@@ -148,3 +148,16 @@ def test_only_parts_of_names_that_a_source_may_have_are_handed_on(spark):
     rows, shuffled = moved(spark, B.pair_tests(tests, sources))
     assert sorted(map(tuple, rows)) == sorted({(t, s) for t, in tests.collect() if t for s, in sources.collect() if s and stem(s) in stem(t)}) and len(rows) > 200
     assert shuffled < 5000
+
+
+def test_texts_are_not_shuffled_to_choose_a_pack(spark):
+    """Records and contents are chosen in place; every secret of a column is redacted and other columns stay."""
+    from siltstone.operators.provenance import redact_secrets
+    from siltstone.plans.packs import _inputs
+
+    _, taken, _, _ = _inputs(spark, "/root/testdata/sf0.001")
+    assert "SortMergeJoin" not in taken._jdf.queryExecution().executedPlan().toString()
+    key = "password:　" + "k3" * 20
+    rows = frame(spark, [(1, "x", key), (2, "y", None), (3, "z", "plain")], "id int, other string, body string")
+    got = {r.id: (r.other, r.body, r.warnings) for r in redact_secrets(rows, "body").collect()}
+    assert got == {1: ("x", "password:　[REDACTED:api-key]", ["api-key (line 1)"]), 2: ("y", None, []), 3: ("z", "plain", [])}
