@@ -161,3 +161,22 @@ def test_texts_are_not_shuffled_to_choose_a_pack(spark):
     rows = frame(spark, [(1, "x", key), (2, "y", None), (3, "z", "plain")], "id int, other string, body string")
     got = {r.id: (r.other, r.body, r.warnings) for r in redact_secrets(rows, "body").collect()}
     assert got == {1: ("x", "password:　[REDACTED:api-key]", ["api-key (line 1)"]), 2: ("y", None, []), 3: ("z", "plain", [])}
+
+
+def test_values_of_texts_are_found_where_they_are_counted(spark):
+    """No list of a text's values is made for the pass that counts them; finders find what their patterns do, and counts are those of the files' rows."""
+    from siltstone.plans import scoring as Q
+
+    odd = ["", ",", ",,abcd", "abc,abcd,Xabcd, éabcd,ab\ncd ef gh,", "\nAb Cd\nab  cd\n\nQw er", "Ab Cd,\r\nno way\x00\nßa b", "x abcdE,efgh\u2028ij kl,\U0001f600mnop,", "camelCase Words,\nfoo bar baz,,word,", "\n", "a b\n"]
+    rows = frame(spark, [(i, x) for i, x in enumerate(odd)], "i int, text string")
+    for field, pattern in (("defines", Q.DEFINES), ("calls", Q.CALLS)):
+        assert {r.i: r.found for r in rows.select("i", F.regexp_extract_all("text", F.lit(pattern), 1).alias("found")).collect()} == {i: Q.FINDERS[field](x) for i, x in enumerate(odd)}
+    texts = S._ready(Q.texts(spark, "/root/testdata/sf0.001"), None)
+    assert "regexp_extract_all" not in texts._jdf.queryExecution().executedPlan().toString()
+    own = frame(spark, [(None, "lost words,", []), ("src/fooBar_baz.py", "Foo bar\nfixed,foo,word,word,", [("role", 0, "sourceFile"), ("domain", 0, None)]), ("tests/word_foo.py", None, None), ("..", "\nFoo bar", [])], "path string, text string, values array<struct<field:string,pos:int,value:string>>")
+    terms, phrases = ["bar", "fixed", "foo", "source", "word"], ["foo bar", "source file", "word foo"]
+    count = lambda ready, *known: {r.i: r.n for r in A.occurring(ready, *known, Q.FINDERS).groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    assert count(S._ready(own, None), terms, phrases) == {-1: 2, 0: 2, 1: 1, 2: 3, 3: 1, 4: 2, 5: 2, 6: 1, 7: 1}
+    for ready, known in ((S._ready(own, None), (terms, phrases)), (texts, S.wanted(Q.item_tasks(spark, "/root/testdata/sf0.001")))):
+        held = A.held(ready, *known, S.NAMES, Q.FINDERS).select(F.explode("held").alias("i")).groupBy("i").count()
+        assert count(ready, *known) == {r["i"]: r["count"] for r in held.collect()}
