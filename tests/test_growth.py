@@ -180,3 +180,17 @@ def test_values_of_texts_are_found_where_they_are_counted(spark):
     for ready, known in ((S._ready(own, None), (terms, phrases)), (texts, S.wanted(Q.item_tasks(spark, "/root/testdata/sf0.001")))):
         held = A.held(ready, *known, S.NAMES, Q.FINDERS).select(F.explode("held").alias("i")).groupBy("i").count()
         assert count(ready, *known) == {r["i"]: r["count"] for r in held.collect()}
+
+
+def test_boosts_are_asked_for_by_every_task(spark):
+    """No task that has a term is left out, neither by the code nor by the SQL."""
+    import duckdb
+
+    from siltstone.plans import history as Q
+    from siltstone.plans.registry import ORACLES
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.sql(f"create view conversations as from '{sf}/conversations.parquet'")
+    asked = {r.task_id for r in Q.tasks(spark, sf).select("task_id", F.explode(Q.K.episode_terms(F.col("task")))).collect()}
+    assert any(t % 20 for t in asked)
+    assert {r.task_id for r in Q.missed_boosts(spark, sf).collect()} == asked == {t for t, in con.sql(f"select distinct task_id from ({ORACLES['missed_boosts']})").fetchall()}
