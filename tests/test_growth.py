@@ -194,3 +194,45 @@ def test_boosts_are_asked_for_by_every_task(spark):
     asked = {r.task_id for r in Q.tasks(spark, sf).select("task_id", F.explode(Q.K.episode_terms(F.col("task")))).collect()}
     assert any(t % 20 for t in asked)
     assert {r.task_id for r in Q.missed_boosts(spark, sf).collect()} == asked == {t for t, in con.sql(f"select distinct task_id from ({ORACLES['missed_boosts']})").fetchall()}
+
+
+def test_cells_of_skills_and_tasks_are_dealt_over_spark_tasks(spark, monkeypatch):
+    """Chunks of skills don't end up in a few of Spark's tasks; cells of any size give the same pairs."""
+    frames, *_ = _matching(spark, 30, 240)
+    want = sorted(map(tuple, K.match_skills(*frames).collect()))
+    monkeypatch.setattr(K, "CHUNK", 16)
+    monkeypatch.setattr(K, "BLOCK", 8)
+    got = K.match_skills(*frames)
+    assert got.rdd.getNumPartitions() >= 240 // 16
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_picks_are_dealt_over_spark_tasks(spark, monkeypatch):
+    """Each pick is a pass over as many partitions as there are chunks of skills."""
+    monkeypatch.setattr(K, "CHUNK", 16)
+    seen, grid = [], K._grid
+    monkeypatch.setattr(K, "_grid", lambda *args: seen.append(grid(*args)) or seen[-1])
+    K.diverse_matches(*_matching(spark, 20, 160)[0], 2)
+    assert len(seen) == 2 and min(df.rdd.getNumPartitions() for df in seen) >= 10
+
+
+def test_shared_terms_are_counted_alike_whether_frequent_or_rare(monkeypatch):
+    import pyarrow as pa
+
+    left = [["a", "b", "b", None, f"r{i % 3}"] if i % 4 else None for i in range(20)]
+    right = [["b", "c", "r1"], [], None, ["a", "b", "r0", "r2"]]
+    want = [[len({*(x or [])} & {*(y or [])} - {None}) for y in right] for x in left]
+    column = lambda rows: [pa.array(rows, pa.list_(pa.string()))]
+    for dense in (0, 2, 64):
+        monkeypatch.setattr(K, "DENSE", dense)
+        a, b = K._held(column(left), column(right))
+        assert K._meet(a, b).tolist() == want and K._meet(a.rows(5, 11), b).tolist() == want[5:11]
+    assert a.sizes.tolist() == [3 if i % 4 else 0 for i in range(20)] and b.sizes.tolist() == [3, 0, 0, 4]
+
+
+def test_sums_are_rounded_as_columns_are(spark):
+    import numpy as np
+
+    odd = [0.0, -0.0, 0.00005, -0.00005, 0.00004, -0.00001, 1.00005, 2.67495, 1.00015, 45.12345, -7.12345, 0.1 + 0.2, 1e15 / 3, 3.0e17, 12345.678949999999, 99.99995]
+    want = [r[0] for r in frame(spark, [(x,) for x in odd], "x double").select(F.round("x", 4)).collect()]
+    assert K._rounded(np.array([odd])).tolist() == [want]
