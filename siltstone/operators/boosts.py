@@ -32,10 +32,15 @@ def _has(reasons: tuple[str, ...] | list[str], column: str = "reasons") -> Colum
 
 
 def _add(scored: DataFrame, gains: DataFrame, keys: list[str]) -> DataFrame:
-    """scored with gains (keys, amount, reason) added, where there are any."""
-    rows = scored.join(gains, keys, "left")
+    """scored with gains (keys, amount, reason) added, where there are any; other columns stay."""
+    rows, rest = scored.join(gains, keys, "left"), [c for c in scored.columns if c not in ("task_id", "path", "score", "reasons")]
     reasons = F.when(F.col("amount").isNull(), F.col("reasons")).otherwise(F.array_append("reasons", F.col("reason")))
-    return rows.select("task_id", "path", (F.col("score") + F.coalesce("amount", F.lit(0.0))).alias("score"), reasons.alias("reasons"))
+    return rows.select("task_id", "path", (F.col("score") + F.coalesce("amount", F.lit(0.0))).alias("score"), reasons.alias("reasons"), *rest)
+
+
+def _kind(scored: DataFrame, kind: str) -> Column:
+    """Whether a path is of a kind: the column of that name, where scored brings it."""
+    return F.col(kind) if kind in scored.columns else P.is_kind(F.col("path"), kind)
 
 
 #: Bits of the table that tells which stems no source has.
@@ -90,21 +95,26 @@ def related_tests(paths: DataFrame) -> DataFrame:
     return wanted.join(paths.select(F.col("path").alias("test")), "test", "left_semi").select("source", "test").distinct()
 
 
+def _upper_median(rows: DataFrame) -> DataFrame:
+    """(task_id, threshold): the score at the half of a task's scores, from below; told from counts, so that no task's rows are sorted."""
+    counts = rows.groupBy("task_id", "score").agg(F.count("*").alias("n"))
+    task = Window.partitionBy("task_id")
+    placed = counts.withColumn("upto", F.sum("n").over(task.orderBy("score"))).withColumn("half", F.floor(F.sum("n").over(task) / 2))
+    return placed.filter((F.col("upto") - F.col("n") <= F.col("half")) & (F.col("half") < F.col("upto"))).select("task_id", F.col("score").alias("threshold"))
+
+
 def paired_tests(scored: DataFrame, w: Weights = Weights()) -> DataFrame:
     """Tests of sources that score at least the upper median of a task's positive sources; the first source by path is named."""
-    test = P.is_kind(F.col("path"), "test_file")
-    plain = scored.filter(~test & (F.col("score") > 0))
-    place = Window.partitionBy("task_id").orderBy("score", "path")
-    n = Window.partitionBy("task_id")
-    placed = plain.withColumn("k", F.row_number().over(place) - 1).withColumn("n", F.count("*").over(n))
-    threshold = placed.filter(F.col("k") == F.floor(F.col("n") / 2)).select("task_id", F.col("score").alias("threshold"))
-    sources = scored.filter(~test & ~P.is_kind(F.col("path"), "config_file")).join(F.broadcast(threshold), "task_id").filter("score >= threshold").select("task_id", F.col("path").alias("source"))
+    test = _kind(scored, "test_file")
+    threshold = _upper_median(scored.filter(~test & (F.col("score") > 0)).select("task_id", "score"))
+    sources = scored.filter(~test & ~_kind(scored, "config_file")).join(F.broadcast(threshold), "task_id").filter("score >= threshold").select("task_id", F.col("path").alias("source"))
     tests = scored.filter(test & ~F.exists("reasons", lambda r: r.contains("test for"))).select("task_id", F.col("path").alias("test"))
     # parts of names are taken once for each file, whatever the number of tasks
     pairs = written(pair_tests(tests.select("test").distinct(), sources.select("source").distinct()), "test-pairs")
-    met = tests.join(pairs, "test").join(sources, ["task_id", "source"])
+    # few files are of a pair: others leave before the rows of tasks meet
+    met = tests.join(pairs, "test").join(sources.join(pairs.select("source").distinct(), "source", "left_semi"), ["task_id", "source"])
     gains = met.groupBy("task_id", F.col("test").alias("path")).agg(F.concat(F.lit("test for "), F.min("source")).alias("reason")).withColumn("amount", F.lit(w.tests))
-    return _add(scored, gains, ["task_id", "path"])
+    return _add(scored, written(gains, "test-gains"), ["task_id", "path"])
 
 
 def cross_layer(scored: DataFrame, terms: DataFrame, w: Weights = Weights()) -> DataFrame:
@@ -169,17 +179,19 @@ def second_pass(scored: DataFrame, edges: DataFrame, terms: DataFrame, w: Weight
     carried = _has(["modified", "staged", "workspace", "cross-layer", "neighbour", "co-changed"])
     seeds = _seeds(scored, (F.col("score") >= 100) | carried, [F.desc("score"), F.col("path")], limit).select("task_id", F.col("path").alias("seed"), "k")
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().filter("src != dst")
-    there = scored.select("task_id", "path")
-    first = seeds.join(both, F.col("seed") == F.col("src")).select("task_id", "seed", "k", F.col("dst").alias("path")).join(there, ["task_id", "path"], "left_semi")
+    # what is near is little and written, so that it needn't be sorted with all rows to be looked up among them
+    seeds = written(seeds, "seeds")
+    there = lambda near, name: written(near, name).join(scored.select("task_id", "path"), ["task_id", "path"])
+    first = written(there(seeds.join(both, F.col("seed") == F.col("src")).select("task_id", "seed", "k", F.col("dst").alias("path")), "near"), "first")
     step = first.select("task_id", "seed", "k", F.col("path").alias("src")).join(both, "src").select("task_id", "seed", "k", F.col("dst").alias("path")).distinct().filter("path != seed")
-    second = step.join(first.select("task_id", "seed", "path"), ["task_id", "seed", "path"], "left_anti").join(there, ["task_id", "path"], "left_semi")
+    second = written(there(step.join(first.select("task_id", "seed", "path"), ["task_id", "seed", "path"], "left_anti"), "steps"), "second")
     subject = seeds.select("task_id", "seed", F.explode(P.domain_tokens(F.col("seed"))).alias("term")).unionByName(seeds.join(terms.filter(~F.col("term").isin(*P.NOISE_WORDS)), "task_id").select("task_id", "seed", "term")).distinct()
     shares = second.select("task_id", "seed", "path", F.explode(P.domain_tokens(F.col("path"))).alias("term")).join(subject, ["task_id", "seed", "term"], "left_semi").select("task_id", "seed", "path").distinct().withColumn("shares", F.lit(True))
     rows = second.join(shares, ["task_id", "seed", "path"], "left").withColumn("shares", F.coalesce("shares", F.lit(False)))
     fit = rows.filter(F.col("shares") | P.is_kind(F.col("path"), "config_file")).withColumn("amount", w.neighbour * 0.5 + F.when(F.col("shares"), 4.0).otherwise(0.0))
     best = fit.groupBy("task_id", "path").agg(F.max("amount").alias("amount"))
     kept = best.withColumn("j", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("amount"), "path"))).filter(F.col("j") <= most)
-    return _add(scored, kept.select("task_id", "path", "amount", F.lit("second pass").alias("reason")), ["task_id", "path"])
+    return _add(scored, written(kept.select("task_id", "path", "amount", F.lit("second pass").alias("reason")), "second-gains"), ["task_id", "path"])
 
 
 def workspaces(scored: DataFrame, places: DataFrame, active: DataFrame, edges: DataFrame, w: Weights = Weights()) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from siltstone.functions import paths as P
 from siltstone.functions import tasks as K
 from siltstone.operators import selector as L
-from siltstone.operators.relations import secret_flag
 from siltstone.plans.boosts import BASE, base
 from siltstone.plans.files import FAMILY, SCOPE, SOURCE, is_kind
 from siltstone.plans.registry import QUERIES, query
@@ -78,19 +77,19 @@ def ranked_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From texts to a selection for every item: evidence and points of all files, then tests of strong sources, a second pass over imports, and the choice under a budget."""
     from siltstone.operators import boosts as B
     from siltstone.plans import scoring as S
-    from siltstone.sources.repository import files
     from siltstone.sources.shared import written
 
     own, imports = S.facts(spark, sf_dir)
-    scored = written(S.scored(spark, sf_dir).filter("score > 0"), "scored")  # read by every pass below
+    # what depends on a file alone is made once for it and goes along
+    own = L.path_facts(own.withColumn("tokens", F.col("tokens").cast("long")))
+    scored = S.scored(spark, sf_dir, (own, imports), ("tokens", *L.PATH_FACTS), ("changed", "secret", "test_file", "config_file"))
+    scored = written(scored.filter("score > 0"), "scored")  # read by every pass below
     terms = S.item_tasks(spark, sf_dir).select("task_id", F.explode(F.array_distinct(K.terms(F.col("task")))).alias("term"))
-    raised = B.second_pass(written(B.paired_tests(scored), "paired"), imports, terms)
-    tokens = files(spark, sf_dir).select("path", F.col("tokens").cast("long").alias("tokens"), secret_flag(F.col("text")).alias("secret"))
-    flags = own.select("path", "changed")
+    raised = B.second_pass(B.paired_tests(scored), imports, terms)
     content = F.size(F.filter("reasons", lambda r: r.isin("content", "direct content", "phrase", "literal"))).cast("long")
     short = F.least(F.lit(200), F.col("tokens")).cast("long")
-    rows = raised.join(tokens, "path").join(flags, "path").select("task_id", "path", "score", "reasons", content.alias("hits"), "tokens", short.alias("summary_tokens"), F.when(F.col("tokens") > 400, (F.col("tokens") / 4).cast("long")).alias("skeleton_tokens"), "changed", "secret")
-    return L.selected(L.select_files(rows, L.Rules(budget=8000)))
+    rows = raised.withColumns({"hits": content, "summary_tokens": short, "skeleton_tokens": F.when(F.col("tokens") > 400, (F.col("tokens") / 4).cast("long"))}).drop("test_file", "config_file")
+    return L.chosen(rows, L.Rules(budget=8000))
 
 
 QUERIES["ranked_selection"] = ranked_selection

@@ -236,3 +236,88 @@ def test_sums_are_rounded_as_columns_are(spark):
     odd = [0.0, -0.0, 0.00005, -0.00005, 0.00004, -0.00001, 1.00005, 2.67495, 1.00015, 45.12345, -7.12345, 0.1 + 0.2, 1e15 / 3, 3.0e17, 12345.678949999999, 99.99995]
     want = [r[0] for r in frame(spark, [(x,) for x in odd], "x double").select(F.round("x", 4)).collect()]
     assert K._rounded(np.array([odd])).tolist() == [want]
+
+
+def _candidates(spark, n_tasks, n_files, seed):
+    import random
+
+    from siltstone.operators import selector as L
+
+    pick = random.Random(seed)
+    words = [*L.DIRECT, *L.ACTIONABLE, *L.SUPPORTING, *L.EXPANSION, *L.STANDING_ONLY, "config", "knowledge", "test for a.py", "neighbour of x", "multi-term path", "role", "cross-layer", "test asked for"]
+    places = ["src/api/f{}.py", "tests/test_f{}.py", "docs/f{}.md", "config/f{}.yml", "examples/f{}.py", "f{}.go", "packages/web/src/pages/f{}.tsx", "package-lock{}.json", "deploy/manifest{}.yml", "CHANGELOG{}.md", "playground/p{}/f.py", "packages/a/src/b/c/f{}.ts"]
+    maybe = lambda x: None if pick.random() < 0.3 else x
+    rows = []
+    for t in range(n_tasks):
+        many = pick.choice([0.0, 0.002, 0.2])  # of changed files
+        for f in range(n_files):
+            tokens = pick.choice([0, 20, 90, 300, 900, 5000])
+            rows.append((t, pick.choice(places).format(f), pick.choice([-5.0, 0.0]) if pick.random() < 0.05 else round(pick.random() * pick.choice([50, 200, 700]), 1), pick.sample(words, pick.randint(0, 5)), pick.choice([None, 0, 1, 3, 9]), tokens, maybe(min(tokens, 60)), maybe(tokens // 4), pick.random() < many, pick.random() < 0.02))
+    return frame(spark, rows, "task_id long, path string, score double, reasons array<string>, hits long, tokens long, summary_tokens long, skeleton_tokens long, changed boolean, secret boolean")
+
+
+def test_chosen_files_are_those_of_the_receipts(spark, monkeypatch):
+    """The fold that passes over rows takes the same files in the same modes, under any rules."""
+    from siltstone.operators import selector as L
+
+    rows = _candidates(spark, 24, 300, 7).cache()
+    total = 0
+    for rules in (L.Rules(budget=8000), L.Rules(budget=900), L.Rules(budget=150), L.Rules(mode="deep", budget=4000), L.Rules(strict=False), L.Rules(summaries=0, budget=3000), L.Rules(summaries=-1), L.Rules(summaries=3, weak_signals=-1), L.Rules(least_score=90.0, weak_signals=0, most_tokens=200)):
+        want = sorted(map(tuple, L.selected(L.select_files(rows, rules)).collect()), key=str)
+        assert sorted(map(tuple, L.chosen(rows, rules).collect()), key=str) == want, rules
+        total += len(want)
+    assert total > 300
+    assert L.chosen(rows.limit(0)).count() == 0
+
+
+def test_few_rows_are_looked_at_one_by_one(monkeypatch):
+    """A row that can't displace what is selected is passed over."""
+    import numpy as np
+
+    from siltstone.operators import selector as L
+
+    n, seen, take = 5000, [], L.Choice.take
+    monkeypatch.setattr(L.Choice, "take", lambda self, r: seen.append(r["path"]) or take(self, r))
+    flags = {f: np.zeros(n, bool) for f in L._FLAGS} | {"support": np.ones(n, bool), "signal": np.ones(n, bool)}
+    numbers = {"score": np.linspace(900, 100, n), "hits": np.ones(n, int), "tokens": np.full(n, 100), "evidence": np.full(n, 200.0), "summary_tokens": np.full(n, 50), "skeleton_tokens": np.full(n, -1), "cap": np.full(n, -1)}
+    more = {"no_summary_tokens": np.zeros(n, bool), "no_skeleton_tokens": np.ones(n, bool), "no_cap": np.ones(n, bool), "families": [], "family": np.full(n, -1), "cheapest": np.full(n, 50), "whole": np.zeros(n, bool), "most": np.full(n, 224.0)}
+    more |= {k: __import__("pyarrow").array([f"f{i}" if k == "path" else None for i in range(n)]) for k in ("path", "scope")}
+    choice = L.Choice(L.Rules(budget=8000), False)
+    choice.take_all(flags | numbers | more, 0, n)
+    assert seen == [f"f{i}" for i in range(8)] == [p["path"] for p in choice.picked]
+
+
+def test_rows_without_gains_are_not_shuffled_for_them(spark):
+    """Medians are told from counts; tests and what is near a seed are looked up where the rows are."""
+    tasks, n = 20, 600
+    rows = [(t, f"src/m{i}_q.py", 20.0 + i % 10, ["filename"]) for t in range(tasks) for i in range(n)] + [(t, f"tests/test_m{i}_q.py", 5.0, []) for t in range(tasks) for i in (3, 9)]
+    scored = frame(spark, rows, "task_id long, path string, score double, reasons array<string>")
+    got, shuffled = moved(spark, B.paired_tests(scored))
+    raised = {(r["task_id"], r["path"], r["reasons"][0]) for r in got if r["path"].startswith("tests/") and r["score"] == 40.0}
+    assert raised == {(t, "tests/test_m9_q.py", "test for src/m9_q.py") for t in range(tasks)} and len(got) == len(rows)
+    assert shuffled < len(rows) / 2
+    edges = frame(spark, [("src/m599_q.py", "src/m1_q.py"), ("src/m1_q.py", "src/m2_q.py")], "src string, dst string")
+    strong = scored.withColumn("score", F.when(F.col("path") == "src/m599_q.py", 500.0).otherwise(F.col("score")))
+    got, shuffled = moved(spark, B.second_pass(strong, edges, frame(spark, [(t, "src") for t in range(0, tasks, 2)], "task_id long, term string")))
+    assert {(r["task_id"], r["path"]) for r in got if "second pass" in r["reasons"]} <= {(t, "src/m2_q.py") for t in range(tasks)} and len(got) == len(rows)
+    assert shuffled < len(rows) / 2
+
+
+def test_a_task_is_one_stream_whatever_the_join_becomes(spark):
+    """Where a join by task is planned with a shuffle and run as a broadcast, a task still has one budget."""
+    from siltstone.operators import selector as L
+
+    rows = spark.range(0, 4000, 1, 4).select(
+        (F.col("id") % 2).alias("task_id"), F.format_string("src/f%d.py", "id").alias("path"), (F.lit(500.0) - F.col("id") % 400).alias("score"), F.array(F.lit("calls"), F.lit("symbol")).alias("reasons"), F.lit(3).cast("long").alias("hits"),
+        F.lit(100).cast("long").alias("tokens"), F.lit(50).cast("long").alias("summary_tokens"), F.lit(None).cast("long").alias("skeleton_tokens"), (F.col("id") % 50 < 2).alias("changed"), F.lit(False).alias("secret"),
+    )
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "1b", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for f in (lambda *x: L.selected(L.select_files(*x)), lambda *x: L.chosen(*x)):
+            used = {r.task_id: r.s for r in f(rows, L.Rules(budget=1000)).groupBy("task_id").agg(F.sum("tokens").alias("s")).collect()}
+            assert used == {0: 1000, 1: 1000}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
